@@ -39,3 +39,17 @@ base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM lists LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id)"""
+
+
+def decontamination(window: int = 10) -> str:
+    """Windows as joined words; a document's windows of every length that items have are compared with them."""
+    return f"""
+WITH item AS (SELECT item_id::VARCHAR AS i, regexp_extract_all({_LOWERED.format("text")}, '{_WORD}') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT i, least({window}, len(ws)) AS n, array_to_string(ws[s:s + least({window}, len(ws)) - 1], ' ') AS x FROM (SELECT i, ws, unnest(range(1, greatest(1, len(ws) - {window} + 1) + 1)) AS s FROM item WHERE len(ws) > 0)),
+doc AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("text")}, '{_WORD}') AS ws FROM documents),
+place AS (SELECT doc_id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS x FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM doc, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+found AS (SELECT doc_id, s, n, i FROM place JOIN win USING (n, x)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT i) AS n_items, string_agg(DISTINCT i, ',' ORDER BY i) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
