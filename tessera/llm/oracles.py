@@ -53,3 +53,27 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(ra
 items AS (SELECT doc_id, count(DISTINCT i) AS n_items, string_agg(DISTINCT i, ',' ORDER BY i) AS ids FROM found GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def line_dedup(max_ratio: float = 0.1, min_pages: int = 5) -> str:
+    return f"""
+WITH page AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+line AS (SELECT r, doc_id, source, p, ls[p] AS l, nullif(rtrim(ls[p], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '') AS k FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS p FROM page)),
+counted AS (SELECT source, k, count(DISTINCT r) AS n FROM line WHERE k IS NOT NULL GROUP BY source, k),
+host AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+bad AS (SELECT c.source, c.k, true AS bad FROM counted c JOIN host h ON c.source IS NOT DISTINCT FROM h.source WHERE n >= {min_pages} AND n > {max_ratio} * pages),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_dropped, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (bad IS NULL), '') AS text
+  FROM line LEFT JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.k = bad.k GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, kept.text AS text FROM page LEFT JOIN kept USING (r)"""
+
+
+def chat_formatting() -> str:
+    """Conversations as lists of turns; a proper prefix of another list, or an equal one of larger id, goes."""
+    return """
+WITH turn AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS ts FROM turn GROUP BY conv_id),
+one AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, ts FROM conv GROUP BY ts),
+prefix AS (SELECT DISTINCT ts[1:n] AS ts FROM (SELECT ts, unnest(range(1, len(ts))) AS n FROM one))
+SELECT conv_id, len(ts)::BIGINT AS n_turns, n_copies::BIGINT AS n_copies,
+  array_to_string(list_transform(ts, lambda x: '<|' || x.role || '|>' || chr(10) || replace(x.text, '<|', '< |') || chr(10) || '<|end|>' || chr(10)), '') AS text
+FROM one ANTI JOIN prefix USING (ts)"""
