@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, line_dedup, oracles, packing, quality_rules, token_counts, token_files
+from . import chat, decontaminate, licenses, line_dedup, oracles, packing, quality_model, quality_rules, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept", "score")
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_model(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(_table(spark, sf_dir, "conversations"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_quality_model": op8_quality_model,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_packing": op10_packing,
     }
@@ -68,5 +73,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scans": oracles.license_scans(),
         "op2_decontamination": oracles.decontamination(),
         "op6_line_dedup": oracles.line_dedup(),
+        "op8_quality_model": op8_quality_model,
         "op9_chat_formatting": oracles.chat_formatting(),
     }
