@@ -3,7 +3,8 @@
 No rule of the tokenizers that are used here looks across white space, except that a run of it belongs to what follows
 or to the end of the text. So a text whose white space is single spaces and single line ends may be cut before each of
 them, and the ids of the pieces joined are the ids of the whole. A full stop or comma after a letter, at the end of a
-piece, is a token of its own. Any other text, and any that may hold a special token, is encoded whole.
+piece, is a token of its own. New pieces go to the library many at a time, parted by a mark that is one token and stands
+in none of them. Any other text, and any that may hold a special token, is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,17 +15,21 @@ from functools import lru_cache
 
 import numpy as np
 
-#: White space beside white space or at either end, white space other than space and line end, a special token's start,
-#: or characters that some libraries count as white space and others don't.
-_WHOLE = re.compile(r"\s\s|^\s|\s\Z|<\||[^\S \n]|[\x00᠎​﻿]")
-_LETTER_AND_STOP = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ][.,]\Z")
+#: Control characters, and all that some library counts as white space, but space and line end.
+_ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  ⁠　﻿]")
+_LETTER_AND_STOP = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ][.,]\\Z")
+_MARKS = ("\n", "\n~\n", "\n|\n", "\n§\n")
+
+
+def may_be_cut(text: str) -> bool:
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[:1] in " \n" or text[-1] in " \n" or _ODD.search(text))
 
 
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    The cache holds about ``limit`` pieces at most, none above ``longest`` characters; when it is full it starts anew,
-    so memory has a bound and results don't depend on it.
+    The cache holds ``limit`` pieces at most, none above ``longest`` characters. Once full it is used as it is, and it
+    starts anew when as many pieces again were not found in it; so memory has a bound and results don't depend on it.
     """
 
     def __init__(self, path: str, limit: int = 800_000, longest: int = 64) -> None:
@@ -32,46 +37,64 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.longest = limit, longest
+        self.limit, self.longest, self.strange = limit, longest, 0
         self.cache: dict[str, bytes] = {}
         self.stops = dict(zip(".,", self.whole([".", ","]), strict=True))
+        self.mark, self.mark_id = next(((m, int.from_bytes(x, "little")) for m, x in zip(_MARKS, self.whole(list(_MARKS)), strict=True) if len(x) == 4), ("", -1))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 4096):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        for i in range(0, len(texts), 512):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
+        return out
+
+    def _parted(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without the mark, from texts of many."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 1000):
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces[i : i + 1000])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
         return out
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache lacks. Those that end in a stop come from what stands before it."""
-        cache = self.cache
         stems = {p: p[:-1] for p in pieces if _LETTER_AND_STOP.search(p)}
-        todo = list({stems.get(p, p) for p in pieces}.difference(cache))
-        got = dict(zip(todo, self.whole(todo), strict=True))
+        todo = {stems.get(p, p) for p in pieces}.difference(self.cache)
+        mark = self.mark.strip() or self.mark
+        plain = [p for p in todo if mark not in p and len(p) > 1] if self.mark_id >= 0 else []
+        rest = list(todo.difference(plain))
+        got = dict(zip(plain, self._parted(plain), strict=True)) if plain else {}
+        got.update(zip(rest, self.whole(rest), strict=True))
         for p, stem in stems.items():
-            got[p] = (got[stem] if stem in got else cache[stem]) + self.stops[p[-1]]
+            got[p] = (got[stem] if stem in got else self.cache[stem]) + self.stops[p[-1]]
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cut: list[list[str] | None] = []
+        find = self.cache.get
+        cut: list[tuple[list[str], list[bytes | None]] | None] = []
         missing: set[str] = set()
         for text in texts:
-            if not text or _WHOLE.search(text):
+            if not text or not may_be_cut(text):
                 cut.append(None)
                 continue
             pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-            missing |= set(pieces).difference(self.cache)
-            cut.append(pieces)
-        long = {p for p in missing if len(p) > self.longest}
-        once = dict(zip(long, self.whole(list(long)), strict=True))
-        self.cache.update(self._learn(missing - long))
-        find = self.cache.__getitem__ if not once else (lambda p: once.get(p) or self.cache[p])
-        out = [b"" if not t else None if c is None else b"".join(map(find, c)) for t, c in zip(texts, cut, strict=True)]
-        rest = [i for i, x in enumerate(out) if x is None]
+            known = list(map(find, pieces))
+            if None in known:
+                missing.update(p for p, x in zip(pieces, known, strict=True) if x is None)
+            cut.append((pieces, known))
+        new = self._learn(missing) if missing else {}
+        out = [b"" if not t or c is None else b"".join([new[p] if x is None else x for p, x in zip(*c, strict=True)] if None in c[1] else c[1]) for t, c in zip(texts, cut, strict=True)]
+        rest = [i for i, (t, c) in enumerate(zip(texts, cut, strict=True)) if t and c is None]
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
+        if len(self.cache) < self.limit:
+            self.cache.update((p, x) for p, x in new.items() if len(p) <= self.longest)
+        elif (strange := self.strange + len(new)) > self.limit:
+            self.cache, self.strange = {}, 0
+        else:
+            self.strange = strange
         return out
 
 
