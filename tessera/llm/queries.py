@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, line_dedup, oracles, packing, quality_model, quality_rules, token_counts, token_files
+from . import chat, decontaminate, licenses, line_dedup, near_dups, oracles, packing, quality_model, quality_rules, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), k=3, similarity=90)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scans": op1_license_scans,
         "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
         "op7_quality_rules": op7_quality_rules,
