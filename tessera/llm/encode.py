@@ -15,14 +15,15 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Control characters, and all that some library counts as white space, but space and line end.
-_ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  ⁠　﻿]")
 _LETTER_AND_STOP = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ][.,]\\Z")
 _MARKS = ("\n", "\n~\n", "\n|\n", "\n§\n")
 
 
 def may_be_cut(text: str) -> bool:
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[:1] in " \n" or text[-1] in " \n" or _ODD.search(text))
+    """No white space beside white space or at an end, none but space and line end, no control or format characters."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[:1] in " \n" or text[-1] in " \n":
+        return False
+    return text.replace("\n", "").isprintable()
 
 
 class PieceEncoder:
@@ -32,7 +33,7 @@ class PieceEncoder:
     starts anew when as many pieces again were not found in it; so memory has a bound and results don't depend on it.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, longest: int = 64) -> None:
+    def __init__(self, path: str, limit: int = 700_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,7 +64,7 @@ class PieceEncoder:
         stems = {p: p[:-1] for p in pieces if _LETTER_AND_STOP.search(p)}
         todo = {stems.get(p, p) for p in pieces}.difference(self.cache)
         mark = self.mark.strip() or self.mark
-        plain = [p for p in todo if mark not in p and len(p) > 1] if self.mark_id >= 0 else []
+        plain = [p for p in todo if mark not in p] if self.mark_id >= 0 else []
         rest = list(todo.difference(plain))
         got = dict(zip(plain, self._parted(plain), strict=True)) if plain else {}
         got.update(zip(rest, self.whole(rest), strict=True))
@@ -73,25 +74,33 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         find = self.cache.get
-        cut: list[tuple[list[str], list[bytes | None]] | None] = []
+        out: list = []
+        gaps: list[tuple[int, list[int], list[str]]] = []
         missing: set[str] = set()
-        for text in texts:
+        for n, text in enumerate(texts):
             if not text or not may_be_cut(text):
-                cut.append(None)
+                out.append(None if text else [])
                 continue
             pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
             known = list(map(find, pieces))
+            out.append(known)
             if None in known:
-                missing.update(p for p, x in zip(pieces, known, strict=True) if x is None)
-            cut.append((pieces, known))
-        new = self._learn(missing) if missing else {}
-        out = [b"" if not t or c is None else b"".join([new[p] if x is None else x for p, x in zip(*c, strict=True)] if None in c[1] else c[1]) for t, c in zip(texts, cut, strict=True)]
-        rest = [i for i, (t, c) in enumerate(zip(texts, cut, strict=True)) if t and c is None]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
+                at = [i for i, x in enumerate(known) if x is None]
+                new = [pieces[i] for i in at]
+                missing.update(new)
+                gaps.append((n, at, new))
+        learnt = self._learn(missing) if missing else {}
+        for n, at, new in gaps:
+            known = out[n]
+            for i, p in zip(at, new, strict=True):
+                known[i] = learnt[p]
+        rest = [n for n, x in enumerate(out) if x is None]
+        out = [None if x is None else b"".join(x) for x in out]
+        for n, ids in zip(rest, self.whole([texts[n] for n in rest]), strict=True):
+            out[n] = ids
         if len(self.cache) < self.limit:
-            self.cache.update((p, x) for p, x in new.items() if len(p) <= self.longest)
-        elif (strange := self.strange + len(new)) > self.limit:
+            self.cache.update((p, x) for p, x in learnt.items() if len(p) <= self.longest)
+        elif (strange := self.strange + len(learnt)) > self.limit:
             self.cache, self.strange = {}, 0
         else:
             self.strange = strange
