@@ -330,3 +330,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: s
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
     final = of.join(named, "component").select("h", "component_id")
     return rows.join(final, "h", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` but for those near to a row of smaller id; of rows of equal id in a group one stays.
+
+    Rows of null id can't be named and stay. All columns are kept. Ids to drop are broadcast up to ``most_broadcast``;
+    beyond it they are joined.
+    """
+    found = materialise(near_duplicates(docs, k, similarity, id_col, text_col, most_broadcast=most_broadcast), "found")
+    named = found.where("doc_id IS NOT NULL")
+    drop = named.where("doc_id <> component_id").select(F.col("doc_id").alias("drop")).distinct()
+    again = materialise(named.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
+    n = drop.count()
+    left = docs.join(F.broadcast(drop) if n <= most_broadcast else drop, F.col(id_col) == F.col("drop"), "left_anti")
+    if again.isEmpty():
+        return left
+    twice = left.join(again.select(F.col("doc_id").alias("twice")), F.col(id_col) == F.col("twice"), "left_semi")
+    once = left.join(again.select(F.col("doc_id").alias("twice")), F.col(id_col) == F.col("twice"), "left_anti")
+    return once.unionByName(twice.dropDuplicates([id_col]))
