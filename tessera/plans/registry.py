@@ -1,4 +1,24 @@
-"""All queries by name, with the SQL that must give the same rows."""
+"""Queries by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir); without SQL its rows are tested against plain Python."""
+
+    def put(f):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is there already")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
