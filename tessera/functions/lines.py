@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import as_col, trim_end
+from .vectors import let
 
 ANCHOR = r"^(\d+)(?:#([0-9A-Fa-f]{2}))?(?:[│:].*)?$"
 
@@ -19,32 +23,50 @@ def normal_line(line: Column) -> Column:
     return trim_end(F.replace(line, F.lit("\r"), F.lit("")))
 
 
-def _low_bytes(text: Column) -> Column:
-    """Low byte of each UTF-16 unit: of UTF-16BE hex, every second byte."""
-    coded = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.when(F.length(coded) > 0, F.sequence(F.lit(3), F.length(coded), F.lit(4))).otherwise(F.array().cast("array<int>"))
-    return F.transform(units, lambda i: F.conv(F.substr(coded, i, F.lit(2)), 16, 10).cast("int"))
+# The low bytes of the 32-bit FNV-1a offset 0x811C9DC5 and prime 0x01000193.
+_OFFSET, _PRIME = 0xC5, 0x93
+
+
+def _units(line: Column) -> Column:
+    """UTF-16 units of a normalised line, as pairs of hex digits of their low bytes."""
+    return F.regexp_replace(F.hex(F.encode(normal_line(line), "UTF-16BE")), "..(..)", "$1")
+
+
+def _folded(units: Column) -> Column:
+    """The low byte of a product depends on low bytes alone, so the hash's low byte is a fold over them."""
+    codes = F.unhex(units)
+    places = F.sequence(F.lit(1), F.octet_length(codes))
+    return F.lpad(F.hex(F.aggregate(places, F.lit(_OFFSET), lambda h, i: F.pmod(h.bitwiseXOR(F.ascii(F.decode(F.substring(codes, i, F.lit(1)), "ISO-8859-1"))) * F.lit(_PRIME), F.lit(256)))), 2, "0")
 
 
 def line_hash(before: Column, line: Column, after: Column) -> Column:
-    """Two hex digits over a line and its neighbours, NUL between them.
-
-    It is the low byte of a 32-bit FNV-1a hash (offset 0x811C9DC5, prime 0x01000193). The low byte of a product depends
-    on low bytes alone, so 0xC5 and 0x93 do.
-    """
-    zero = F.array(F.lit(0))
-    clean = lambda x: _low_bytes(normal_line(F.coalesce(x, F.lit(""))))
-    units = F.concat(clean(before), zero, clean(line), zero, clean(after))
-    low = F.aggregate(units, F.lit(0xC5), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(0x93), F.lit(256)))
-    return F.lpad(F.hex(low), 2, "0")
-
-
-def line_hashes(lines: Column) -> Column:
-    """The hash of every line of an array."""
-    at = lambda i: F.try_element_at(lines, i)
-    # places count from 1 and 0 is no place: it is turned into one past the end
-    safe = lambda i: at(F.when(i < 1, F.size(lines) + 1).otherwise(i))
-    return F.transform(lines, lambda x, i: line_hash(safe(i), x, safe(i + 2)))
+    """Two hex digits over a line and its neighbours (empty at the ends), NUL between them."""
+    part = lambda x: _units(F.coalesce(x, F.lit("")))
+    return let(F.concat(part(before), F.lit("00"), part(line), F.lit("00"), part(after)), _folded)
+
+
+def _hash_texts(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    step = [(x * _PRIME) & 255 for x in range(256)]
+
+    def fold(h: int, units: bytes) -> int:
+        for c in units:
+            h = step[h ^ c]
+        return h
+
+    for texts in it:
+        out = []
+        for text in texts:
+            units = [x.replace("\r", "").rstrip().encode("utf-16-le")[::2] for x in (text or "").split("\n")]
+            padded = [b"", *units, b""]
+            # the state after a line and a NUL is the same wherever the line stands before another
+            after = [step[fold(_OFFSET, x)] for x in padded]
+            out.append([f"{fold(step[fold(after[i], x)], padded[i + 2]):02X}" for i, x in enumerate(units)])
+        yield pd.Series(out)
+
+
+def line_hashes(text: Column | str) -> Column:
+    """The hash of every line of a text. A fold over characters is slow as an expression, so this is an Arrow function."""
+    return F.pandas_udf(_hash_texts, "array<string>")(text)
 
 
 def anchored(number: Column, digits: Column, mark: Column, line: Column) -> Column:

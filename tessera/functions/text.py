@@ -158,7 +158,7 @@ def compact_signature(signature: Column | str) -> Column:
 
 def compact_message(message: Column | str) -> Column:
     flat = trim_space(F.regexp_replace(F.coalesce(as_col(message), F.lit("")), r"(?U)\s+", " "))
-    return shortened(flat, MESSAGE_WIDTH, MESSAGE_WIDTH - 3)
+    return F.when(F.length(flat) > MESSAGE_WIDTH, F.concat(F.substring(flat, 1, MESSAGE_WIDTH - 1), F.lit("…"))).otherwise(flat)
 
 
 def clip_to_budget(text: Column, budget: Column | int) -> Column:

@@ -69,17 +69,15 @@ def _summed(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["s"])
 
 
-def search(toks: DataFrame, query: str, limit: int = 50, keep: Column | None = None) -> DataFrame:
-    """id, score, matches, bm25_rank: the best ``limit``. ``toks``: id, toks and what ``keep`` needs.
+def scored(toks: DataFrame, query: str, keep: Column | None = None) -> DataFrame:
+    """id, score, matches of every hit. ``toks``: id, toks and what ``keep`` needs.
 
     ``keep`` filters what is scored and nothing else: counts and lengths are of all documents. The query's terms are
     known, so their counts are taken row by row in one scan, and nothing is shuffled but one row of sums and the best.
     """
     terms = query_terms(query)
-    none = "id {0}, score double, matches array<string>, bm25_rank int"
-    spark = toks.sparkSession
-    if not terms or limit < 1:
-        return spark.createDataFrame([], none.format(toks.schema["id"].dataType.simpleString()))
+    if not terms:
+        return toks.sparkSession.createDataFrame([], f"id {toks.schema['id'].dataType.simpleString()}, score double, matches array<string>")
     n = len(terms)
     counted = toks.select("*", F.size("toks").cast("long").alias("dl"), *(F.size(F.filter("toks", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("ndocs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)))
@@ -88,17 +86,21 @@ def search(toks: DataFrame, query: str, limit: int = 50, keep: Column | None = N
         hits = hits.where(keep)
     part = lambda i: F.when(F.col(f"tf{i}") > 0, F.struct(F.lit(terms[i]).alias("t"), (idf(F.col("ndocs"), F.col(f"df{i}")) * tf_norm(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"))).alias("s")))
     parts = F.array_compact(F.array(*(part(i) for i in range(n))))
-    scored = hits.crossJoin(F.broadcast(stats)).select("id", parts.alias("parts")).select("id", _summed(F.col("parts")).alias("score"), F.transform("parts", lambda x: x["t"]).alias("matches"))
-    return ranked(scored, limit)
+    return hits.crossJoin(F.broadcast(stats)).select("id", parts.alias("parts")).select("id", _summed(F.col("parts")).alias("score"), F.transform("parts", lambda x: x["t"]).alias("matches"))
+
+
+def search(toks: DataFrame, query: str, limit: int = 50, keep: Column | None = None) -> DataFrame:
+    """id, score, matches, bm25_rank: the best ``limit``."""
+    return ranked(scored(toks, query, keep), limit)
 
 
 def _is(term: str):
     return lambda x: x == term
 
 
-def ranked(scored: DataFrame, limit: int, score: str = "score", rank: str = "bm25_rank") -> DataFrame:
+def ranked(hits: DataFrame, limit: int, score: str = "score", rank: str = "bm25_rank") -> DataFrame:
     """Best first by the score to six places, then by id."""
-    best = scored.orderBy(F.round(score, 6).desc(), "id").limit(limit)
+    best = hits.orderBy(F.round(score, 6).desc(), "id").limit(max(0, limit))
     return best.withColumn(rank, F.row_number().over(Window.orderBy(F.round(score, 6).desc(), "id")).cast("int"))
 
 
@@ -113,8 +115,8 @@ def search_index(index: Index, query: str, limit: int = 50, keep: DataFrame | No
     if keep is not None:
         joined = joined.join(keep.select("id").distinct(), "id", "left_semi")
     part = F.struct("pos", (idf(F.col("ndocs"), F.col("df")) * tf_norm(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("s"), F.col("term").alias("t"))
-    scored = joined.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return ranked(scored.select("id", _summed(F.col("parts")).alias("score"), F.transform("parts", lambda x: x["t"]).alias("matches")), limit)
+    found = joined.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return ranked(found.select("id", _summed(F.col("parts")).alias("score"), F.transform("parts", lambda x: x["t"]).alias("matches")), limit)
 
 
 def updated(index: Index, removed: DataFrame, added: DataFrame) -> Index:

@@ -21,10 +21,11 @@ def valid(ranges: DataFrame, total: str | None = None) -> DataFrame:
 
 
 def _merge(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
+    w = Window.partitionBy(*keys).orderBy("start")
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("before").isNull() | (F.col("start") > F.col("before") + 1), 1).otherwise(0)
-    d = ranges.withColumn("before", before).withColumn("island", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row a start: what meets in a window is less, and rows of equal order can't change places between the windows
+    d = ranges.groupBy(*keys, "start").agg(F.max("stop").alias("stop")).withColumn("before", before).withColumn("island", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 

@@ -10,7 +10,7 @@ from .registry import query
 
 _R = "r AS (SELECT l_suppkey AS k, l_partkey % 5000 + 1 AS start, l_partkey % 5000 + 1 + l_quantity::BIGINT % 7 AS stop, l_linenumber AS nr, l_partkey % 5000 + 1 AS line FROM lineitem)"
 _MERGED = """isle AS (SELECT k, start, stop, sum(CASE WHEN b IS NULL OR start > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g
-  FROM (SELECT k, start, stop, max(stop) OVER (PARTITION BY k ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {0})),
+  FROM (SELECT k, start, stop, max(stop) OVER (PARTITION BY k ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT k, start, max(stop) AS stop FROM {0} GROUP BY k, start))),
 {1} AS (SELECT k, min(start) AS start, max(stop) AS stop FROM isle GROUP BY k, g)"""
 
 

@@ -101,11 +101,13 @@ def bm25_from_index(spark, d):
     return _report(bm25.search_index(index, QUERY, 50))
 
 
-@query("bm25_matches", f"WITH {_lexical(QUERY, 1_000_000_000)} SELECT term, count(*) AS hits, sum(bm25_rank <= 10) AS in_top10 FROM (SELECT bm25_rank, unnest(matches) AS term FROM lex) GROUP BY term")
+@query("bm25_matches", f"WITH {_lexical(QUERY, 1_000_000_000)} SELECT term, count(*) AS hits, count(*) FILTER (bm25_rank <= 10) AS in_top10 FROM (SELECT bm25_rank, unnest(matches) AS term FROM lex) GROUP BY term")
 def bm25_matches(spark, d):
     """Which terms the hits matched on, over all hits and the ten best."""
-    every = bm25.search(_toks(spark, d), QUERY, 1_000_000_000).select("bm25_rank", F.explode("matches").alias("term"))
-    return every.groupBy("term").agg(F.count("*").alias("hits"), F.sum((F.col("bm25_rank") <= 10).cast("long")).alias("in_top10"))
+    hits = staged(bm25.scored(_toks(spark, d), QUERY), "hits")
+    every = hits.select(F.explode("matches").alias("term")).groupBy("term").agg(F.count("*").alias("hits"))
+    best = bm25.ranked(hits, 10).select(F.explode("matches").alias("term")).groupBy("term").agg(F.count("*").alias("in_top10"))
+    return every.join(best, "term", "left").select("term", "hits", F.coalesce("in_top10", F.lit(0)).alias("in_top10"))
 
 
 @query("stopword_query", f"WITH {_lexical('the of', 20)} {_REPORT}")
