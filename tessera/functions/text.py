@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values ----------------------------------------------------------------------------------------------------
 STOPWORDS = ("a", "an", "the", "and", "or", "in", "on", "at", "to", "for", "with", "by", "of", "is", "as", "it", "from", "be")
-KINDS = ("function", "class", "interface", "method", "const", "type", "enum", "test", "file", "variable", "alias")
+KINDS = ("file", "function", "class", "interface", "type", "enum", "variable", "constant", "method", "alias", "test")
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".rs", ".go", ".c", ".cpp", ".h", ".hpp", ".java", ".cs", ".rb", ".php", ".swift", ".sh", ".bash", ".sql")
 TEST_PATH_PARTS = ("/test/", "/tests/", "/__tests__/", "/spec/", "/specs/", "test_", "_test.", ".test.", ".spec.")
 TEST_PATH_STARTS = ("test/", "tests/", "spec/")
@@ -137,8 +137,9 @@ def breadcrumb(path: Column, parent: Column, kind: Column, name: Column) -> Colu
     return F.concat(F.lit("// [File: "), path, F.lit("]"), inside, F.lit(" > ["), F.upper(kind), F.lit(": "), name, F.lit("]"))
 
 
-def embedded_text(crumb: Column, content: Column) -> Column:
-    return F.concat(crumb, F.lit("\n"), F.substring(content, 1, EMBEDDED_CHARS))
+def embedded_text(crumb: Column, content: Column, signature: Column | None = None) -> Column:
+    head = F.lit("\n") if signature is None else F.concat(F.lit("\nSignature: "), signature, F.lit("\n\n"))
+    return F.concat(crumb, head, F.substring(content, 1, EMBEDDED_CHARS))
 
 
 def weighted_fields(name: Column, signature: Column, crumb: Column, content: Column) -> Column:

@@ -1,0 +1 @@
+"""Structured Streaming: index upserts, debouncing, embedding."""
