@@ -9,6 +9,8 @@ Word rules
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -69,6 +71,23 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def frugal(work, rows: int = 1000):
+    """A mapInArrow function that sees ``rows`` rows at a time and, when its task ends, hands freed memory back.
+
+    Workers live on between tasks; what their allocators keep would otherwise count against the executor.
+    """
+
+    def run(batches):
+        try:
+            yield from work(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # --- vectorised hashing of words -----------------------------------------------------------------------------------
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, token_words
+from .common import frugal, text_bytes, token_words
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -54,7 +54,7 @@ def document_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, i
                 seen.update(shared.value.intersection(token_words(raw)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-    rows = docs.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(frugal(count), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return {bytes(r["w"]): r["n"] for r in rows.collect()}
 
 
@@ -102,10 +102,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     empty benchmark leaves every document clean. Repeated documents are scanned each on its own; items of equal id count
     once, and their windows are those of all of them. The struct keeps columns of any name apart from the new ones.
     """
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("row", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-    out = docs.select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     only_text = docs.select(F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
+    at = docs.columns.index(text_col)  # the text goes to Python once, in its row
     for block in [*blocks(benchmark, item_col, item_text_col, window, block_windows)] or [{}]:
         df = document_frequency(only_text, {w for x in block for w in x.split(b" ")}) if block else {}
         shared = context.broadcast((filed(block, df), block))
@@ -114,16 +115,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for batch in batches:
                 anchors, windows = shared.value
                 counts, spans, items = [], [], []
-                for raw, had, known in zip(text_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                for raw, had, known in zip(text_bytes(batch.column("row").field(at)), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
                     words = token_words(raw)
                     found, of = find(words, anchors, windows)
                     counts.append(len(words))
                     spans.append([{"start": s, "stop": e} for s, e in merged([*found, *((x["start"], x["stop"]) for x in had)])])
                     items.append(sorted(of.union(known)))
-                yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
-        out = out.mapInArrow(scan, schema)
-    return out.drop("text")
+        out = out.mapInArrow(frugal(scan), schema)
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:

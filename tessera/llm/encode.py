@@ -107,7 +107,7 @@ class PieceEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """One for each worker process and vocabulary."""
-    return PieceEncoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, limit: int = 700_000) -> PieceEncoder:
+    """One for a worker process; it is built anew for another vocabulary or size of cache."""
+    return PieceEncoder(path, limit)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, materialise, shingle_hashes, text_bytes, word_hashes
+from .common import LOWER_TABLE, frugal, materialise, shingle_hashes, text_bytes, word_hashes
 from .components import connected_components
 
 
@@ -86,7 +86,7 @@ def frequent_shingles(docs: DataFrame, k: int, least: int = 32, most: int = 500_
         if held:
             yield flush()
 
-    counted = materialise(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
+    counted = materialise(docs.select("text").mapInArrow(frugal(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
     sizes = sorted(((r["p"], r["c"]) for r in counted.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()), reverse=True)
     total, cut = 0, None
     for p, c in sizes:
@@ -132,7 +132,7 @@ def described(docs: DataFrame, k: int, similarity: int, frequent) -> DataFrame:
                 types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True))], names=["doc_id", "n", "h", "prefix", "bits"])
 
-    return docs.mapInArrow(describe, "doc_id long, n long, h binary, prefix array<long>, bits binary")
+    return docs.mapInArrow(frugal(describe), "doc_id long, n long, h binary, prefix array<long>, bits binary")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def verified(members: DataFrame, docs: DataFrame, k: int, similarity: int, block
             part = [x.filter(pa.array(same, pa.bool_())) for x in batch.columns[:3]]
             yield pa.RecordBatch.from_arrays([*part, pa.array([s.tobytes() for s, ok in zip(sets, same, strict=True) if ok], pa.binary())], names=["c", "cluster", "blocks", "s"])
 
-    cuts = texts.mapInArrow(cut, "c long, cluster long, blocks int, s binary")
+    cuts = texts.mapInArrow(frugal(cut), "c long, cluster long, blocks int, s binary")
     mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     meet = cuts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = meet.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "s")
@@ -307,7 +307,7 @@ def verified(members: DataFrame, docs: DataFrame, k: int, similarity: int, block
     return keyed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", run: int = 64, block_shingles: int = 1_000_000, most_broadcast: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", run: int = 64, block_shingles: int = 1_000_000, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``; ``similarity`` is in hundredths.
 
     A text without words, or null, has no shingles and is linked with nothing: its component is its own id. Repeated

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .encode import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -45,11 +46,11 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
     return bins, offsets
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, cached_pieces: int) -> DataFrame:
     """doc_id, doc_tokens, and the checksum of the ids of each piece: full ones first, then the rest."""
 
     def encode(batches):
-        tool, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        tool, end = encoder(tokenizer_path, cached_pieces), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -60,19 +61,19 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
                     sums.append([zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "sums"])
 
-    return docs.mapInArrow(encode, "doc_id long, doc_tokens long, sums array<long>")
+    return docs.mapInArrow(frugal(encode), "doc_id long, doc_tokens long, sums array<long>")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 16_384, id_col: str = "doc_id", text_col: str = "text", cached_pieces: int = 700_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed each on its own. A null id is kept as null. Ties
     in length go by id, then by the checksums of the ids, so the same rows always give the same sequences. Other columns
-    are ignored. An empty table gives no pieces.
+    are ignored. An empty table gives no pieces. A worker keeps the ids of ``cached_pieces`` pieces of text at most.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_groups = max(1, -(-rows.count() // group_docs))
-    cut = cut_documents(rows, tokenizer_path, end_id, capacity)
+    cut = cut_documents(rows, tokenizer_path, end_id, capacity, cached_pieces)
     drawn = F.pmod(F.xxhash64("doc_id", "doc_tokens", F.element_at("sums", -1)), F.lit(n_groups))
 
     def place(table: pa.Table) -> pa.Table:

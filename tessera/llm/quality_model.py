@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_bytes, word_hashes
+from .common import frugal, mix, text_bytes, word_hashes
 
 BUCKETS, DIM, NONZERO = 1 << 14, 64, 4
 SLICE = 256  # rows of vectors that travel together
@@ -73,7 +73,7 @@ def neighbours(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["s", "v"])
 
     table = np.zeros((BUCKETS, DIM + 1), dtype=np.int64)
-    for r in docs.mapInArrow(add, "s int, v binary").repartition("s").mapInArrow(total, "s int, v binary").toLocalIterator():
+    for r in docs.mapInArrow(frugal(add), "s int, v binary").repartition("s").mapInArrow(total, "s int, v binary").toLocalIterator():
         table[r["s"] * SLICE : (r["s"] + 1) * SLICE] += np.frombuffer(r["v"], dtype="<i8").reshape(SLICE, DIM + 1)
     return table[:, :DIM], table[:, DIM]
 
@@ -180,7 +180,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     sample = plain.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
-    got = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in sample.mapInArrow(features, "doc_id long, y int, x binary").collect())
+    got = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in sample.mapInArrow(frugal(features), "doc_id long, y int, x binary").collect())
     x = np.array([np.frombuffer(r[1], dtype="<f8") for r in got]).reshape(-1, FEATURES)
     network = spark.sparkContext.broadcast(Network.fit(x, np.array([r[2] for r in got], dtype=np.int64)))
 
@@ -189,5 +189,5 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             x = np.array([vectors.value.pooled(raw) for raw in text_bytes(batch.column(1))]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.value.probability(x))], names=["doc_id", "score"])
 
-    scored = plain.mapInArrow(score, "doc_id long, score double")
+    scored = plain.mapInArrow(frugal(score), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, word_hashes
+from .common import frugal, text_bytes, word_hashes
 
 NGRAM, BUCKETS = 4, 1 << 14
 # The symbols of the rule, and what is no code point of a word (white space and UTF-8 continuation bytes).
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, ids: list[int], buckets: int, trusted_loss: float, slac
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw_count[at]), pa.array(good_count[at])], names=["b", "raw", "good"])
 
     raw, good = np.ones(buckets), np.ones(buckets)
-    for r in docs.mapInArrow(count, "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
+    for r in docs.mapInArrow(frugal(count), "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
         raw[r["b"]] += r["raw"]
         good[r["b"]] += r["good"]
     ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, ids: list[int], buckets: int, trusted_loss: float, slac
             yield pa.RecordBatch.from_arrays([pa.array([mean_ratio(raw, model.value) for raw in text_bytes(batch.column(0))])], names=["s"])
 
     # the broadcast ids are as many as most_trusted says, at most
-    scores = docs.join(F.broadcast(few), "doc_id", "left_semi").select("text").mapInArrow(score, "s double")
+    scores = docs.join(F.broadcast(few), "doc_id", "left_semi").select("text").mapInArrow(frugal(score), "s double")
     lowest = scores.agg(F.expr(f"percentile(s, {trusted_loss})").alias("s")).first()["s"]
     return ratio, -np.inf if lowest is None else lowest - slack
 
@@ -116,13 +116,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = docs.sparkSession.sparkContext.broadcast((ratio, threshold))
     schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
+    at = docs.columns.index(text_col)  # the text goes to Python once, in its row
+
     def judge(batches):
         for batch in batches:
             ratio, threshold = model.value
-            texts = text_bytes(batch.column(1))
+            texts = text_bytes(batch.column(0).field(at))
             counts = np.array([rule_counts(x) for x in texts], dtype=np.int64).reshape(-1, 5)
             failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
             scores = np.array([mean_ratio(x, ratio) for x in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, i]) for i in range(5)), pa.array(failed), pa.array(scores), pa.array(~failed & (scores >= threshold))], names=schema.names)
 
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text")).mapInArrow(judge, schema)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).mapInArrow(frugal(judge), schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, text_bytes, token_words
+from .common import LOWER_TABLE, frugal, text_bytes, token_words
 
 #: All bytes but ASCII punctuation: what is deleted before punctuation is counted.
 _NOT_PUNCTUATION = bytes(b for b in range(256) if not (0x21 <= b <= 0x7E and not chr(b).isalnum()))
@@ -113,4 +113,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 n_tokens.append(sum(map(known.__getitem__, words)) + marks)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_marks, n_tokens))], names=["doc_id", "n_words", "n_punctuation", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, "doc_id long, n_words long, n_punctuation long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(count), "doc_id long, n_words long, n_punctuation long, n_tokens long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, shared_dir
+from .common import frugal, materialise, mix, shared_dir
 from .encode import encoder
 
 MAGIC = b"TSRATOK1"
@@ -183,7 +183,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(encode, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    ranged.mapInArrow(frugal(encode), "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
