@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of 2048."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048, cached_pieces=200_000)
 
 
 STAGES = [
