@@ -52,7 +52,7 @@ _SCRIPT = (
     _rule(rf"{_JS}type\s+(?P<n>\w+)(?:<[^=]*>)?\s*=", "type"),
     _rule(rf"{_JS}const\s+(?P<n>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\(|\w+\s*=>)", "function", needs="=>"),
     _rule(r"(?:(?:public|private|protected|static|abstract|override|readonly|async)\s+)*(?:get|set)\s+(?P<n>[\w$]+)\s*\(", "method", nested=True),
-    _rule(r"(?:(?:public|private|protected|static|abstract|override|readonly|async)\s+)*\*?(?P<n>[A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\([^)]*\)\s*(?::[^={;]+)?(?:\{|;\s*$)", "method", nested=True),
+    _rule(r"(?:(?:public|private|protected|static|abstract|override|readonly|async)\s+)*\*?(?P<n>[A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\([^)]*\)\s*(?:(?::[^={;]+)?\{|:[^={;]+;\s*$)", "method", nested=True),
     _rule(rf"{_JS}const\s+(?P<n>[A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=", "constant", nested=False),
     _rule(rf"{_JS}const\s+(?P<n>\w+)\s*:\s*[^=]+=", "variable", nested=False),
 )

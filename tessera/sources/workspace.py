@@ -21,9 +21,39 @@ ALLOWED_HIDDEN = (".github",)
 MOST_FILES = 500
 
 
-def listed(spark: SparkSession, root: str, with_content: bool = True, most_bytes: int | None = None) -> DataFrame:
+def _relative(path: str, root: str) -> str:
+    bare = lambda x: re.sub(r"^\w+:/*", "/", x)
+    return bare(path).removeprefix(bare(root).rstrip("/") + "/")
+
+
+def hidden_entries(spark: SparkSession, root: str, names: Sequence[str], dirs: Sequence[str] = ALLOWED_HIDDEN) -> tuple[list[tuple[str, str]], list[str]]:
+    """Files of the given names, as (relative path, text), and the allowed hidden folders, as paths.
+
+    Spark's file index never lists names that begin with a dot, so the driver walks the tree's names for these.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, folders, it = [], set(), fs.listFiles(where, True)
+    while it.hasNext():
+        path = it.next().getPath()
+        relative = _relative(path.toString(), root)
+        *parts, name = relative.split("/")
+        for i, part in enumerate(parts):
+            if part in dirs:
+                folders.add("/".join([root.rstrip("/"), *parts[: i + 1]]))
+        if name in names:
+            stream = fs.open(path)
+            try:
+                files.append((relative, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return sorted(files), sorted(folders)
+
+
+def listed(spark: SparkSession, root: str, with_content: bool = True, most_bytes: int | None = None, more_roots: Sequence[str] = ()) -> DataFrame:
     """path (relative, forward slashes), length, mtime and, if asked, content as text."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *more_roots])
     if most_bytes is not None:
         d = d.where(F.col("length") <= most_bytes)
     base = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
@@ -103,12 +133,10 @@ def scanned(spark: SparkSession, root: str, extensions: Sequence[str] | None = E
 
     ``parents`` has ignore files above the root, as (folder, text) of the outer repository.
     """
-    every = listed(spark, root)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    found = every.where(name.isin(ignore_name, extra_name)).select("path", name.alias("name"), "content").orderBy("path").collect()
-    own = lambda n: [(r["path"].rpartition("/")[0], r["content"]) for r in found if r["name"] == n]
     hidden = ALLOWED_HIDDEN if include_hidden else ()
-    d = every.where(not_excluded("path", more_dirs, hidden))
+    found, folders = hidden_entries(spark, root, (ignore_name, extra_name), hidden)
+    own = lambda n: [(p.rpartition("/")[0], text) for p, text in found if p.rpartition("/")[2] == n]
+    d = listed(spark, root, more_roots=folders).where(not_excluded("path", more_dirs, hidden))
     if extensions is not None:
         d = d.where(F.lower(extension("path")).isin(*extensions))
     for rules, additive in ((rules_of([*parents, *own(ignore_name)]), False), (rules_of(own(extra_name)), True)):
@@ -117,5 +145,7 @@ def scanned(spark: SparkSession, root: str, extensions: Sequence[str] | None = E
     return d.orderBy("path").limit(most_files) if most_files is not None else d
 
 
-def ignore_hashes(files: DataFrame, names: Sequence[str] = (".gitignore", ".indexignore")) -> DataFrame:
-    return files.where(F.col("path").isin(*names)).select("path", content_hash("content").alias("hash"))
+def ignore_hashes(spark: SparkSession, root: str, names: Sequence[str] = (".gitignore", ".indexignore")) -> DataFrame:
+    """path, hash of the root's ignore files."""
+    found = [(p, text) for p, text in hidden_entries(spark, root, names)[0] if p in names]
+    return spark.createDataFrame(found, "path string, content string").select("path", content_hash("content").alias("hash"))
