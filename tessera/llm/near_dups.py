@@ -59,7 +59,7 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 # --- frequent shingles -----------------------------------------------------------------------------------------------
-def frequent_shingles(docs: DataFrame, k: int, least: int = 32, most: int = 500_000, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, k: int, least: int = 32, most: int = 500_000, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent shingles and how often they were counted: ``most`` at most, the most frequent ones.
 
     Only the order of shingles depends on them, and any order gives the same links. So each task sends what it has seen

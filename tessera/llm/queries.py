@@ -78,6 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scans": oracles.license_scans(),
         "op2_decontamination": oracles.decontamination(),
         "op6_line_dedup": oracles.line_dedup(),
-        "op8_quality_model": op8_quality_model,
         "op9_chat_formatting": oracles.chat_formatting(),
     }
