@@ -77,3 +77,17 @@ prefix AS (SELECT DISTINCT ts[1:n] AS ts FROM (SELECT ts, unnest(range(1, len(ts
 SELECT conv_id, len(ts)::BIGINT AS n_turns, n_copies::BIGINT AS n_copies,
   array_to_string(list_transform(ts, lambda x: '<|' || x.role || '|>' || chr(10) || replace(x.text, '<|', '< |') || chr(10) || '<|end|>' || chr(10)), '') AS text
 FROM one ANTI JOIN prefix USING (ts)"""
+
+
+def ngram_jaccard(k: int = 3, similarity: int = 90) -> str:
+    """All pairs that share a shingle, counted; then what links reach, from the smallest id on."""
+    return f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("text")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+shingle AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) <= {k} THEN array_to_string(ws, ' ') ELSE array_to_string(ws[s:s + {k} - 1], ' ') END AS x
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {k} + 1) + 1)) AS s FROM doc WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= {similarity} * (p.n + q.n - c)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, r) AS (SELECT a, a FROM edge UNION SELECT reach.doc_id, b FROM reach JOIN edge ON edge.a = reach.r)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""

@@ -77,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scans": oracles.license_scans(),
         "op2_decontamination": oracles.decontamination(),
+        "op4_ngram_jaccard": oracles.ngram_jaccard(),
         "op6_line_dedup": oracles.line_dedup(),
         "op9_chat_formatting": oracles.chat_formatting(),
     }
