@@ -3,7 +3,8 @@
 No rule of the tokenizers that are used here looks across white space, except that a run of it belongs to what follows
 or to the end of the text. So a text whose white space is single spaces and single line ends may be cut before each of
 them, and the ids of the pieces joined are the ids of the whole. A full stop or comma after a letter, at the end of a
-piece, is a token of its own. New pieces go to the library many at a time, parted by a mark that is one token and stands
+piece, is a token of its own. Where a tokenizer drops white space, pieces are words; where it lowers case too, Latin-1
+texts are lowered first, so that fewer words are new. New pieces go to the library many at a time, parted by a mark that is one token and stands
 in none of them. Any other text, and any that may hold a special token, is encoded whole.
 """
 
@@ -41,6 +42,9 @@ class PieceEncoder:
         self.limit, self.longest, self.strange = limit, longest, 0
         self.cache: dict[str, bytes] = {}
         self.stops = dict(zip(".,", self.whole([".", ","]), strict=True))
+        joined = b"".join(self.whole(["Ab", "cd"]))
+        self.drops_space = all(x == joined for x in self.whole(["Ab cd", "Ab\ncd", " Ab \n cd\n"])) and self.whole([" \n"]) == [b""]
+        self.lowers = self.drops_space and len(set(self.whole(["ABC ÀÉ Þ", "abc àé þ"]))) == 1
         self.mark, self.mark_id = next(((m, int.from_bytes(x, "little")) for m, x in zip(_MARKS, self.whole(list(_MARKS)), strict=True) if len(x) == 4), ("", -1))
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -72,16 +76,30 @@ class PieceEncoder:
             got[p] = (got[stem] if stem in got else self.cache[stem]) + self.stops[p[-1]]
         return got
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """Pieces whose ids, joined, are the text's; none if it can't be cut."""
+        if not self.drops_space:
+            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if may_be_cut(text) else None
+        if "<|" in text or not text.replace("\n", "").isprintable():
+            return None
+        if self.lowers:
+            try:  # beyond Latin-1 lowering may depend on what stands beside a character, or on its composed form
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         find = self.cache.get
         out: list = []
         gaps: list[tuple[int, list[int], list[str]]] = []
         missing: set[str] = set()
         for n, text in enumerate(texts):
-            if not text or not may_be_cut(text):
-                out.append(None if text else [])
+            pieces = self._pieces(text) if text else []
+            if pieces is None:
+                out.append(None)
                 continue
-            pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
             known = list(map(find, pieces))
             out.append(known)
             if None in known:
