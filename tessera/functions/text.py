@@ -37,7 +37,8 @@ def trim_end(x: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Code-aware tokens: each word in lower case, then its ``_`` parts, then its camel parts; two characters at least."""
-    words = F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit("([a-zA-Z0-9_]+)"), F.lit(1))
+    text = F.coalesce(as_col(text), F.lit(""))
+    words = F.regexp_extract_all(text, F.lit("([a-zA-Z0-9_]+)"), F.lit(1))
     none = F.array().cast("array<string>")
     lowered = lambda xs: F.transform(xs, lambda x: F.lower(x))
 
@@ -46,7 +47,10 @@ def tokens(text: Column | str) -> Column:
         camel = F.when(w.rlike("[a-z][A-Z]"), lowered(F.split(F.regexp_replace(w, "([a-z])([A-Z])", "$1 $2"), " ", -1))).otherwise(none)
         return F.concat(F.array(F.lower(w)), snake, camel)
 
-    return F.filter(F.flatten(F.transform(words, parts)), lambda t: F.length(t) >= 2)
+    every = F.filter(F.flatten(F.transform(words, parts)), lambda t: F.length(t) >= 2)
+    # prose has words without parts: then lowering comes first, unless a character beyond ASCII would turn into a letter
+    prose = ~text.rlike("_|[a-z][A-Z]|[\u0130\u212A]")
+    return F.when(prose, F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), F.lit(1))).otherwise(every)
 
 
 def query_tokens(text: str) -> list[str]:

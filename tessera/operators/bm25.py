@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
+from ..functions.vectors import let
+from ..sources.tables import staged
 
 K1, B = 1.2, 0.75
 
@@ -73,17 +75,19 @@ def scored(toks: DataFrame, query: str, keep: Column | None = None) -> DataFrame
     """id, score, matches of every hit. ``toks``: id, toks and what ``keep`` needs.
 
     ``keep`` filters what is scored and nothing else: counts and lengths are of all documents. The query's terms are
-    known, so their counts are taken row by row in one scan, and nothing is shuffled but one row of sums and the best.
+    known, so their counts are taken row by row in one scan and staged, and nothing is shuffled but one row of sums and
+    the best.
     """
     terms = query_terms(query)
     if not terms:
         return toks.sparkSession.createDataFrame([], f"id {toks.schema['id'].dataType.simpleString()}, score double, matches array<string>")
     n = len(terms)
-    counted = toks.select("*", F.size("toks").cast("long").alias("dl"), *(F.size(F.filter("toks", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    # one value a row that everything is taken from: tokens are made once, and what is kept of them is a few numbers
+    count = lambda ts: F.struct(F.size(ts).cast("long").alias("dl"), *(F.size(F.filter(ts, _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    counted = staged(toks.select("id", kept.alias("kept"), let(F.col("toks"), count).alias("n")).select("id", "kept", "n.*"), "counted")
     stats = counted.agg(F.count("*").alias("ndocs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)))
-    hits = counted.where(F.greatest(*(F.col(f"tf{i}") for i in range(n)), F.lit(0)) > 0)
-    if keep is not None:
-        hits = hits.where(keep)
+    hits = counted.where(F.col("kept") & (F.greatest(*(F.col(f"tf{i}") for i in range(n)), F.lit(0)) > 0))
     part = lambda i: F.when(F.col(f"tf{i}") > 0, F.struct(F.lit(terms[i]).alias("t"), (idf(F.col("ndocs"), F.col(f"df{i}")) * tf_norm(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"))).alias("s")))
     parts = F.array_compact(F.array(*(part(i) for i in range(n))))
     return hits.crossJoin(F.broadcast(stats)).select("id", parts.alias("parts")).select("id", _summed(F.col("parts")).alias("score"), F.transform("parts", lambda x: x["t"]).alias("matches"))

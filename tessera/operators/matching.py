@@ -7,6 +7,7 @@ written back with those they had.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,21 +96,42 @@ def common_share(a: str, b: str) -> float:
     return (len(a) - row.bit_count()) / len(a)
 
 
-def best_window(content: str, search: str) -> tuple[int, float, float]:
-    """Line (from 0) and score of the best window, and the score of the next best; scores are -1 where there is none."""
+def best_window(content: str, search: str, floor: float = FUZZY_SCORE - FUZZY_MARGIN) -> tuple[int, float, float]:
+    """Line (from 0) and score of the best window, and the score of the next best; -1 where none reaches ``floor``.
+
+    A common subsequence is no longer than the shorter line, nor than the characters that both have; windows that can't
+    reach the floor by these bounds aren't compared.
+    """
     lines, wanted = [x.strip() for x in content.split("\n")], [x.strip() for x in search.split("\n")]
-    known: dict[tuple[str, str], float] = {}
+    k, known = len(wanted), {}
+    bags: dict[str, Counter] = {}
+
+    def bag(x: str) -> Counter:
+        if x not in bags:
+            bags[x] = Counter(x)
+        return bags[x]
+
+    def by_length(a: str, b: str) -> float:
+        return min(len(a), len(b)) / (max(len(a), len(b)) or 1) if a != b else 1.0
+
+    def by_characters(a: str, b: str) -> float:
+        return (bag(a) & bag(b)).total() / (max(len(a), len(b)) or 1) if a != b else 1.0
 
     def share(a: str, b: str) -> float:
         if (a, b) not in known:
             known[a, b] = common_share(a, b)
         return known[a, b]
 
-    scores = [sum(share(lines[i + j], w) for j, w in enumerate(wanted)) / len(wanted) for i in range(len(lines) - len(wanted) + 1)]
-    if not scores:
+    best: list[tuple[float, int]] = []
+    for i in range(len(lines) - k + 1):
+        pairs = list(zip(lines[i : i + k], wanted, strict=True))
+        if all(sum(f(a, b) for a, b in pairs) >= floor * k for f in (by_length, by_characters)):
+            score = sum(share(a, b) for a, b in pairs) / k
+            if score >= floor:
+                best = sorted([*best, (-score, i)])[:2]
+    if not best:
         return -1, -1.0, -1.0
-    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
-    return order[0], scores[order[0]], scores[order[1]] if len(order) > 1 else -1.0
+    return best[0][1], -best[0][0], -best[1][0] if len(best) > 1 else -1.0
 
 
 def _fuzzy(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
