@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import line_span
 from ..functions.text import trim_space, with_line_ends
+from ..functions.vectors import let
 
 # Fixed values.
 FUZZY_SCORE, FUZZY_MARGIN = 0.85, 0.05
@@ -55,9 +56,13 @@ def normalised_places(lines: Column, wanted: Column) -> Column:
 
     Places of the block's first line come first, so the slices that are compared are few.
     """
-    n = F.size(wanted)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(lines) - n)), lambda i: F.try_element_at(lines, i + 1) == F.element_at(wanted, 1))
-    return F.when(F.size(lines) >= n, F.filter(at, lambda i: F.slice(lines, i + 1, n) == wanted)).otherwise(F.array().cast("array<int>"))
+
+    def places(ls: Column, ws: Column) -> Column:
+        n = F.size(ws)
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ls) - n)), lambda i: F.try_element_at(ls, i + 1) == F.element_at(ws, 1))
+        return F.when(F.size(ls) >= n, F.filter(at, lambda i: F.slice(ls, i + 1, n) == ws)).otherwise(F.array().cast("array<int>"))
+
+    return let(lines, lambda ls: let(wanted, lambda ws: places(ls, ws)))
 
 
 def locate_exact(requests: DataFrame) -> DataFrame:
@@ -70,30 +75,50 @@ def locate_exact(requests: DataFrame) -> DataFrame:
     return d.withColumn("span", F.when(F.col("at").isNotNull(), line_span(F.col("c"), F.col("at"), F.length("s")))).withColumn("blank", blank).drop("places")
 
 
-def locate_normalised(left: DataFrame) -> DataFrame:
-    """The same by trimmed lines, for requests without an exact match: n_normal, line (from 0)."""
-    trimmed = lambda c: F.transform(F.split(c, "\n", -1), lambda x: trim_space(x))
-    d = left.withColumn("places", normalised_places(trimmed(F.col("c")), trimmed(F.col("s"))))
-    return d.withColumn("n_normal", F.size("places")).withColumn("line", _nearest(F.col("places"), F.col("line_hint"), lambda p: p + 1)).drop("places")
+def _trimmed(content: Column) -> Column:
+    return F.transform(F.split(content, "\n", -1), lambda x: trim_space(x))
+
+
+def locate_normalised(exact: DataFrame) -> DataFrame:
+    """The same by trimmed lines, for rows of ``locate_exact`` without an exact match: n_normal, line (from 0)."""
+    open_ = ~F.col("blank") & (F.col("n_exact") == 0)
+    d = exact.withColumn("places", F.when(open_, normalised_places(_trimmed(F.col("c")), _trimmed(F.col("s")))))
+    return d.withColumn("n_normal", F.size("places")).withColumn("line", F.when(open_, _nearest(F.col("places"), F.col("line_hint"), lambda p: p + 1))).drop("places")
+
+
+def _same_start(a: str, b: str) -> int:
+    """Characters that both begin with, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
 
 
 def common_share(a: str, b: str) -> float:
     """Characters of a longest common subsequence over the longer length."""
     if a == b:
         return 1.0
+    longest = max(len(a), len(b))
+    # what both begin and end with belongs to a longest one, so only the middle is compared
+    start = _same_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _same_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
     if len(a) < len(b):
         a, b = b, a
-    if not b:
-        return 0.0
     # bit-parallel: one bit for each character of the longer string
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+    row = full = (1 << len(a)) - 1
     for ch in b:
         hit = row & masks.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return (len(a) - row.bit_count()) / len(a)
+    return (start + end + len(a) - row.bit_count()) / longest
 
 
 def best_window(content: str, search: str, floor: float = FUZZY_SCORE - FUZZY_MARGIN) -> tuple[int, float, float]:
@@ -136,38 +161,39 @@ def best_window(content: str, search: str, floor: float = FUZZY_SCORE - FUZZY_MA
 
 def _fuzzy(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for contents, searches in it:
-        yield pd.DataFrame([best_window(c, s) for c, s in zip(contents, searches, strict=True)], columns=["line", "best", "second"])
+        yield pd.DataFrame([(-1, -1.0, -1.0) if c is None else best_window(c, s) for c, s in zip(contents, searches, strict=True)], columns=["line", "best", "second"])
 
 
 def fuzzy(content: Column | str, search: Column | str) -> Column:
-    """line, best, second of the best window."""
+    """line, best, second of the best window; a null content has none."""
     return F.pandas_udf(_fuzzy, "line int, best double, second double")(content, search)
 
 
 def located(requests: DataFrame) -> DataFrame:
     """``requests`` with c (LF content), s, strategy (exact, whitespace_normalized, fuzzy or none), error, at, line, first,
-    last and score. Each stage runs on what earlier ones left; more than one match without a hint is refused."""
-    empty = lambda kind: F.lit(None).cast(kind)
-    exact = locate_exact(requests)
-    keep = [*requests.columns, "c", "s"]
+    last and score. More than one match without a hint is refused.
 
-    def out(d: DataFrame, strategy: Column, error: Column, at: Column, line: Column, first: Column, last: Column, score: Column) -> DataFrame:
-        return d.select(*keep, strategy.alias("strategy"), error.alias("error"), at.cast("int").alias("at"), line.cast("int").alias("line"), first.cast("long").alias("first"), last.cast("long").alias("last"), score.cast("double").alias("score"))
-
-    took = F.col("at").isNotNull()
+    Each stage does its work only on rows that earlier ones left, in one pass over the requests.
+    """
+    d = locate_normalised(locate_exact(requests))
+    left = ~F.col("blank") & (F.col("n_exact") == 0) & (F.col("n_normal") == 0)
+    d = d.withColumn("f", fuzzy(F.when(left, F.col("c")), F.when(left, F.col("s"))))
+    good = left & (F.col("f.best") >= FUZZY_SCORE)
+    close = good & (F.col("f.second") >= 0) & (F.col("f.best") - F.col("f.second") < FUZZY_MARGIN - 1e-9)
+    is_exact, is_normal, is_fuzzy = F.col("at").isNotNull(), F.col("line").isNotNull(), good & ~close
     many = lambda n, what: F.concat(F.lit("ambiguous: "), n.cast("string"), F.lit(f" {what} matches"))
-    first = out(exact.where("blank OR n_exact > 0"), F.when(took, "exact").otherwise("none"), F.when(F.col("blank"), "empty").when(~took, many(F.col("n_exact"), "exact")), F.col("at"), empty("int"), F.col("span.first"), F.col("span.last"), F.when(took, 1.0))
-    normal = locate_normalised(exact.where("NOT blank AND n_exact = 0"))
-    took = F.col("line").isNotNull()
+    error = (
+        F.when(F.col("blank"), "empty").when(F.col("n_exact") > 0, F.when(~is_exact, many(F.col("n_exact"), "exact"))).when(F.col("n_normal") > 0, F.when(~is_normal, many(F.col("n_normal"), "normalized")))
+        .when(close, "ambiguous: fuzzy candidates are too close").when(~good, "not found")
+    )
+    line = F.when(is_normal, F.col("line")).when(is_fuzzy, F.col("f.line"))
     rows = F.size(F.split("s", "\n", -1))
-    second = out(normal.where("n_normal > 0"), F.when(took, "whitespace_normalized").otherwise("none"), F.when(~took, many(F.col("n_normal"), "normalized")), empty("int"), F.col("line"), F.col("line") + 1, F.col("line") + rows, F.when(took, 1.0))
-    rest = normal.where("n_normal = 0").withColumn("f", fuzzy("c", "s"))
-    good = F.col("f.best") >= FUZZY_SCORE
-    close = good & (F.col("f.second") >= 0) & (F.col("f.best") - F.col("f.second") < FUZZY_MARGIN)
-    took = good & ~close
-    line = F.when(took, F.col("f.line"))
-    third = out(rest, F.when(took, "fuzzy").otherwise("none"), F.when(close, "ambiguous: fuzzy candidates are too close").when(~good, "not found"), empty("int"), line, line + 1, line + rows, F.when(F.col("f.best") >= 0, F.col("f.best")))
-    return first.unionByName(second).unionByName(third)
+    strategy = F.when(is_exact, "exact").when(is_normal, "whitespace_normalized").when(is_fuzzy, "fuzzy").otherwise("none")
+    return d.select(
+        *requests.columns, "c", "s", strategy.alias("strategy"), error.alias("error"), F.col("at").cast("int").alias("at"), line.cast("int").alias("line"),
+        F.when(is_exact, F.col("span.first")).otherwise(line + 1).cast("long").alias("first"), F.when(is_exact, F.col("span.last")).otherwise(line + rows).cast("long").alias("last"),
+        F.when(is_exact | is_normal, F.lit(1.0)).when(left & (F.col("f.best") >= 0), F.col("f.best")).alias("score"),
+    )
 
 
 def applied(found: DataFrame) -> DataFrame:

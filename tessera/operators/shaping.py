@@ -110,7 +110,7 @@ def shaped(hits: DataFrame, query: str, mode: str = "auto", by: str = "of") -> D
         hits = hits.withColumn(by, F.lit(0))
     counted = hits.groupBy(by).agg(F.count("*").alias("n_hits"), F.min_by("content", "rank").alias("lead"))
     modes = counted.select(by, "n_hits", automatic_mode(F.col("n_hits"), F.col("lead")).alias("mode") if mode == "auto" else F.lit(mode).alias("mode"))
-    d = previews(hits, query).join(F.broadcast(modes), by)
+    d = previews(hits, query).join(modes, by)
     whole = F.struct(F.col("id"), F.col("start_line").cast("long").alias("first"), F.col("end_line").cast("long").alias("last"))
     seen = F.struct(F.col("id"), (F.col("start_line") + F.col("first")).cast("long").alias("first"), (F.col("start_line") + F.col("last") - 1).cast("long").alias("last"))
     as_preview = (F.col("mode") == "preview") | ((F.col("mode") == "mixed") & (F.col("rank") <= PREVIEW_HITS))
@@ -119,7 +119,7 @@ def shaped(hits: DataFrame, query: str, mode: str = "auto", by: str = "of") -> D
     entries = d.select(by, "rank", text.alias("text"), shown.alias("range"))
     bounded = within_budget(entries.join(modes.where("mode <> 'full'"), by, "left_semi"), BUDGET, by)
     every = entries.join(modes.where("mode = 'full'"), by, "left_semi").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.lit(False).alias("truncated"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "range"))), lambda x: x["range"]).alias("ranges"))
-    both = bounded.unionByName(every).join(F.broadcast(modes), by)
+    both = bounded.unionByName(every).join(modes, by)
     if mode == "full":
         return both.select(by, "mode", "text", "truncated", "ranges")
     lead = F.least(F.lit(PREVIEW_HITS), F.col("n_hits"))
