@@ -1,10 +1,12 @@
 """Operators 3, 6, 7, 8 and 9 against plain Python."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +67,6 @@ def test_likelihood_ratio_matches_plain(spark):
 
 
 def test_token_counts_match_naive_longest_match(spark):
-    public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
     vocabulary = token_counts.byte_vocabulary(path)
 
@@ -79,8 +80,6 @@ def test_token_counts_match_naive_longest_match(spark):
         return n
 
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_words int")
-    import re
-
     for r in token_counts.token_counts(docs, path).collect():
         text = re.sub("[A-Z]", lambda m: m[0].lower(), TEXTS[r["doc_id"]] or "")
         ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
