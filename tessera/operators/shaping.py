@@ -16,7 +16,8 @@ from ..functions.text import clip_to_budget, compact_signature, forward_slashes,
 BUDGET, PREVIEW_LINES, PREVIEW_CHARS, FULL_CHARS, PREVIEW_HITS, BEFORE = 8000, 12, 1400, 6000, 3, 2
 
 
-def header(c: Column | None = None) -> Column:
+def header() -> Column:
+    """Place, kind, symbol, signature, signal and first matches of a hit."""
     sig = compact_signature("signature")
     head = F.when((F.length(sig) > 0) & (sig != F.col("symbol")), F.concat(F.lit(" — "), sig)).otherwise(F.lit(""))
     signal = F.when(F.length("signal") > 0, F.concat(F.lit(" ["), F.col("signal"), F.lit("]"))).otherwise(F.lit(""))
