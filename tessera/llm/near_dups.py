@@ -340,12 +340,12 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "d
     """
     found = materialise(near_duplicates(docs, k, similarity, id_col, text_col, most_broadcast=most_broadcast), "found")
     named = found.where("doc_id IS NOT NULL")
-    drop = named.where("doc_id <> component_id").select(F.col("doc_id").alias("drop")).distinct()
-    again = materialise(named.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
+    drop = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    again = named.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    again = materialise(again.select(F.col("doc_id").alias("__twice")), "again")
     n = drop.count()
-    left = docs.join(F.broadcast(drop) if n <= most_broadcast else drop, F.col(id_col) == F.col("drop"), "left_anti")
+    left = docs.join(F.broadcast(drop) if n <= most_broadcast else drop, docs[id_col] == drop["__drop"], "left_anti")
     if again.isEmpty():
         return left
-    twice = left.join(again.select(F.col("doc_id").alias("twice")), F.col(id_col) == F.col("twice"), "left_semi")
-    once = left.join(again.select(F.col("doc_id").alias("twice")), F.col(id_col) == F.col("twice"), "left_anti")
-    return once.unionByName(twice.dropDuplicates([id_col]))
+    is_twice = left[id_col] == again["__twice"]
+    return left.join(again, is_twice, "left_anti").unionByName(left.join(again, is_twice, "left_semi").dropDuplicates([id_col]))

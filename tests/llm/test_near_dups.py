@@ -66,7 +66,8 @@ def test_no_rows_and_no_links(spark):
 def test_keep_one(spark):
     text = " ".join(f"t{i}" for i in range(60))
     rows = [(3, text, "a"), (2, text + " x", "b"), (2, text + " x", "b"), (9, "other words", "c"), (9, "other words", "c"), (None, text, "d"), (5, None, "e"), (5, None, "e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, drop int, twice int")
+    assert near_dups.keep_one(docs).columns == docs.columns and near_dups.keep_one(docs.limit(0)).collect() == []
     got = sorted(tuple(r) for r in near_dups.keep_one(docs).select("source").collect())
     assert got == [("b",), ("c",), ("d",), ("e",), ("e",)]
 
