@@ -5,6 +5,10 @@ Everything but finding the symbols is column expressions over a file's own lines
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,36 @@ def brace_end(lines: Column, line: Column) -> Column:
     return F.coalesce(F.aggregate(F.sequence(line, n), start, step, lambda a: a["end"]), n)
 
 
+def ends_of_braces(lines: list[str]) -> list[int]:
+    """``brace_end`` of every line (from 1), in one pass from the last line on."""
+    depth = [0]
+    for x in lines:
+        depth.append(depth[-1] + x.count("{") - x.count("}"))
+    ends, low, at = [len(lines)] * len(lines), [], []  # low, at: depths that no line between is as low as, the nearest line last
+    for j in range(len(lines), 0, -1):
+        while low and low[-1] >= depth[j]:
+            low.pop()
+            at.pop()
+        low.append(depth[j])
+        at.append(j)
+        i = j if "{" in lines[j - 1] else 0
+        while i and (i == j or "{" not in lines[i - 1]):
+            if k := bisect_right(low, depth[i - 1]):
+                ends[i - 1] = at[k - 1]
+            i -= 1
+    return ends
+
+
+def _ends(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in it:
+        yield pd.Series([None if t is None else ends_of_braces(t.split("\n")) for t in texts], dtype=object)
+
+
+def brace_ends(text: Column | str) -> Column:
+    """``brace_end`` of each of a text's lines, in order; null for a null text."""
+    return F.pandas_udf(_ends, "array<int>")(text)
+
+
 def chunked(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """id, path, start, stop, symbol, kind, signature, breadcrumb, content, embedded, indexed, hash.
 

@@ -43,10 +43,10 @@ c AS (SELECT *, length(x) - length(replace(x, '{', '')) - (length(x) - length(re
 r AS (SELECT a.page_id, a.i AS line, b.i AS j, a.n, sum(b.net) OVER w AS depth, max(b.o::INT) OVER w AS opened FROM c a JOIN c b ON a.page_id = b.page_id AND b.i >= a.i WINDOW w AS (PARTITION BY a.page_id, a.i ORDER BY b.i))
 SELECT page_id, line, coalesce(min(j) FILTER (opened = 1 AND depth <= 0), any_value(n))::BIGINT AS stop FROM r GROUP BY page_id, line""")
 def brace_span(spark, d):
-    """Where the braces that open on each of a page's first sixty lines are closed."""
-    ls = F.slice(lines_of(F.replace("html", F.lit("<"), F.lit("{\n"))), 1, 60)
-    rows = table(spark, d, "pages").select("page_id", ls.alias("ls")).select("page_id", "ls", F.explode(F.sequence(F.lit(1), F.size("ls"))).alias("at"))
-    return rows.select("page_id", F.col("at").cast("long").alias("line"), chunking.brace_end(F.col("ls"), F.col("at")).cast("long").alias("stop"))
+    """Where the braces that open on each of a page's lines are closed."""
+    ends = F.posexplode(chunking.brace_ends(F.replace("html", F.lit("<"), F.lit("{\n")))).alias("at", "stop")
+    rows = table(spark, d, "pages").select("page_id", ends)
+    return rows.select("page_id", (F.col("at") + 1).cast("long").alias("line"), F.col("stop").cast("long").alias("stop"))
 
 
 _DEFS = "d AS (SELECT l_suppkey AS k, l_partkey * 10 + min(l_linenumber) AS line, l_partkey * 10 + min(l_linenumber) + max(l_quantity)::BIGINT AS stop, CASE WHEN min(l_linenumber) % 3 = 0 THEN 'class' ELSE 'method' END AS kind, 'n' || l_partkey AS name FROM lineitem GROUP BY l_suppkey, l_partkey)"
