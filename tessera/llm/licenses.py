@@ -3,9 +3,9 @@
 A positional rare-token index. The licence words of a text and their positions form its postings; how many texts hold
 each licence word gives its rarity (IDF). A template's rarest word is its anchor: only texts that hold it are looked at.
 Postings of the words of a phrase, each shifted by its place in the phrase, are intersected, which leaves the exact
-starts of the phrase. A template of one's own is a candidate if its anchor is among the text's ``top_words`` rarest
-licence words; it is accepted if all of its mandatory phrases stand in the text and the IDF-weighted share of its words
-that lie on one diagonal (position in text minus position in template) is at least ``min_share``.
+starts of the phrase. A template of one's own is a candidate if its anchor stands in the text; it is accepted if all of
+its mandatory phrases stand in the text and the IDF-weighted share of its words that lie on one diagonal (position in
+text minus position in template) is at least ``min_share``.
 
 Everything after the scan is a projection of one row: nothing is shuffled but one count for each licence word.
 """
@@ -123,7 +123,7 @@ def idf(found: DataFrame, vocabulary: Sequence[str]) -> tuple[int, dict[str, int
     return counts.get("", 0), {w: counts.get(w, 0) for w in vocabulary}
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = BASE + OWN, top_words: int = 8, min_share: float = 0.6) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = BASE + OWN, min_share: float = 0.6) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A null or empty text has no words, no places (first_word and last_word null), empty labels and score 0. Repeated
@@ -136,9 +136,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weight = {w: math.log((n_docs + 1) / (n + 1)) + 1 for w, n in df.items()}
     rare = sorted(index.vocabulary, key=lambda w: (df[w], w))
     rank = {w: i for i, w in enumerate(rare)}
-    ranked = F.array(*(F.lit(w) for w in rare))
-    rarest = F.slice(F.filter(ranked, lambda w: F.array_contains(F.transform("hits", lambda h: h["w"]), w)), 1, top_words)
-    held = found.withColumn("rarest", F.when(F.size("hits") > 0, rarest).otherwise(F.array().cast("array<string>")))
+    held = found
     none, columns, labels, places = F.array().cast("array<int>"), [], [], []
     for i, t in enumerate(index.templates):
         anchor = min((w for w, _ in Index.places(t.words)), key=rank.__getitem__)
@@ -150,7 +148,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             continue
         key = [min((w for w, _ in Index.places(p)), key=rank.__getitem__) for p in t.mandatory]
         verified = reduce(Column.__and__, [F.size(_starts(p, a)) > 0 for p, a in zip(t.mandatory, key, strict=True)])
-        share = F.when(F.array_contains("rarest", anchor), F.when(verified, _share(Index.places(t.words), weight))).otherwise(F.lit(None).cast("double"))
+        share = F.when(_holds(anchor), F.when(verified, _share(Index.places(t.words), weight))).otherwise(F.lit(None).cast("double"))
         held = held.withColumn(f"s{i}", share)
         columns.append(F.when(F.col(f"s{i}") >= min_share, F.col(f"s{i}")).otherwise(F.lit(0.0)))
         labels.append(F.when(F.col(f"s{i}") >= min_share, F.lit(t.label)))
