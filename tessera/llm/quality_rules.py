@@ -5,19 +5,21 @@ A document's score is the mean, over its n-grams, of log p(trusted) - log p(raw)
 threshold is the score below which only ``trusted_loss`` of the trusted documents lie, less ``slack``: the same rows
 always give the same verdicts, and each document gets one.
 
-The raw counts cover every document. The trusted model may be fitted on a bounded sample: ``most_trusted`` labelled
-documents at most, the first by a hash of the id.
+Counts and threshold cover every document. Which documents are trusted comes from a join with the labels; the threshold
+is exact, found among the trusted scores by ever narrower histograms.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, text_bytes, word_hashes
+from .common import frugal, materialise, text_bytes, word_hashes
 
 NGRAM, BUCKETS = 4, 1 << 14
 # The symbols of the rule, and what is no code point of a word (white space and UTF-8 continuation bytes).
@@ -54,21 +56,60 @@ def grams(raw: bytes, buckets: int = BUCKETS) -> np.ndarray:
     return (code >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
 
 
-def trusted_ids(labels: DataFrame, most: int, id_col: str, label_col: str) -> list[int]:
-    """Ids whose every label is 1, a bounded number of them."""
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col(label_col), F.lit(0))).alias("q")).where("q = 1")
-    return sorted(r["doc_id"] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(most).collect())
+def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """doc_id: ids whose every label is 1."""
+    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col(label_col), F.lit(0))).alias("q"))
+    return good.where("q = 1").select("doc_id")
+
 
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (doc_id and others) with good: whether the id is trusted. Null ids are dealt by their rows.
 
-def fit(docs: DataFrame, ids: list[int], buckets: int, trusted_loss: float, slack: float) -> tuple[np.ndarray, float]:
-    """Log ratios by bucket and the threshold. ``docs``: doc_id, text."""
+    Trusted ids grow with the input, so they are never broadcast; the rows of ``docs`` are shuffled once.
+    """
+    rest = F.xxhash64(*(F.col(c) for c in docs.columns))
+    keyed = docs.withColumns({"known": F.col("doc_id").isNotNull(), "key": F.coalesce("doc_id", rest)})
+    good = ids.select(F.lit(True).alias("known"), F.col("doc_id").alias("key"), F.lit(True).alias("good")).hint("shuffle_hash")
+    return keyed.join(good, ["known", "key"], "left").select(*docs.columns, F.coalesce("good", F.lit(False)).alias("good"))
+
+
+def at_rank(scores: DataFrame, low: float, high: float, rank: int, most: int = 4096) -> float:
+    """The value of a rank (from 0) among s, which lies in [low, high]. ``scores``: s, n (how often)."""
+    while True:
+        inner = scores.where((F.col("s") >= low) & (F.col("s") <= high))
+        if inner.count() <= most:
+            for r in sorted(inner.collect(), key=lambda r: r["s"]):
+                if rank < r["n"]:
+                    return r["s"]
+                rank -= r["n"]
+        cell = F.least(F.floor((F.col("s") - low) / ((high - low) / most)), F.lit(most - 1))
+        found = inner.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect()
+        for r in sorted(found, key=lambda r: r["cell"]):
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+
+
+def percentile(scores: DataFrame, share: float) -> float | None:
+    """As SQL's percentile, of all of s, without holding them in one place."""
+    counted = materialise(scores.groupBy("s").agg(F.count("*").alias("n")), "trusted_scores")
+    whole = counted.agg(F.sum("n").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).first()
+    if not whole["n"]:
+        return None
+    place = share * (whole["n"] - 1)
+    below, above = (at_rank(counted, whole["low"], whole["high"], r) for r in (math.floor(place), math.ceil(place)))
+    return below + (place - math.floor(place)) * (above - below)
+
+
+def fit(docs: DataFrame, ids: DataFrame, buckets: int, trusted_loss: float, slack: float) -> tuple[np.ndarray, float]:
+    """Log ratios by bucket and the threshold. ``docs``: doc_id, text. ``ids``: doc_id, the trusted ones."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.array(ids, dtype=np.int64))
 
     def count(batches):
         raw_count, good_count = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            good = np.isin(np.array([-1 if x is None else x for x in batch.column(0).to_pylist()]), shared.value)
+            good = batch.column(0).to_pylist()
             for i, raw in enumerate(text_bytes(batch.column(1))):
                 n = np.bincount(grams(raw, buckets), minlength=buckets)
                 raw_count += n
@@ -78,22 +119,21 @@ def fit(docs: DataFrame, ids: list[int], buckets: int, trusted_loss: float, slac
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw_count[at]), pa.array(good_count[at])], names=["b", "raw", "good"])
 
     raw, good = np.ones(buckets), np.ones(buckets)
-    for r in docs.mapInArrow(frugal(count), "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
+    for r in marked(docs, ids).select("good", "text").mapInArrow(frugal(count), "b long, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
         raw[r["b"]] += r["raw"]
         good[r["b"]] += r["good"]
     ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
-    if not ids:
+    if ids.isEmpty():
         return np.zeros(buckets), -np.inf
-    few = spark.createDataFrame([(x,) for x in ids], "doc_id long")
     model = spark.sparkContext.broadcast(ratio)
 
     def score(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([mean_ratio(raw, model.value) for raw in text_bytes(batch.column(0))])], names=["s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mean_ratio(raw, model.value) for raw in text_bytes(batch.column(1))])], names=["doc_id", "s"])
 
-    # the broadcast ids are as many as most_trusted says, at most
-    scores = docs.join(F.broadcast(few), "doc_id", "left_semi").select("text").mapInArrow(frugal(score), "s double")
-    lowest = scores.agg(F.expr(f"percentile(s, {trusted_loss})").alias("s")).first()["s"]
+    # scored before the join, so that it moves no texts
+    scores = docs.where(F.col("doc_id").isNotNull()).mapInArrow(frugal(score), "doc_id long, s double").join(ids, "doc_id", "left_semi")
+    lowest = percentile(scores.select("s"), trusted_loss)
     return ratio, -np.inf if lowest is None else lowest - slack
 
 
@@ -102,7 +142,7 @@ def mean_ratio(raw: bytes, ratio: np.ndarray) -> float:
     return float(ratio[at].mean()) if len(at) else 0.0
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", most_trusted: int = 20_000, trusted_loss: float = 0.005, slack: float = 0.02, buckets: int = BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", trusted_loss: float = 0.005, slack: float = 0.02, buckets: int = BUCKETS) -> DataFrame:
     """Columns ``row`` (the document's, as a struct), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score, kept.
 
@@ -110,7 +150,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     or value are no trust; an id labelled both ways is not trusted. Without trusted documents every score is 0 and only
     the rules decide. An empty table gives no rows.
     """
-    ids = trusted_ids(labels, most_trusted, label_id_col, label_col)
+    ids = materialise(trusted_ids(labels, label_id_col, label_col), "trusted")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ratio, threshold = fit(plain, ids, buckets, trusted_loss, slack)
     model = docs.sparkSession.sparkContext.broadcast((ratio, threshold))
