@@ -10,6 +10,8 @@ Word rules
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import re
 import sys
 import tempfile
 import uuid
@@ -17,6 +19,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKEN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -45,9 +48,15 @@ def token_words(raw: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; its own only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a session on one machine gets a temporary folder; a cluster gets an error, as its executors
+    would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -116,8 +125,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends of the space words of ``raw``.
 
-    A polynomial over the bytes, from differences of one running sum, so no word is cut out in Python. It is exact up
-    to 64-bit collisions.
+    A polynomial over the bytes, from differences of one running sum, so no word is cut out in Python. Different words
+    of equal hash can be made up, so it serves for filters and buckets alone; ``word_digests`` tells words apart.
     """
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
@@ -137,14 +146,84 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(hashes + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer words, but not none, are one shingle."""
-    if not len(words):
-        return words
+_digests: dict[bytes, bytes] = {}
+_KEY = b"tessera words"
+
+
+def digest(raw: bytes) -> bytes:
+    """128 bits that tell byte strings apart."""
+    return hashlib.blake2b(raw, digest_size=16, key=_KEY).digest()
+
+
+def word_digests(raw: bytes, cached: int = 300_000, longest: int = 64) -> np.ndarray:
+    """Two independent 64-bit parts of the digest of each space word of ``raw``: an array of shape (words, 2).
+
+    A worker keeps the digests of ``cached`` words at most, none above ``longest`` bytes.
+    """
+    words = raw.split()
+    found = list(map(_digests.get, words))
+    if None in found:
+        if len(_digests) > cached:
+            _digests.clear()
+        for i, x in enumerate(found):
+            if x is None:
+                word = words[i]
+                found[i] = x = _digests.get(word) or digest(word)
+                if len(word) <= longest:
+                    _digests[word] = x
+    return np.frombuffer(b"".join(found), dtype="<u8").reshape(-1, 2)
+
+
+def _shingled(words: np.ndarray, k: int) -> np.ndarray:
+    """One hash for each k-word shingle, in order; fewer words, but not none, are one shingle."""
     k_now = min(k, len(words))
     out = np.zeros(len(words) - k_now + 1, dtype=np.uint64)
     for j in range(k_now):
         out = mix(out * np.uint64(0x2545F4914F6CDD1D) + words[j : len(words) - k_now + 1 + j] + np.uint64(j + 1))
     if k_now < k:  # a short text never equals a shingle of a longer one
         out = mix(out + np.uint64(0x5851F42D4C957F2D * (k - k_now) & 0xFFFFFFFFFFFFFFFF))
-    return np.unique(out)
+    return out
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; fewer words, but not none, are one shingle."""
+    return np.unique(_shingled(words, k)) if len(words) else words
+
+
+def shingle_pairs(digests: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 128-bit hashes of the k-word shingles, as an array of shape (shingles, 2)."""
+    if not len(digests):
+        return np.zeros((0, 2), dtype=np.uint64)
+    a, b = _shingled(digests[:, 0], k), _shingled(digests[:, 1], k)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    if same.any():
+        if (same & (b[1:] != b[:-1])).any():  # two shingles of equal first halves
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            same = a[1:] == a[:-1]
+        new = np.concatenate([[True], ~(same & (b[1:] == b[:-1]))])
+        a, b = a[new], b[new]
+    return np.stack([a, b], axis=1)
+
+
+# --- hot keys --------------------------------------------------------------------------------------------------------
+HOT_KEYS = 300_000
+
+
+def with_one_a_key(rows: DataFrame, ones: DataFrame, key: str, count: str, n_rows: int, least: int = 512) -> DataFrame:
+    """``rows`` inner-joined with ``ones``, which has one row a key and the key's number of rows in ``count``.
+
+    Keys of more than max(``least``, n_rows / HOT_KEYS) rows are fewer than HOT_KEYS, so they are broadcast, and their
+    rows stay where they are; a key that is shuffled has no more rows than that. ``n_rows`` is at most the rows there are.
+    """
+    most = max(least, n_rows // HOT_KEYS)
+    if n_rows <= most:
+        return rows.join(ones, key)
+    hot = ones.where(F.col(count) > most)
+    names = [c for c in ones.columns if c != key]
+    told = rows.join(F.broadcast(hot), key, "left")
+    warm = told.where(F.col(count).isNotNull())
+    cold = told.where(F.col(count).isNull()).drop(*names).join(ones.where(F.col(count) <= most), key)
+    return warm.select(*cold.columns).union(cold)

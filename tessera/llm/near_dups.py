@@ -10,26 +10,31 @@ them instead. Groups tied by pairs that passed, or so, are a cluster.
 
 Groups are then expanded to their classes and verified, cluster by cluster, on whole shingle sets: from each class the
 unreached ones within its bounds of size are counted against, until nothing more is reached. That finds the cluster's
-components exactly, as a row a class, never all pairs. A cluster whose sets exceed ``block_shingles`` is dealt in blocks,
-and each pair of blocks is verified in a task of its own.
+components exactly, as a row a class, never all pairs. A cluster whose sets exceed ``block_shingles`` is dealt by bands of
+size, each a similarity wide, and those in blocks; only blocks of one band or of neighbouring ones can hold a link, and
+each such pair of blocks is verified in a task of its own.
+
+Shingles are told apart by 128 bits, made of a keyed digest of each word; sets are counted, compared and verified by
+them. The first 64 bits alone order, group and filter, where equal ones cost work and lose nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, frugal, materialise, shingle_hashes, text_bytes, word_hashes
+from .common import HOT_KEYS, LOWER_TABLE, digest, frugal, materialise, shingle_hashes, shingle_pairs, text_bytes, with_one_a_key, word_digests
 from .components import connected_components
 
 
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
-    return shingle_hashes(word_hashes(raw.translate(LOWER_TABLE))[0], k)
+    """Sorted distinct 128-bit shingles, two columns."""
+    return shingle_pairs(word_digests(raw.translate(LOWER_TABLE)), k)
 
 
 def needed(n: int, similarity: int) -> int:
@@ -79,7 +84,7 @@ def frequent_shingles(docs: DataFrame, k: int, least: int = 32, most: int = 500_
 
         for batch in batches:
             for raw in text_bytes(batch.column(0)):
-                held.append(shingle_set(raw, k))
+                held.append(shingle_hashes(word_digests(raw.translate(LOWER_TABLE))[:, 0], k))
                 n += len(held[-1])
                 if n >= chunk:
                     yield flush()
@@ -101,43 +106,50 @@ def frequent_shingles(docs: DataFrame, k: int, least: int = 32, most: int = 500_
     return tokens[order], counts[order]
 
 
-def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: int) -> np.ndarray:
-    """The first shingles in the order for all."""
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: int) -> tuple[np.ndarray, int]:
+    """The first shingles in the order for all, and how many of them aren't frequent."""
     n = len(shingles)
     p = n - needed(n, similarity) + 1
     tokens, counts = frequent
     if not len(tokens):
-        return shingles[:p]
+        return shingles[:p], p
     at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
     often = tokens[at] == shingles
     first = shingles[~often][:p]
-    if len(first) < p:
+    rare = len(first)
+    if rare < p:
         late = np.lexsort((shingles[often], counts[at[often]]))
-        first = np.concatenate([first, shingles[often][late][: p - len(first)]])
-    return first
+        first = np.concatenate([first, shingles[often][late][: p - rare]])
+    return first, rare
 
 
 # --- classes and groups ----------------------------------------------------------------------------------------------
 def described(docs: DataFrame, k: int, similarity: int, frequent) -> DataFrame:
-    """doc_id, n, h (128 bits of the whole set), prefix, bits, for each row of ``docs`` (doc_id, text)."""
+    """doc_id, key, n, h (128 bits of the whole set), p (of n and prefix), prefix, rare (prefix shingles that aren't
+    frequent), bits, for each row of ``docs`` (doc_id, text, key)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+
+    def one(raw):
+        s = shingle_set(raw, k)
+        if not len(s):
+            return 0, b"", b"", [], 0, b""
+        half = np.ascontiguousarray(s[:, 0])
+        first, rare = prefix(half, shared.value, similarity)
+        return len(s), digest(s.tobytes()), digest(len(s).to_bytes(8, "little") + first.tobytes()), first.view(np.int64), rare, bitmap(half)
 
     def describe(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(at, 1000), []
-                for raw in text_bytes(part.column(1)):
-                    s = shingle_set(raw, k)
-                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix(s, shared.value, similarity).view(np.int64), bitmap(s)) if len(s) else (0, b"", [], b""))
-                types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True))], names=["doc_id", "n", "h", "prefix", "bits"])
+            out = [one(raw) for raw in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True))], names=["doc_id", "key", "n", "h", "p", "prefix", "rare", "bits"])
 
-    return docs.mapInArrow(frugal(describe), "doc_id long, n long, h binary, prefix array<long>, bits binary")
+    return docs.mapInArrow(frugal(describe), "doc_id long, key string, n long, h binary, p binary, prefix array<long>, rare int, bits binary")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row for each shingle set: c (a number), h, least (smallest doc_id), n, prefix, bits."""
-    one = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    """One row for each shingle set: c (a number), h, copies (rows that have it), least (smallest doc_id), n, p, prefix, rare, bits."""
+    first = [F.first(x).alias(x) for x in ("n", "p", "prefix", "rare", "bits")]
+    one = rows.where("n > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), *first)
     return materialise(one.withColumn("c", F.monotonically_increasing_id()), "classes")
 
 
@@ -161,8 +173,17 @@ def pairs_in_runs(tokens: np.ndarray, sizes: np.ndarray, groups: np.ndarray, pla
 
 
 def candidates(groups: DataFrame, similarity: int, run: int) -> DataFrame:
-    """a, b, tied: pairs of groups that share a prefix shingle; tied ones stand for a run that is too long for pairs."""
-    postings = groups.select("g", "n", F.posexplode("prefix").alias("place", "token"))
+    """a, b, tied: pairs of groups that share a prefix shingle; tied ones stand for a run that is too long for pairs.
+
+    Frequent shingles are counted first. Those that more groups hold than a task should see are fewer than HOT_KEYS: they
+    are broadcast with one of their groups, and the others are tied to it where they are.
+    """
+    postings = groups.select("g", "n", "rare", F.posexplode("prefix").alias("place", "token"))
+    often = groups.agg(F.sum(F.size("prefix") - F.col("rare")).alias("n")).first()["n"] or 0
+    counted = postings.where("place >= rare").groupBy("token").agg(F.count("*").alias("c"), F.min("g").alias("first"))
+    hot = F.broadcast(materialise(counted.where(F.col("c") > max(4 * run, often // HOT_KEYS)).select("token", "first"), "hot"))
+    hubs = postings.join(hot, "token").where("g <> first").select(F.least("g", "first").alias("a"), F.greatest("g", "first").alias("b"), F.lit(True).alias("tied"))
+    postings = postings.join(hot, "token", "left_anti")
 
     def meet(batches):
         tail: list[np.ndarray] | None = None
@@ -208,7 +229,7 @@ def candidates(groups: DataFrame, similarity: int, run: int) -> DataFrame:
             yield from work(tail, True)
 
     dealt = postings.select("token", "n", "g", F.col("place").cast("long").alias("place")).repartition("token").sortWithinPartitions("token", "n", "g")
-    return dealt.mapInArrow(meet, "a long, b long, tied boolean").groupBy("a", "b").agg(F.max("tied").alias("tied"))
+    return dealt.mapInArrow(meet, "a long, b long, tied boolean").union(hubs).groupBy("a", "b").agg(F.max("tied").alias("tied"))
 
 
 def passing(pairs: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
@@ -228,12 +249,26 @@ def passing(pairs: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
+def numbered(shingles: np.ndarray) -> np.ndarray:
+    """A number from 0 on for each 128-bit shingle, equal for equal ones."""
+    order = np.argsort(shingles[:, 0], kind="stable")
+    s = shingles[order]
+    same, other = s[1:, 0] == s[:-1, 0], s[1:, 1] != s[:-1, 1]
+    if (same & other).any():
+        order = np.lexsort((shingles[:, 1], shingles[:, 0]))
+        s = shingles[order]
+        same, other = s[1:, 0] == s[:-1, 0], s[1:, 1] != s[:-1, 1]
+    out = np.empty(len(s), dtype=np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(~same | other)])
+    return out
+
+
 def forest(names: list[int], sets: list[np.ndarray], similarity: int) -> Iterator[tuple[int, int]]:
     """Links that connect the sets as all of their links would: each set is tied to the one it was reached from."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     names, sets = [names[i] for i in order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
-    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    tokens = numbered(np.concatenate(sets))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(tokens.max() + 1, dtype=bool)
     left = np.ones(len(sets), dtype=bool)
@@ -265,25 +300,49 @@ def forest(names: list[int], sets: list[np.ndarray], similarity: int) -> Iterato
                 flat, owners, reached = flat[keep], owners[keep], 0
 
 
-def verified(members: DataFrame, docs: DataFrame, k: int, similarity: int, block_shingles: int, most_broadcast: int) -> DataFrame:
+def band(n: Column, similarity: int) -> Column:
+    """Sets of Jaccard similarity ``similarity`` or more are in one band of size or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / similarity * (1 + 1e-9)) if similarity < 100 else 1.0)).cast("int")
+
+
+def dealt_out(members: DataFrame, n_members: int, similarity: int, block_shingles: int) -> DataFrame:
+    """c, cluster, of, h and meets (pairs i, j of blocks to verify it in) for each class of a cluster of several."""
+    banded = members.withColumn("band", band(F.col("n"), similarity))
+    parts = banded.groupBy("cluster", "band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("shingles") / F.lit(block_shingles)).cast("int"))))  # bands are as few as a logarithm of sizes
+    total = parts.groupBy("cluster").agg(F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), blocks.alias("blocks")).where("size > 1")
+    told = with_one_a_key(banded, total, "cluster", "size", n_members)
+    small = F.col("shingles") <= block_shingles
+    in_band = lambda d: F.coalesce(F.element_at("blocks", F.col("band") + d), F.lit(0))
+    name = lambda b, i: F.concat_ws(".", b, i)
+    mine = F.pmod(F.xxhash64("c"), in_band(0)).cast("int")
+    every = lambda d: F.transform(F.when(in_band(d) > 0, F.sequence(F.lit(0), in_band(d) - 1)).otherwise(F.array().cast("array<int>")), lambda i: name(F.col("band") + d, i))
+    me = name(F.col("band"), mine)
+    pairs = F.concat(
+        F.transform(every(-1), lambda x: F.struct(x.alias("i"), me.alias("j"))),
+        F.transform(every(0), lambda x: F.struct(F.least(x, me).alias("i"), F.greatest(x, me).alias("j"))),
+        F.transform(every(1), lambda x: F.struct(me.alias("i"), x.alias("j"))),
+    )
+    whole = F.array(F.struct(F.lit("").alias("i"), F.lit("").alias("j")))
+    return told.select("c", "cluster", F.col("least").alias("of"), "h", F.when(small, whole).otherwise(pairs).alias("meets"))
+
+
+def verified(members: DataFrame, n_members: int, docs: DataFrame, k: int, similarity: int, block_shingles: int, most_broadcast: int) -> DataFrame:
     """Links a, b between classes of one cluster. ``members``: cluster, c, least, h, n."""
-    total = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
-    dealt = materialise(members.join(total, "cluster").select("c", "cluster", "least", "h", F.ceil(F.col("shingles") / F.lit(block_shingles)).cast("int").alias("blocks")), "members")
-    few = dealt.select("c", "cluster", F.col("least").alias("of"), "h", "blocks")
-    side = F.broadcast(few) if dealt.count() <= most_broadcast else few
-    texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("of"))).select("c", "cluster", "blocks", "h", "text")
+    dealt = materialise(dealt_out(members, n_members, similarity, block_shingles), "members")
+    side = F.broadcast(dealt) if dealt.count() <= most_broadcast else dealt
+    texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("of"))).select("c", "h", "text", "cluster", "meets")
+    meets = dealt.schema["meets"].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
-            sets = [shingle_set(raw, k) for raw in text_bytes(batch.column(4))]
-            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == h for s, h in zip(sets, batch.column(3).to_pylist(), strict=True)]
-            part = [x.filter(pa.array(same, pa.bool_())) for x in batch.columns[:3]]
-            yield pa.RecordBatch.from_arrays([*part, pa.array([s.tobytes() for s, ok in zip(sets, same, strict=True) if ok], pa.binary())], names=["c", "cluster", "blocks", "s"])
+            sets = [shingle_set(raw, k).tobytes() for raw in text_bytes(batch.column(2))]
+            same = pa.array([digest(s) == h for s, h in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            part = [batch.column(i).filter(same) for i in (0, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*part, pa.array(sets, pa.binary()).filter(same)], names=["c", "cluster", "meets", "s"])
 
-    cuts = texts.mapInArrow(frugal(cut), "c long, cluster long, blocks int, s binary")
-    mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    meet = cuts.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = meet.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "c", "s")
+    cuts = texts.mapInArrow(frugal(cut), f"c long, cluster long, meets {meets}, s binary")
+    keyed = cuts.select("cluster", F.explode("meets").alias("at"), "c", "s").select("cluster", "at.i", "at.j", "c", "s")
 
     def verify(batches):
         key, names, sets = None, [], []
@@ -300,52 +359,71 @@ def verified(members: DataFrame, docs: DataFrame, k: int, similarity: int, block
                         yield done()
                     key, names, sets = now, [], []
                 names.append(c)
-                sets.append(np.frombuffer(s, dtype=np.uint64))
+                sets.append(np.frombuffer(s, dtype=np.uint64).reshape(-1, 2))
         if names:
             yield done()
 
     return keyed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", run: int = 64, block_shingles: int = 1_000_000, most_broadcast: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of ``docs``; ``similarity`` is in hundredths.
-
-    A text without words, or null, has no shingles and is linked with nothing: its component is its own id. Repeated
-    rows and ids are rows of their own. A component's id is the smallest id in it that isn't null. Other columns are
-    ignored; an empty table gives no rows.
-    """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialise(described(plain, k, similarity, frequent_shingles(plain, k)), "described")
+def grouped(docs: DataFrame, k: int, similarity: int, run: int, block_shingles: int, most_broadcast: int) -> DataFrame:
+    """doc_id, key, n, component (a number for each group of linked rows), component_id (the smallest id of a group's
+    rows), for the rows of ``docs`` (doc_id, text, key); both null for rows without shingles."""
+    rows = materialise(described(docs, k, similarity, frequent_shingles(docs, k)), "described")
     classes = classes_of(rows)
-    key = ("n", F.xxhash64("prefix").alias("p"))
-    groups = classes.groupBy(*key).agg(F.min("c").alias("g"), F.first("prefix").alias("prefix"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    n_classes = classes.count()
+    groups = classes.groupBy("p").agg(F.count("*").alias("members"), F.min("c").alias("g"), *(F.first(x).alias(x) for x in ("n", "prefix", "rare")), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
     groups = materialise(groups, "groups")
     pairs = materialise(candidates(groups, similarity, run), "pairs")
     clusters = connected_components(passing(pairs, groups, similarity)).withColumnRenamed("node", "g")
-    placed = classes.select("c", "least", "h", *key).join(groups.select("n", "p", "g"), ["n", "p"]).join(clusters, "g", "left")
-    members = placed.select(F.coalesce("component", "g").alias("cluster"), "c", "least", "h", "n")
-    links = verified(members, plain, k, similarity, block_shingles, most_broadcast)
+    placed = groups.select("p", "members", "g").join(clusters, "g", "left").select("p", "members", F.coalesce("component", "g").alias("cluster"))
+    members = with_one_a_key(classes.select("c", "least", "h", "n", "p"), placed, "p", "members", n_classes)
+    links = verified(members, n_classes, docs.select("doc_id", "text"), k, similarity, block_shingles, most_broadcast)
     parts = connected_components(links).withColumnRenamed("node", "c")
-    of = classes.select("c", "h", "least").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    named = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = of.join(named, "component").select("h", "component_id")
-    return rows.join(final, "h", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of = materialise(classes.select("c", "h", "copies", "least").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c")), "parts")
+    named = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    final = materialise(with_one_a_key(of, named, "component", "classes", n_classes).select("h", "copies", "component", "component_id"), "final")
+    told = with_one_a_key(rows.where("n > 0").select("h", "doc_id", "key", "n"), final, "h", "copies", rows.count())
+    return told.select("doc_id", "key", "n", "component", "component_id").unionByName(rows.where("n = 0").select("doc_id", "key", "n"), allowMissingColumns=True)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", run: int = 64, block_shingles: int = 1_000_000, most_broadcast: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of ``docs``; ``similarity`` is in hundredths, 1 to 100.
+
+    A text without words, or null, has no shingles and is linked with nothing: its component is its own id. Repeated
+    rows and ids are rows of their own. A component's id is the smallest id in it that isn't null. Other columns are
+    ignored; an empty table gives no rows. Ids are whole numbers, or strings of such. A long text is one row of a task.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("key"))
+    found = grouped(plain, k, similarity, run, block_shingles, most_broadcast)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+_ID, _KEY, _NAMED_ID, _NAMED_KEY = "__id", "__key", "__named_id", "__named_key"
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` but for those near to a row of smaller id; of rows of equal id in a group one stays.
+    """The rows of ``docs`` but for those near to a row of smaller id; of rows of equal id the text of least digest stays,
+    of equal rows one.
 
-    Rows of null id can't be named and stay. All columns are kept. Ids to drop are broadcast up to ``most_broadcast``;
-    beyond it they are joined.
+    Rows are told apart by id and text, so texts that share an id and nothing else all stay. Rows of null id can't be
+    named and stay, as do rows without words. All columns are kept; an empty table stays empty. Rows to drop are
+    broadcast up to ``most_broadcast``; beyond it they are joined.
     """
-    found = materialise(near_duplicates(docs, k, similarity, id_col, text_col, most_broadcast=most_broadcast), "found")
-    named = found.where("doc_id IS NOT NULL")
-    drop = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    again = named.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    again = materialise(again.select(F.col("doc_id").alias("__twice")), "again")
-    n = drop.count()
-    left = docs.join(F.broadcast(drop) if n <= most_broadcast else drop, docs[id_col] == drop["__drop"], "left_anti")
-    if again.isEmpty():
-        return left
-    is_twice = left[id_col] == again["__twice"]
-    return left.join(again, is_twice, "left_anti").unionByName(left.join(again, is_twice, "left_semi").dropDuplicates([id_col]))
+    key = F.md5(F.col(text_col).cast("binary"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    found = materialise(grouped(plain, k, similarity, 64, 1_000_000, most_broadcast).where("doc_id IS NOT NULL AND n > 0"), "found")
+    heads = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.count("*").alias("size"))
+    told = with_one_a_key(found.select("component", F.struct("doc_id", "key").alias("me")), heads, "component", "size", found.count())
+    counted = materialise(told.groupBy("me", "head").agg(F.count("*").alias("c")), "told")
+    drop = counted.where("me <> head").select("me.*").distinct()
+    again = materialise(counted.where("me = head AND c > 1").select("me.*"), "again")
+    left = docs.withColumns({_ID: F.col(id_col).cast("long"), _KEY: key})
+    on = (F.col(_ID) == F.col(_NAMED_ID)) & (F.col(_KEY) == F.col(_NAMED_KEY))
+    named = lambda x: x.select(F.col("doc_id").alias(_NAMED_ID), F.col("key").alias(_NAMED_KEY))
+    side = lambda x: F.broadcast(named(x)) if x.count() <= most_broadcast else named(x)
+    left = left.join(side(drop), on, "left_anti")
+    if not again.isEmpty():
+        twice = side(again)
+        left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates([_ID, _KEY]))
+    return left.drop(_ID, _KEY)

@@ -72,6 +72,22 @@ def test_keep_one(spark):
     assert got == [("b",), ("c",), ("d",), ("e",), ("e",)]
 
 
+def test_texts_that_share_an_id_stay_apart(spark):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, other), (2, one + " x"), (3, other + " y"), (3, "alone")]
+    got = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(1, one), (1, other), (3, "alone")])
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Thue-Morse words and their complements are equal under any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    word, complement = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, f"{word} x y z"), (2, f"{complement} x y z"), (3, word), (4, complement), (5, "long " * 300_000 + "end")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 2, 1), (2, 2, 2), (3, 1, 3), (4, 1, 4), (5, 2, 5)]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(200, 200), (7, 3), (101, 100)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
