@@ -98,19 +98,11 @@ def frugal(work, rows: int = 1000):
 
 
 # --- vectorised hashing of words -----------------------------------------------------------------------------------
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _grown(which: int, n: int) -> np.ndarray:
-    """Powers of the base (0) or of its inverse (1), at least n of them."""
-    if len(_powers[which]) < n:
-        size = 1 << (n - 1).bit_length()
-        out = np.full(size, _INVERSE if which else _BASE, dtype=np.uint64)
-        out[0] = 1
-        _powers[which] = np.multiply.accumulate(out)
-    return _powers[which]
+LONG_WORD = 64
+_KEY = b"tessera words"
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_SEEDS = tuple(np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127))
+_STEPS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,32 +114,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, starts and ends of the space words of ``raw``.
-
-    A polynomial over the bytes, from differences of one running sum, so no word is cut out in Python. Different words
-    of equal hash can be made up, so it serves for filters and buckets alone; ``word_digests`` tells words apart.
-    """
-    data = np.frombuffer(raw, dtype=np.uint8)
-    if not len(data):
-        empty = np.zeros(0, dtype=np.int64)
-        return np.zeros(0, dtype=np.uint64), empty, empty
-    word = np.empty(len(data) + 2, dtype=bool)
-    word[0] = word[-1] = False
-    np.logical_not(_SPACE[data], out=word[1:-1])
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), starts, ends
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _grown(0, len(data))[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _grown(1, len(data))[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), starts, ends
-
-
-_digests: dict[bytes, bytes] = {}
-_KEY = b"tessera words"
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def digest(raw: bytes) -> bytes:
@@ -155,47 +122,61 @@ def digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16, key=_KEY).digest()
 
 
-def word_digests(raw: bytes, cached: int = 300_000, longest: int = 64) -> np.ndarray:
-    """Two independent 64-bit parts of the digest of each space word of ``raw``: an array of shape (words, 2).
+def word_hashes(raw: bytes, parts: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """64-bit hashes of the space words of ``raw`` (``parts`` of them, one or two), and the words' starts and ends.
 
-    A worker keeps the digests of ``cached`` words at most, none above ``longest`` bytes.
+    A word is read eight bytes at a time, and each step is mixed before the next, so no word is cut out in Python; words
+    above LONG_WORD bytes take a keyed digest. Both parts together tell words apart; one alone is for filters and buckets.
     """
-    words = raw.split()
-    found = list(map(_digests.get, words))
-    if None in found:
-        if len(_digests) > cached:
-            _digests.clear()
-        for i, x in enumerate(found):
-            if x is None:
-                word = words[i]
-                found[i] = x = _digests.get(word) or digest(word)
-                if len(word) <= longest:
-                    _digests[word] = x
-    return np.frombuffer(b"".join(found), dtype="<u8").reshape(-1, 2)
-
-
-def _shingled(words: np.ndarray, k: int) -> np.ndarray:
+    word = np.empty(len(raw) + 2, dtype=bool)
+    word[0] = word[-1] = False
+    np.logical_not(_SPACE[np.frombuffer(raw, dtype=np.uint8)], out=word[1:-1])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return [np.zeros(0, dtype=np.uint64)] * parts, starts, ends
+    eight = np.ndarray(len(raw), dtype="<u8", buffer=raw + bytes(8), strides=(1,))  # the eight bytes from each on
+    length = ends - starts
+    chunk = eight[starts] & _MASKS[np.minimum(length, 8)]
+    out = [mix(length.astype(np.uint64) * _STEPS[p] + chunk ^ _SEEDS[p]) for p in range(parts)]
+    left = np.flatnonzero(length > 8)
+    for at in range(8, LONG_WORD, 8):
+        if not len(left):
+            break
+        chunk = eight[starts[left] + at] & _MASKS[np.minimum(length[left] - at, 8)]
+        for p in range(parts):
+            out[p][left] = mix(out[p][left] * _STEPS[p] + chunk)
+        left = left[length[left] > at + 8]
+    for i in left.tolist():
+        both = np.frombuffer(digest(raw[starts[i] : ends[i]]), dtype="<u8")
+        for p in range(parts):
+            out[p][i] = both[p]
+    return out, starts, ends
+
+
+def shingled(words: np.ndarray, k: int) -> np.ndarray:
     """One hash for each k-word shingle, in order; fewer words, but not none, are one shingle."""
     k_now = min(k, len(words))
-    out = np.zeros(len(words) - k_now + 1, dtype=np.uint64)
-    for j in range(k_now):
-        out = mix(out * np.uint64(0x2545F4914F6CDD1D) + words[j : len(words) - k_now + 1 + j] + np.uint64(j + 1))
+    n = len(words) - k_now + 1
+    out = words[:n] * _FACTORS[0]
+    for j in range(1, k_now):
+        out += words[j : n + j] * _FACTORS[j]
     if k_now < k:  # a short text never equals a shingle of a longer one
-        out = mix(out + np.uint64(0x5851F42D4C957F2D * (k - k_now) & 0xFFFFFFFFFFFFFFFF))
-    return out
+        out += _FACTORS[k - k_now]
+    return mix(out)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; fewer words, but not none, are one shingle."""
-    return np.unique(_shingled(words, k)) if len(words) else words
+    return np.unique(shingled(words, k)) if len(words) else words
 
 
-def shingle_pairs(digests: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct 128-bit hashes of the k-word shingles, as an array of shape (shingles, 2)."""
-    if not len(digests):
+def shingle_pairs(words: list[np.ndarray], k: int) -> np.ndarray:
+    """Sorted distinct 128-bit hashes of the k-word shingles, shape (shingles, 2), from both parts of the words' hashes."""
+    if not len(words[0]):
         return np.zeros((0, 2), dtype=np.uint64)
-    a, b = _shingled(digests[:, 0], k), _shingled(digests[:, 1], k)
-    order = np.argsort(a, kind="stable")
+    a, b = shingled(words[0], k), shingled(words[1], k)
+    order = np.argsort(a)
     a, b = a[order], b[order]
     same = a[1:] == a[:-1]
     if same.any():
@@ -216,7 +197,8 @@ def with_one_a_key(rows: DataFrame, ones: DataFrame, key: str, count: str, n_row
     """``rows`` inner-joined with ``ones``, which has one row a key and the key's number of rows in ``count``.
 
     Keys of more than max(``least``, n_rows / HOT_KEYS) rows are fewer than HOT_KEYS, so they are broadcast, and their
-    rows stay where they are; a key that is shuffled has no more rows than that. ``n_rows`` is at most the rows there are.
+    rows stay where they are; a key that is shuffled has no more rows than that. ``n_rows``: the rows there are, or
+    more.
     """
     most = max(least, n_rows // HOT_KEYS)
     if n_rows <= most:

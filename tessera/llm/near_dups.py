@@ -14,8 +14,8 @@ components exactly, as a row a class, never all pairs. A cluster whose sets exce
 size, each a similarity wide, and those in blocks; only blocks of one band or of neighbouring ones can hold a link, and
 each such pair of blocks is verified in a task of its own.
 
-Shingles are told apart by 128 bits, made of a keyed digest of each word; sets are counted, compared and verified by
-them. The first 64 bits alone order, group and filter, where equal ones cost work and lose nothing.
+Shingles are told apart by 128 bits, made of two hashes of each word; sets are counted, compared and verified by them. The
+first 64 bits alone order, group and filter, where equal ones cost work and lose nothing.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, LOWER_TABLE, digest, frugal, materialise, shingle_hashes, shingle_pairs, text_bytes, with_one_a_key, word_digests
+from .common import HOT_KEYS, LOWER_TABLE, digest, frugal, materialise, shingle_hashes, shingle_pairs, text_bytes, with_one_a_key, word_hashes
 from .components import connected_components
 
 
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
     """Sorted distinct 128-bit shingles, two columns."""
-    return shingle_pairs(word_digests(raw.translate(LOWER_TABLE)), k)
+    return shingle_pairs(word_hashes(raw.translate(LOWER_TABLE), 2)[0], k)
 
 
 def needed(n: int, similarity: int) -> int:
@@ -84,7 +84,7 @@ def frequent_shingles(docs: DataFrame, k: int, least: int = 32, most: int = 500_
 
         for batch in batches:
             for raw in text_bytes(batch.column(0)):
-                held.append(shingle_hashes(word_digests(raw.translate(LOWER_TABLE))[:, 0], k))
+                held.append(shingle_hashes(word_hashes(raw.translate(LOWER_TABLE))[0][0], k))
                 n += len(held[-1])
                 if n >= chunk:
                     yield flush()
@@ -251,7 +251,7 @@ def passing(pairs: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
 # --- verification ----------------------------------------------------------------------------------------------------
 def numbered(shingles: np.ndarray) -> np.ndarray:
     """A number from 0 on for each 128-bit shingle, equal for equal ones."""
-    order = np.argsort(shingles[:, 0], kind="stable")
+    order = np.argsort(shingles[:, 0])
     s = shingles[order]
     same, other = s[1:, 0] == s[:-1, 0], s[1:, 1] != s[:-1, 1]
     if (same & other).any():

@@ -9,6 +9,7 @@ labelled rows, its temperature is fitted on rows that it didn't see, and every d
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ from .common import frugal, mix, text_bytes, word_hashes
 BUCKETS, DIM, NONZERO = 1 << 14, 64, 4
 SLICE = 256  # rows of vectors that travel together
 FEATURES = DIM + 4
+STEP = 1 << 16  # words of a text that are looked at together
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -29,8 +31,19 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (draw % np.uint64(DIM)).astype(np.int64), np.where(draw >> np.uint64(63) == 0, 1, -1).astype(np.int64)
 
 
+def _parts(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A long text cut at white space; a word above ``size`` bytes is cut too, and counts as several."""
+    at = 0
+    while len(raw) - at > size:
+        end = max(raw.rfind(c, at, at + size) for c in (b" ", b"\n", b"\t"))
+        end = end if end > at else at + size
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 def _rows(raw: bytes) -> np.ndarray:
-    return (word_hashes(raw)[0] >> np.uint64(50)).astype(np.int64)
+    return np.concatenate([(word_hashes(x)[0][0] >> np.uint64(50)).astype(np.int32) for x in _parts(raw)])
 
 
 def neighbours(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +64,14 @@ def neighbours(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for raw in text_bytes(batch.column(0)):
                 rows = _rows(raw)
                 count += np.bincount(rows, minlength=BUCKETS)
-                for a, b in ((rows[:-1], rows[1:]), (rows[1:], rows[:-1])):
-                    keys.append((a[:, None] * DIM + places[b]).ravel())
-                    weights.append(signs[b].ravel())
-                    held += len(a) * NONZERO
-                if held > 4_000_000:
-                    flush()
+                for at in range(0, len(rows) - 1, STEP):
+                    part = rows[at : at + STEP + 1]
+                    for a, b in ((part[:-1], part[1:]), (part[1:], part[:-1])):
+                        keys.append((a[:, None] * DIM + places[b]).ravel())
+                        weights.append(signs[b].ravel())
+                        held += len(a) * NONZERO
+                    if held > 4_000_000:
+                        flush()
         flush()
         table = np.concatenate([total.reshape(BUCKETS, DIM), count[:, None]], axis=1)
         for s in range(BUCKETS // SLICE):
@@ -95,11 +110,16 @@ class Vectors:
     def pooled(self, raw: bytes) -> np.ndarray:
         out = np.zeros(FEATURES, dtype=np.float64)
         rows = _rows(raw)
-        if len(rows):
-            picked = self.rows[rows]
-            out[:DIM] = picked.mean(axis=0)
-            step = (picked[1:] * picked[:-1]).sum(axis=1)
-            out[DIM:] = self.rare[rows].mean(), step.mean() if len(step) else 0.0, len(np.unique(rows)) / len(rows), np.log1p(len(rows)) / 10
+        if n := len(rows):
+            alike, seen = 0.0, np.zeros(len(self.rare), dtype=bool)
+            for at in range(0, n, STEP):
+                part = rows[at : at + STEP + 1]  # its last is the next part's first
+                picked = self.rows[part]
+                out[:DIM] += picked[:STEP].sum(axis=0, dtype=np.float64)
+                alike += float((picked[1:] * picked[:-1]).sum(axis=1).sum(dtype=np.float64))
+                seen[part] = True
+            out[:DIM] /= n
+            out[DIM:] = self.rare[rows].mean(), alike / max(1, n - 1), seen.sum() / n, np.log1p(n) / 10
         return out
 
 
@@ -165,7 +185,9 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     The word vectors are of all documents. The network is fitted on ``most_labelled`` labelled rows at most, the first by
     a hash of the id, none of them held out. A null or empty text has all features 0 and still a score. Labels of null id
-    or value are left out; an id labelled both ways counts as 0. Null ids are never held out. Other columns are ignored.
+    or value are left out; an id labelled both ways counts as 0. Null ids are never held out nor learnt from. Repeated rows
+    are scored each. Other columns are ignored; an empty table gives no rows. A long text is pooled part by part. Ids are
+    whole numbers, or strings of such.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
