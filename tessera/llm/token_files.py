@@ -1,10 +1,14 @@
 """Operator 5: token ids in binary shards with a minimal perfect hash index.
 
-Documents are ranged by id; each task encodes its range and writes one shard. A shard file holds, in order: the raw ids
-of its documents (little-endian, 2 bytes each if the vocabulary allows, else 4) in blocks, then one footer block. The
-footer has the documents' ids in order, a minimal perfect hash over the keys, and for each of its slots a fingerprint of
-the key, the byte offset of its ids and their number. A lookup hashes the key, ranks one bit and reads one slot,
-whatever the number of documents; a key that isn't there fails the fingerprint.
+Texts are encoded where they are read; their ids are written down and ranged by document id, in as many shards of about
+``shard_bytes`` as they need. A shard file holds, in order: the raw ids of its documents (little-endian, 2 bytes each if
+the vocabulary allows, else 4) in blocks, then one footer block. The footer has the documents' ids in order, a minimal
+perfect hash over the keys with the rank of each of its words of bits, and for each slot a fingerprint of the key, the
+byte offset of its ids and their number. A manifest beside the shards has a row for each: its range of ids and its size.
+
+A lookup finds the shard by a binary search of the manifest. In the shard it hashes the key, reads one word of bits and its
+rank for each level it passes (1.6 on average), then one slot: the same few reads whatever the number of documents. A key
+that isn't there fails the fingerprint.
 
 Shards are written by Spark's own text writer, one record a block, so any file system that Spark writes works and a lost
 task leaves nothing behind. A byte array cast to a string is written as it is, and one line end follows each block.
@@ -14,7 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,13 @@ from pyspark.sql import functions as F
 from .common import frugal, materialise, mix, shared_dir
 from .encode import encoder
 
-MAGIC = b"TSRATOK1"
+MAGIC = b"TSRATOK2"
 _HEAD = struct.Struct("<8sIIQQQ")  # magic, width, levels, documents, ids, left over
 _TAIL = struct.Struct("<Q8s")  # bytes of the footer before this, magic
+_SLOT = np.dtype([("print", "<u4"), ("offset", "<u8"), ("count", "<u8")])
 BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
+_NULL = 1 << 40  # what is added to the occurrence of a null id
 
 
 # --- minimal perfect hash --------------------------------------------------------------------------------------------
@@ -44,39 +51,68 @@ def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(size)).astype(np.int64)
 
 
+@dataclass
+class Level:
+    """A bit array: its size, its words, and how many bits are set before each word, those of earlier levels too."""
+
+    size: int
+    words: np.ndarray
+    ranks: np.ndarray
+
+    @staticmethod
+    def of(bits: np.ndarray, before: int) -> Level:
+        raw = np.packbits(bits, bitorder="little")
+        words = np.frombuffer(raw.tobytes() + b"\0" * (-len(raw) % 8), dtype="<u8")
+        ones = np.bitwise_count(words).astype(np.uint64)
+        return Level(len(bits), words, np.uint64(before) + np.cumsum(ones) - ones)
+
+    @staticmethod
+    def n_words(size: int) -> int:
+        return -(-size // 64)
+
+
+def _found(word: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Slots of the bits ``at``, given their words and ranks; -1 where the bit isn't set."""
+    bit = (at & 63).astype(np.uint64)
+    slot = rank + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+    return np.where(word >> bit & np.uint64(1), slot.astype(np.int64), -1)
+
+
 @dataclass
 class PerfectHash:
     """A cascade of bit arrays. A key lives on the first level on which it met no other key; its slot is the rank of its
     bit among all bits. Keys that share all 64 bits are kept aside, in ``left``."""
 
-    levels: list[np.ndarray]
+    levels: list[Level]
     left: np.ndarray
+    n: int = field(default=0)  # keys on levels
 
     @staticmethod
     def build(keys: np.ndarray, gamma: float = 2.0, most: int = 40) -> PerfectHash:
-        levels = []
+        levels, n = [], 0
         while len(keys) and len(levels) < most:
             size = max(64, int(len(keys) * gamma))
             at = _place(keys, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
+            levels.append(Level.of(alone, n))
+            n += int(alone.sum())
             keys = keys[~alone[at]]
-        return PerfectHash(levels, np.sort(keys))
+        return PerfectHash(levels, np.sort(keys), n)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; -1 if it is known not to be there. Any other answer is to be tested by fingerprint."""
         out = np.full(len(keys), -1, dtype=np.int64)
-        todo, before = np.arange(len(keys)), 0
-        for i, bits in enumerate(self.levels):
-            at = _place(keys[todo], i, len(bits))
-            hit = bits[at]
-            rank = np.cumsum(bits) - 1
-            out[todo[hit]] = before + rank[at[hit]]
-            todo, before = todo[~hit], before + int(bits.sum())
-        if len(self.left) and len(todo):
+        todo = np.arange(len(keys))
+        for i, level in enumerate(self.levels):
+            at = _place(keys[todo], i, level.size)
+            out[todo] = _found(level.words[at >> 6], level.ranks[at >> 6], at)
+            todo = todo[out[todo] < 0]
+            if not len(todo):
+                return out
+        if len(self.left):
             at = np.searchsorted(self.left, keys[todo])
             ok = (at < len(self.left)) & (self.left[np.minimum(at, len(self.left) - 1)] == keys[todo])
-            out[todo[ok]] = before + at[ok]
+            out[todo[ok]] = self.n + at[ok]
         return out
 
 
@@ -92,22 +128,46 @@ def footer(doc_ids: list[int | None], offsets: list[int], counts: list[int], wid
         order = np.argsort(slots, kind="stable")
         same = np.flatnonzero(np.diff(slots[order], prepend=-1) == 0)
         slots[order[same]] += 1
-    table = np.zeros(len(ids), dtype=[("print", "<u4"), ("offset", "<u8"), ("count", "<u8")])
+    table = np.zeros(len(ids), dtype=_SLOT)
     table["print"][slots], table["offset"][slots], table["count"][slots] = fingerprints(keys), offsets, counts
-    out = [_HEAD.pack(MAGIC, width, len(tree.levels), len(ids), sum(counts), len(tree.left)), ids.astype("<i8").tobytes(), np.packbits(null).tobytes()]
-    for bits in tree.levels:
-        out += [struct.pack("<Q", len(bits)), np.packbits(bits).tobytes()]
-    out += [tree.left.astype("<u8").tobytes(), table.tobytes()]
+    out = [_HEAD.pack(MAGIC, width, len(tree.levels), len(ids), sum(counts), len(tree.left)), np.array([x.size for x in tree.levels], dtype="<u8").tobytes()]
+    for level in tree.levels:
+        out += [level.words.tobytes(), level.ranks.astype("<u8").tobytes()]
+    out += [tree.left.astype("<u8").tobytes(), table.tobytes(), ids.astype("<i8").tobytes(), np.packbits(null).tobytes()]
     body = b"".join(out)
     return body + _TAIL.pack(len(body), MAGIC)
 
 
+class Layout:
+    """Where the parts of a footer are, from its head and the sizes of its levels; ``at`` counts from the footer's start."""
+
+    def __init__(self, head: bytes) -> None:
+        magic, self.width, self.n_levels, self.n, self.n_ids, self.n_left = _HEAD.unpack(head[: _HEAD.size])
+        if magic != MAGIC:
+            raise ValueError("not a token shard")
+        self.sizes_at = _HEAD.size
+
+    def sized(self, sizes: bytes) -> Layout:
+        self.sizes = np.frombuffer(sizes, dtype="<u8").astype(np.int64).tolist()
+        at, self.words_at, self.ranks_at = self.sizes_at + 8 * self.n_levels, [], []
+        for size in self.sizes:
+            n = 8 * Level.n_words(size)
+            self.words_at.append(at)
+            self.ranks_at.append(at + n)
+            at += 2 * n
+        self.left_at = at
+        self.table_at = at + 8 * self.n_left
+        self.ids_at = self.table_at + _SLOT.itemsize * self.n
+        self.null_at = self.ids_at + 8 * self.n
+        return self
+
+
 def occurrence(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
     """How many rows of the same id stand before each row, ids being in order; nulls, first, are an id of their own."""
     new = np.ones(len(ids), dtype=bool)
     new[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-    return np.arange(len(ids)) - first + null.astype(np.int64) * (1 << 40)
+    return np.arange(len(ids)) - first + null.astype(np.int64) * _NULL
 
 
 class Shard:
@@ -120,22 +180,15 @@ class Shard:
         if magic != MAGIC:
             raise ValueError("not a token shard")
         body = raw[end - _TAIL.size - size : end - _TAIL.size]
-        _, self.width, n_levels, n, self.n_ids, n_left = _HEAD.unpack(body[: _HEAD.size])
-        at = _HEAD.size
-        take = lambda nbytes: (body[at : at + nbytes], at + nbytes)
-        part, at = take(8 * n)
-        self.doc_ids = np.frombuffer(part, dtype="<i8")
-        part, at = take((n + 7) // 8)
-        self.null = np.unpackbits(np.frombuffer(part, dtype=np.uint8), count=n).astype(bool)
-        levels = []
-        for _ in range(n_levels):
-            part, at = take(8)
-            (bits,) = struct.unpack("<Q", part)
-            part, at = take((bits + 7) // 8)
-            levels.append(np.unpackbits(np.frombuffer(part, dtype=np.uint8), count=bits).astype(bool))
-        part, at = take(8 * n_left)
-        self.tree = PerfectHash(levels, np.frombuffer(part, dtype="<u8"))
-        self.table = np.frombuffer(body[at:], dtype=[("print", "<u4"), ("offset", "<u8"), ("count", "<u8")])
+        at = Layout(body)
+        at = at.sized(body[at.sizes_at : at.sizes_at + 8 * at.n_levels])
+        take = lambda start, n, kind: np.frombuffer(body[start : start + n * np.dtype(kind).itemsize], dtype=kind)
+        self.width, self.n_ids = at.width, at.n_ids
+        self.doc_ids = take(at.ids_at, at.n, "<i8")
+        self.null = np.unpackbits(take(at.null_at, (at.n + 7) // 8, np.uint8), count=at.n).astype(bool)
+        levels = [Level(size, take(w, Level.n_words(size), "<u8"), take(r, Level.n_words(size), "<u8")) for size, w, r in zip(at.sizes, at.words_at, at.ranks_at, strict=True)]
+        self.tree = PerfectHash(levels, take(at.left_at, at.n_left, "<u8"), at.n - at.n_left)
+        self.table = take(at.table_at, at.n, _SLOT)
         self.raw = raw
 
     def find(self, doc_ids: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,75 +203,172 @@ class Shard:
         return np.frombuffer(self.raw[offset : offset + count * self.width], dtype=f"<u{self.width}").astype("<u4")
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text and write the shards, in ascending order of the id.
-
-    Nulls come first; rows of equal id go by their texts' hashes. A null text is the end id alone.
-    """
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, width, ids (raw bytes, with the end id) and row (a number of its own), for each row; written down."""
 
     def encode(batches):
         tool = encoder(tokenizer_path)
         width = 2 if max(tool.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        end = np.array([end_id], dtype="<u4")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                raw = [np.append(np.frombuffer(x, dtype="<u4"), end).astype(f"<u{width}").tobytes() for x in tool.encode([x or "" for x in part.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([width] * len(raw), pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "width", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return materialise(rows.mapInArrow(frugal(encode), "doc_id long, width int, ids binary").withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
+    """Encode every whole text and write the shards, in ascending order of the id.
+
+    Nulls come first; rows of equal id go by their ids' hashes, and may stand in several shards. A null text is the end
+    id alone. A document is in one shard, so one of more than ``shard_bytes`` makes its shard larger.
+    """
+
+    def write(batches):
         block: list[bytes] = []
-        held = at = 0
+        held = at = width = 0
         doc_ids, offsets, counts = [], [], []
         out = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["block"])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                for key, ids in zip(part.column(0).to_pylist(), tool.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    raw = np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id)).astype(f"<u{width}").tobytes()
-                    doc_ids.append(key)
-                    offsets.append(at)
-                    counts.append(len(raw) // width)
-                    block.append(raw)
-                    held, at = held + len(raw), at + len(raw)
-                    if held >= BLOCK_BYTES:
-                        yield out(b"".join(block))
-                        block, held, at = [], 0, at + 1
+            for key, width, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):  # noqa: B007
+                doc_ids.append(key)
+                offsets.append(at)
+                counts.append(len(raw) // width)
+                block.append(raw)
+                held, at = held + len(raw), at + len(raw)
+                if held >= BLOCK_BYTES:
+                    yield out(b"".join(block))
+                    block, held, at = [], 0, at + 1
         if doc_ids:
             if block:
                 yield out(b"".join(block))
             yield out(footer(doc_ids, offsets, counts, width))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(frugal(encode), "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    rows = encoded(docs, tokenizer_path, end_id, id_col, text_col)
+    total = rows.agg(F.sum(F.length("ids") + 28)).first()[0] or 0
+    order = ("doc_id", F.xxhash64("ids"), "row")
+    ranged = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "width", "ids")
+    ranged.mapInArrow(frugal(write), "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of the shards, found through the index: shard, doc_id, at (ids before it in the shard), n_tokens, ids_crc32."""
+    """Every document of the shards, found through the index: shard (its name), place (its number in order), bytes (of the
+    shard), doc_id, at (ids before it in the shard), n_tokens, ids_crc32."""
 
     def read(batches):
         for batch in batches:
-            for where, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(raw.as_buffer())
+            for where, place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = raw.as_buffer()
+                shard = Shard(data)
                 offsets, counts = shard.find(shard.doc_ids, occurrence(shard.doc_ids, shard.null))
                 if (offsets < 0).any():
                     raise ValueError(f"{where}: the index lacks keys")
-                sums = [zlib.crc32(shard.ids(o, n).tobytes()) for o, n in zip(offsets.tolist(), counts.tolist(), strict=True)]
-                first = pa.array(shard.doc_ids, pa.int64(), mask=shard.null)
-                for lo in range(0, len(sums), 10_000):
+                first, before = pa.array(shard.doc_ids, pa.int64(), mask=shard.null), np.cumsum(counts) - counts
+                for lo in range(0, len(counts), 10_000):
                     part = slice(lo, lo + 10_000)
-                    n = len(sums[part])
-                    yield pa.RecordBatch.from_arrays([pa.array([where.rsplit("/", 1)[-1]] * n), first[lo : lo + n], pa.array((np.cumsum(counts) - counts)[part]), pa.array(counts[part]), pa.array(sums[part], pa.int64())], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                    sums = [zlib.crc32(shard.ids(o, n).tobytes()) for o, n in zip(offsets[part].tolist(), counts[part].tolist(), strict=True)]
+                    same = lambda x, n=len(sums): pa.array([x]).take(pa.array(np.zeros(n, dtype=np.int32)))
+                    yield pa.RecordBatch.from_arrays([same(where.rsplit("/", 1)[-1]), same(place), same(data.size), first[lo : lo + len(sums)], pa.array(before[part]), pa.array(counts[part]), pa.array(sums, pa.int64())], names=["shard", "place", "bytes", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(read, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    place = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")  # names stop sorting by range at 100,000 shards
+    return files.select("path", place.alias("place"), "content").mapInArrow(frugal(read, 1), "shard string, place long, bytes long, doc_id long, at long, n_tokens long, ids_crc32 long")
+
+
+def write_manifest(found: DataFrame, path: str) -> DataFrame:
+    """place, shard, first and last (ids that aren't null), nulls, docs, n_ids, bytes: a row for each shard."""
+    rows = found.groupBy("place", "shard").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.count("*").alias("docs"), F.sum("n_tokens").alias("n_ids"), F.first("bytes").alias("bytes"))
+    rows.write.parquet(f"{path}-manifest")
+    return found.sparkSession.read.schema(rows.schema).parquet(f"{path}-manifest")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards, read them back: doc_id, start, n_tokens, ids_crc32, one row for each row of ``docs``.
+class Reader:
+    """Keyed access to shards from the driver, by ranged reads through Spark's file systems.
 
-    ``start`` counts the ids of all documents before. Shards sort by name as by range. Null ids come first and stay null,
-    repeated ids stay apart, other columns are ignored, an empty table gives no shards and no rows. What meets in one
-    task to find the starts is one row for each shard.
+    It holds the manifest (a row for each shard) and the heads of the footers it has met, nothing of the documents.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path, self.jvm, self.conf = path, spark._jvm, spark._jsc.hadoopConfiguration()
+        rows = spark.read.parquet(f"{path}-manifest").orderBy("place").toArrow()
+        self.names, self.bytes = rows.column("shard").to_pylist(), rows.column("bytes").to_pylist()
+        self.nulls = [i for i, n in enumerate(rows.column("nulls").to_pylist()) if n]
+        keyed = [i for i, x in enumerate(rows.column("first").to_pylist()) if x is not None]
+        self.keyed = np.array(keyed, dtype=np.int64)
+        self.first, self.last = (np.array(rows.column(c).take(pa.array(self.keyed)).to_pylist(), dtype=np.int64) for c in ("first", "last"))
+        self.layouts: dict[int, tuple[int, Layout]] = {}
+        self.reads = 0
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every row of that document id, in order; none if there is no such row."""
+        if doc_id is None:
+            shards = self.nulls
+        else:
+            shards = self.keyed[np.searchsorted(self.last, doc_id) : np.searchsorted(self.first, doc_id, side="right")].tolist()
+        return [x for i in shards for x in self._in_shard(i, doc_id)]
+
+    def _in_shard(self, i: int, doc_id: int | None) -> list[np.ndarray]:
+        where = self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.names[i]}")
+        stream = where.getFileSystem(self.conf).open(where)
+
+        def read(at: int, n: int) -> bytes:
+            self.reads += 1
+            stream.seek(at)
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+        try:
+            if i not in self.layouts:
+                end = self.bytes[i] - 1
+                size, _ = _TAIL.unpack(read(end - _TAIL.size, _TAIL.size))
+                base = end - _TAIL.size - size
+                layout = Layout(read(base, _HEAD.size))
+                self.layouts[i] = base, layout.sized(read(base + layout.sizes_at, 8 * layout.n_levels) if layout.n_levels else b"")
+            base, layout = self.layouts[i]
+            out = []
+            while (ids := self._ids(read, base, layout, doc_id, len(out))) is not None:
+                out.append(ids)
+            return out
+        finally:
+            stream.close()
+
+    @staticmethod
+    def _ids(read, base: int, layout: Layout, doc_id: int | None, nth: int) -> np.ndarray | None:
+        key = key_hashes(np.array([doc_id or 0]), np.array([nth + (_NULL if doc_id is None else 0)]))
+        slot = -1
+        for i, size in enumerate(layout.sizes):
+            at = _place(key, i, size)
+            word, rank = (np.frombuffer(read(base + x + 8 * int(at[0] >> 6), 8), dtype="<u8") for x in (layout.words_at[i], layout.ranks_at[i]))
+            slot = int(_found(word, rank, at)[0])
+            if slot >= 0:
+                break
+        if slot < 0 and layout.n_left:  # keys of equal 64 bits
+            left = np.frombuffer(read(base + layout.left_at, 8 * layout.n_left), dtype="<u8")
+            at = int(np.searchsorted(left, key)[0])
+            slot = layout.n - layout.n_left + at if at < len(left) and left[at] == key[0] else -1
+        if slot < 0:
+            return None
+        row = np.frombuffer(read(base + layout.table_at + _SLOT.itemsize * slot, _SLOT.itemsize), dtype=_SLOT)[0]
+        if row["print"] != fingerprints(key)[0]:
+            return None
+        return np.frombuffer(read(int(row["offset"]), int(row["count"]) * layout.width), dtype=f"<u{layout.width}").astype("<u4")
+
+
+def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, most_broadcast: int = 200_000) -> DataFrame:
+    """Write the shards and their manifest, read them back: doc_id, start, n_tokens, ids_crc32, one row for each of ``docs``.
+
+    ``start`` counts the ids of all documents before. Null ids come first and stay null, repeated ids stay apart, other
+    columns are ignored, an empty table gives no shards and no rows, a null text is the end id alone. Ids are whole
+    numbers, or strings of such. What meets in one task to find the starts is one row for each shard.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens"
-    write_shards(docs, path, tokenizer_path, end_id, id_col, text_col)
+    write_shards(docs, path, tokenizer_path, end_id, id_col, text_col, shard_bytes)
     found = materialise(read_shards(spark, path), "found")
-    totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return found.join(F.broadcast(starts), "shard").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    manifest = write_manifest(found, path)
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = manifest.select("place", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    starts = F.broadcast(starts) if manifest.count() <= most_broadcast else starts
+    return found.join(starts, "place").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

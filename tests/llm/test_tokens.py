@@ -1,6 +1,7 @@
 """Operators 5 and 10: exact round trips against the tokenizers library."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +64,35 @@ def test_perfect_hash_is_minimal():
     assert sorted(slots.tolist()) == list(range(50_000))
 
 
+def test_lookups_take_the_same_time_at_any_size():
+    def seconds(n):
+        keys = token_files.mix(np.arange(n, dtype=np.uint64))
+        tree = token_files.PerfectHash.build(keys)
+        ones = [keys[i : i + 1] for i in range(0, n, n // 500)]
+        took = []
+        for _ in range(5):
+            began = time.perf_counter()
+            for x in ones:
+                tree.slots(x)
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(3_000_000) < 5 * seconds(30_000)
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 400])
+def test_reader_finds_rows_by_ranged_reads(spark, tmp_path, shard_bytes):
+    name, path = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/tokens"
+    docs = spark.createDataFrame(DOCS + [(11, "same id")] * 300, "doc_id long, text string").repartition(3)
+    token_files.token_files(docs, name, path=path, shard_bytes=shard_bytes).collect()
+    reader, ids = token_files.Reader(spark, path), expected("word_bpe_49k.json", 2)
+    assert (len(reader.names) > 5) == (shard_bytes == 400)
+    for key in (0, 3, 5, 7, None):
+        got = sorted(x.tolist() for x in reader.get(key))
+        assert got == sorted(ids(t).tolist() for i, t in DOCS if i == key)
+    assert len(reader.get(11)) == 300 and reader.get(-5) == [] and reader.get(10**9) == [] and reader.get(4) == []
+
+
 def test_packing_covers_every_id_once(spark):
     docs = spark.createDataFrame([(i, t, 9) for i, t in DOCS], "doc_id long, text string, length int")
     ids, capacity = expected("byte_bpe_50k.json", 1), 64
@@ -83,6 +113,13 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
 
+def test_rows_of_one_id_are_packed_in_many_groups(spark):
+    docs = spark.range(40_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_docs=1000)
+    groups = got.selectExpr("sequence_id >> 32 AS g").groupBy("g").count().collect()
+    assert len(groups) == 40 and max(r["count"] for r in groups) < 1300 and sum(r["count"] for r in groups) == 40_000
+
+
 def test_first_fit_decreasing_matches_plain():
     draw = random.Random(2)
     sizes = sorted((draw.randrange(1, 100) for _ in range(300)), reverse=True)
