@@ -1,11 +1,13 @@
 """Operator 1: license scans, with DataFrame functions only.
 
 A positional rare-token index. The licence words of a text and their positions form its postings; how many texts hold
-each licence word gives its rarity (IDF). A template's rarest word is its anchor: only texts that hold it are looked at.
-Postings of the words of a phrase, each shifted by its place in the phrase, are intersected, which leaves the exact
-starts of the phrase. A template of one's own is a candidate if its anchor stands in the text; it is accepted if all of
-its mandatory phrases stand in the text and the IDF-weighted share of its words that lie on one diagonal (position in
-text minus position in template) is at least ``min_share``.
+each licence word gives its rarity (IDF). The rarest word of a template's mandatory phrases is its anchor: a text without
+it can't hold the phrases, so only texts that hold it are looked at. Postings of the words of a phrase, each shifted by its
+place in the phrase, are intersected, which leaves the exact starts of the phrase. A template of one's own is accepted if
+all of its mandatory phrases stand in the text, word for word, and the IDF-weighted share of its words that lie on one
+diagonal (position in text minus position in template) is at least ``min_share``.
+
+Common words of the phrases are indexed only where they stand beside a licence word, as every phrase has them.
 
 Everything after the scan is a projection of one row: nothing is shuffled but one count for each licence word.
 """
@@ -54,34 +56,51 @@ OWN = (
     Template("mpl", "mpl", "this source code form is subject to the terms of the mozilla public license", ("mozilla public license",)),
     Template("unlicense", "unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
-#: Words that say nothing about licences. They keep their place in a template but are not indexed, so they match anything.
+#: Words that say nothing about licences. They have no share in a template; in a phrase they must stand like any other.
 UNINDEXED = frozenset("a and any are as for in into is it of or that the this to use with you".split())
 
 
 @dataclass(frozen=True)
 class Index:
-    """The templates' side of the index: the words that are indexed, and their places in templates and phrases."""
+    """The templates' side of the index: licence words, the common words of phrases, and the places of both."""
 
     templates: tuple[Template, ...]
     vocabulary: tuple[str, ...] = field(default=())
+    beside: tuple[str, ...] = field(default=())
 
     @staticmethod
     def of(templates: Sequence[Template]) -> Index:
-        words = {w for t in templates for w in t.words.split()} | {w for t in templates for p in t.mandatory for w in p.split()}
-        return Index(tuple(templates), tuple(sorted(words - UNINDEXED)))
+        phrases = [p.split() for t in templates for p in t.mandatory]
+        for p in phrases:
+            for i, w in enumerate(p):
+                if w in UNINDEXED and UNINDEXED.issuperset([*p[max(0, i - 1) : i], *p[i + 1 : i + 2]]):
+                    raise ValueError(f"{' '.join(p)}: {w} must stand beside a licence word")
+        words = {w for t in templates for w in t.words.split()} | {w for p in phrases for w in p}
+        return Index(tuple(templates), tuple(sorted(words - UNINDEXED)), tuple(sorted(UNINDEXED.intersection(w for p in phrases for w in p))))
 
     @staticmethod
     def places(text: str) -> list[tuple[str, int]]:
+        """Licence words of a template, with their places."""
         return [(w, i) for i, w in enumerate(text.split()) if w not in UNINDEXED]
 
 
 def postings(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words and hits: the places (p, w) of the text's licence words, by position."""
+    """doc_id, n_words and hits: the places (p, w) of the text's licence words, and of common words beside them."""
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     words = F.regexp_extract_all(lowered, F.lit(f"({TOKEN_WORD})"), F.lit(1))
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
     placed = F.transform("words", lambda w, i: F.struct(i.cast("int").alias("p"), w.alias("w")))
-    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter(placed, lambda h: h["w"].isin(*index.vocabulary)).alias("hits"))
+    held = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter(placed, lambda h: h["w"].isin(*index.vocabulary, *index.beside)).alias("hits"))
+    if not index.beside:
+        return held
+    common = lambda h: h["w"].isin(*index.beside)
+
+    def next_to(h: Column, i: Column) -> Column:
+        """Whether a licence word stands right before or after in the text; it is the neighbour in ``hits`` then."""
+        near = lambda d: F.coalesce((F.get("hits", i + d)["p"] == h["p"] + d) & ~common(F.get("hits", i + d)), F.lit(False))
+        return ~common(h) | near(-1) | near(1)
+
+    return held.withColumn("hits", F.filter("hits", next_to))
 
 
 def _positions(word: str, shift: int) -> Column:
@@ -93,8 +112,8 @@ def _holds(word: str) -> Column:
 
 
 def _starts(phrase: str, anchor: str) -> Column:
-    """Starts of a phrase: shifted postings of its words, intersected, the anchor's first."""
-    places = sorted(Index.places(phrase), key=lambda x: x[0] != anchor)
+    """Starts of a phrase: shifted postings of all of its words, intersected, the anchor's first."""
+    places = sorted(((w, i) for i, w in enumerate(phrase.split())), key=lambda x: x[0] != anchor)
     both = reduce(F.array_intersect, [_positions(w, i) for w, i in places])
     return F.filter(both, lambda p: p >= 0)
 
@@ -118,7 +137,8 @@ def _share(places: list[tuple[str, int]], weight: dict[str, float]) -> Column:
 
 def idf(found: DataFrame, vocabulary: Sequence[str]) -> tuple[int, dict[str, int]]:
     """Number of texts, and of texts that hold each licence word: as many rows as the templates have words."""
-    one = found.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform("hits", lambda h: h["w"])))).alias("w"))
+    held = F.filter(F.array_distinct(F.transform("hits", lambda h: h["w"])), lambda w: w.isin(*vocabulary))
+    one = found.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("w"))
     counts = {r["w"]: r["n"] for r in one.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return counts.get("", 0), {w: counts.get(w, 0) for w in vocabulary}
 
@@ -127,8 +147,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A null or empty text has no words, no places (first_word and last_word null), empty labels and score 0. Repeated
-    rows are scanned each on its own; a null id is kept. Ties in rarity go by the word. Other columns are ignored. The
-    score is the largest share among accepted templates, 1 where a base phrase stands.
+    rows are scanned each on its own; a null id is kept, an id of any type. Ties in rarity go by the word. Other columns are
+    ignored; an empty table gives no rows; a long text is one row of a task. The score is the largest share among accepted
+    templates, 1 where a base phrase stands. A template of one's own needs a mandatory phrase.
     """
     index = Index.of(templates)
     found = materialise(postings(docs, index, id_col, text_col), "postings")
@@ -139,7 +160,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = found
     none, columns, labels, places = F.array().cast("array<int>"), [], [], []
     for i, t in enumerate(index.templates):
-        anchor = min((w for w, _ in Index.places(t.words)), key=rank.__getitem__)
+        anchor = min((w for p in t.mandatory for w, _ in Index.places(p)), key=rank.__getitem__)
         if t.base:
             held = held.withColumn(f"s{i}", F.when(_holds(anchor), _starts(t.words, anchor)).otherwise(none))
             places.append(F.col(f"s{i}"))

@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
-from .licenses import BASE, OWN, Index
-
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def license_scans(top_words: int = 8, min_share: float = 0.6) -> str:
-    """Places by joins on shifted positions; shares by grouping on the diagonal."""
-    index = Index.of(BASE + OWN)
-    rows = lambda xs: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in xs)
-    words = [(t.name, w, i) for t in index.templates for w, i in Index.places(t.words)]
-    phrases = [(t.name, n, w, i) for t in index.templates for n, p in enumerate(t.mandatory) for w, i in Index.places(p)]
-    return f"""
-WITH lists AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("text")}, '{_WORD}') AS ws FROM documents),
-vocabulary(w) AS (VALUES {rows([(w,) for w in index.vocabulary])}),
-template(t, label, base) AS (VALUES {rows([(t.name, t.label, int(t.base)) for t in index.templates])}),
-template_word(t, w, i) AS (VALUES {rows(words)}),
-phrase_word(t, n, w, i) AS (VALUES {rows(phrases)}),
-hit AS MATERIALIZED (SELECT doc_id, w, p FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM lists) JOIN vocabulary USING (w)),
-df AS (SELECT w, count(DISTINCT doc_id) AS n FROM vocabulary LEFT JOIN hit USING (w) GROUP BY w),
-weight AS (SELECT w, n, ln(((SELECT count(*) FROM documents) + 1) / (n + 1.0)) + 1 AS x FROM df),
-rarest AS (SELECT doc_id, w FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n, w) AS k FROM (SELECT DISTINCT doc_id, w FROM hit) JOIN weight USING (w)) WHERE k <= {top_words}),
-anchor AS (SELECT t, arg_min(w, (n, w)) AS w FROM template_word JOIN weight USING (w) GROUP BY t),
-start AS (SELECT doc_id, t, n, p - i AS s FROM hit JOIN phrase_word USING (w) GROUP BY doc_id, t, n, p - i
-  HAVING p - i >= 0 AND count(*) = (SELECT count(*) FROM phrase_word q WHERE q.t = phrase_word.t AND q.n = phrase_word.n)),
-verified AS (SELECT doc_id, t FROM start GROUP BY doc_id, t HAVING count(DISTINCT n) = (SELECT count(DISTINCT n) FROM phrase_word q WHERE q.t = start.t)),
-diagonal AS (SELECT doc_id, t, sum(x) AS x FROM hit JOIN template_word USING (w) JOIN weight USING (w) GROUP BY doc_id, t, p - i),
-own AS (SELECT doc_id, t, round(max(d.x) / (SELECT sum(x) FROM template_word q JOIN weight USING (w) WHERE q.t = d.t), 6) AS share
-  FROM diagonal d JOIN template USING (t) JOIN verified USING (doc_id, t) JOIN anchor a USING (t)
-  WHERE base = 0 AND EXISTS (SELECT 1 FROM rarest r WHERE r.doc_id = d.doc_id AND r.w = a.w) GROUP BY doc_id, t),
-accepted AS (SELECT DISTINCT doc_id, t, label, base, 1.0::DOUBLE AS share FROM start JOIN template USING (t) WHERE base = 1
-  UNION ALL SELECT doc_id, t, label, base, share FROM own JOIN template USING (t) WHERE share >= {min_share}),
-labelled AS (SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base = 1), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM accepted GROUP BY doc_id),
-base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word FROM start JOIN template USING (t) WHERE base = 1 GROUP BY doc_id)
+_LICENSES = """
+WITH lists AS (SELECT doc_id, regexp_extract_all({lowered}, '{word}') AS ws FROM documents),
+base(label, phrase) AS (VALUES ('gpl', 'gnu general public license'), ('apache', 'apache license'), ('cc-by', 'cc by'), ('mit', 'mit license')),
+template(t, label, sentence, first_phrase, second_phrase) AS (VALUES
+  (1, 'agpl', 'gnu affero general public license', 'gnu affero general', ''),
+  (2, 'apache-2.0', 'licensed under the apache license version 2 0', 'apache license version', ''),
+  (3, 'bsd', 'redistribution and use in source and binary forms with or without modification are permitted', 'source and binary forms', 'without modification'),
+  (4, 'cc-by-nc', 'licensed under cc by nc 4 0', 'cc by nc', ''),
+  (5, 'cc-by-sa', 'licensed under cc by sa 4 0', 'cc by sa', ''),
+  (6, 'gpl', 'free software you can redistribute it and modify it under the terms of the gnu general public license as published by the free software foundation', 'free software foundation', 'gnu general'),
+  (7, 'isc', 'permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted', 'modify and distribute this software', ''),
+  (8, 'lgpl', 'gnu lesser general public license', 'gnu lesser general', ''),
+  (9, 'mit', 'permission is hereby granted free of charge to any person obtaining a copy of this software', 'permission is hereby granted', 'obtaining a copy'),
+  (10, 'mpl', 'this source code form is subject to the terms of the mozilla public license', 'mozilla public license', ''),
+  (11, 'unlicense', 'this is free and unencumbered software released into the public domain', 'unencumbered software', 'public domain')),
+common(w) AS (SELECT unnest(string_split('a and any are as for in into is it of or that the this to use with you', ' '))),
+template_word AS (SELECT t, ws[i] AS w, i FROM (SELECT t, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT t, string_split(sentence, ' ') AS ws FROM template)) WHERE ws[i] NOT IN (SELECT w FROM common)),
+vocabulary AS (SELECT w FROM template_word UNION SELECT unnest(string_split(phrase, ' ')) FROM base),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM lists),
+hit AS MATERIALIZED (SELECT doc_id, w, p FROM word JOIN vocabulary USING (w)),
+weight AS (SELECT w, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1.0)) + 1 AS x FROM vocabulary LEFT JOIN hit USING (w) GROUP BY w),
+base_word AS (SELECT label, ws[i] AS w, i - 1 AS i, len(ws) AS n FROM (SELECT label, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT label, string_split(phrase, ' ') AS ws FROM base))),
+place AS (SELECT doc_id, label, p - i AS s FROM hit JOIN base_word USING (w) GROUP BY doc_id, label, p - i HAVING count(*) = max(n)),
+whole AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS x FROM lists),
+verified AS (SELECT doc_id, t, label FROM whole, template WHERE contains(x, ' ' || first_phrase || ' ') AND (second_phrase = '' OR contains(x, ' ' || second_phrase || ' '))),
+diagonal AS (SELECT doc_id, t, label, sum(x) AS x FROM verified JOIN template_word USING (t) JOIN hit USING (doc_id, w) JOIN weight USING (w) GROUP BY doc_id, t, label, p - i),
+own AS (SELECT doc_id, label, round(max(d.x) / (SELECT sum(x) FROM template_word q JOIN weight USING (w) WHERE q.t = d.t), 6) AS share FROM diagonal d GROUP BY doc_id, t, label),
+accepted AS (SELECT doc_id, label, share FROM own WHERE share >= 0.6 UNION ALL SELECT DISTINCT doc_id, label, 1.0::DOUBLE FROM place),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM accepted GROUP BY doc_id),
+at_base AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM lists LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id)"""
+FROM lists LEFT JOIN at_base USING (doc_id) LEFT JOIN labelled USING (doc_id)"""
+
+
+def license_scans() -> str:
+    """Phrases sought in the joined words; shares by grouping on the diagonal. Nothing of it comes from the operator."""
+    return _LICENSES.format(lowered=_LOWERED.format("text"), word=_WORD)
 
 
 def decontamination(window: int = 10) -> str:
@@ -55,15 +60,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
-def line_dedup(max_ratio: float = 0.1, min_pages: int = 5) -> str:
+def line_dedup(max_ratio: float = 0.1, min_pages: int = 5, word_chars: int = 6) -> str:
+    """``often``: above the ratio itself; ``bad``: above the ratio for its length."""
     return f"""
 WITH page AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 line AS (SELECT r, doc_id, source, p, ls[p] AS l, nullif(rtrim(ls[p], ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '') AS k FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS p FROM page)),
 counted AS (SELECT source, k, count(DISTINCT r) AS n FROM line WHERE k IS NOT NULL GROUP BY source, k),
 host AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-bad AS (SELECT c.source, c.k, true AS bad FROM counted c JOIN host h ON c.source IS NOT DISTINCT FROM h.source WHERE n >= {min_pages} AND n > {max_ratio} * pages),
-kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_dropped, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (bad IS NULL), '') AS text
-  FROM line LEFT JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.k = bad.k GROUP BY r)
+bad AS (SELECT c.source, c.k, n > {max_ratio}::DOUBLE * pages AS often FROM counted c JOIN host h ON c.source IS NOT DISTINCT FROM h.source WHERE n >= {min_pages} AND n * greatest(1.0::DOUBLE, length(c.k) / {word_chars}.0::DOUBLE) > {max_ratio}::DOUBLE * pages),
+told AS (SELECT line.r, line.p, line.l, bad.often, sum(length(line.l)) FILTER (bad.often IS NULL) OVER (PARTITION BY line.r) AS clean, sum(length(line.l)) FILTER (NOT bad.often) OVER (PARTITION BY line.r) AS rare
+  FROM line LEFT JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.k = bad.k),
+dropped AS (SELECT r, p, l, often IS NOT NULL AND (often OR coalesce(rare, 0) <= 3 * coalesce(clean, 0)) AS gone FROM told),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text FROM dropped GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, kept.text AS text FROM page LEFT JOIN kept USING (r)"""
 
 
