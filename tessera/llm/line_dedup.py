@@ -6,8 +6,9 @@ line, the less it is repeated by chance: a line of w words, six characters each,
 on. Those below ``max_ratio`` itself stay on pages that would lose more than three quarters of their text by them: such a
 page is a copy of others, and which copy stays isn't for this operator to say.
 
-A host can have no more than (words a page) / max_ratio of such lines. They are counted; up to ``most_broadcast`` they are
-broadcast and the texts are never shuffled, beyond it lines are joined by host and line.
+A host can have no more than (words a page) / max_ratio of such lines. They are counted. Where no host has more than
+``most_listed`` they are looked up in a list a host; else lines are joined by host and line, with a broadcast of up to
+``most_broadcast`` of them. Texts are not shuffled but in the join.
 """
 
 from __future__ import annotations
@@ -17,10 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-
 WORD_CHARS = 6
 
 
+def host_of(url: Column | str) -> Column:
+    """The host that a URL names, in lower case; null where it names none."""
+    url = F.col(url) if isinstance(url, str) else url
+    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+
+
 def trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"[ \t\r\x0B\f]+\z", "")
 
@@ -41,18 +47,24 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
     return both.where(F.col("n") * words > limit).select(counted["host"], "line", (F.col("n") > limit).alias("often"))
 
 
-def line_dedup(docs: DataFrame, host: Column | str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5, most_broadcast: int = 500_000) -> DataFrame:
+def line_dedup(docs: DataFrame, host: Column | str | None = None, text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5, most_broadcast: int = 500_000, most_listed: int = 256) -> DataFrame:
     """Columns ``row`` (the document's, as a struct), ``text`` (what is left), ``n_lines``, ``n_dropped``.
 
+    ``host`` is a column, or its name; by default the host of ``url`` where there is such a column, else ``source``.
+
     A null text stays null, with no lines. A null host is a host of its own. Each row is a page, repeated ones too; a
     line that a page repeats counts once and goes everywhere. Blank lines stay. Hosts with fewer pages than
-    ``min_pages`` lose nothing. An empty table gives no rows.
+    ``min_pages`` lose nothing. An empty table gives no rows. The struct keeps columns of any name apart from the new ones.
     """
+    if host is None:
+        host = host_of("url") if "url" in docs.columns else "source"
     host = F.col(host) if isinstance(host, str) else host
     keys = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(line_key(x).alias("line"), F.length(trimmed(x)).alias("chars")))
     found = materialise(boilerplate(docs.select(host.alias("host"), keys.alias("keys")), max_ratio, min_pages), "boilerplate")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), host.alias("host"), F.split(F.col(text_col), "\n", -1).alias("lines"))
-    if found.count() <= most_broadcast:
+    n_found = found.count()
+    largest = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    if n_found <= most_broadcast and largest <= most_listed:
         drop = lambda often: F.coalesce(F.collect_list(F.when(F.col("often") == often, F.col("line"))), F.array().cast("array<bigint>"))
         lists = found.groupBy(F.col("host").alias("of")).agg(drop(True).alias("first"), drop(False).alias("second")).select("of", F.concat("first", "second").alias("drop"), F.size("first").alias("n_often"))
         kind = lambda x: F.coalesce(F.array_position("drop", line_key(x)), F.lit(0))
@@ -61,7 +73,8 @@ def line_dedup(docs: DataFrame, host: Column | str = "source", text_col: str = "
     else:
         numbered = materialise(rows.withColumn("nth", F.monotonically_increasing_id()), "numbered")
         each = numbered.select("nth", "host", F.posexplode("lines").alias("at", "line")).withColumn("key", line_key(F.col("line")))
-        gone = each.join(found.select(F.col("host").alias("of"), F.col("line").alias("drop"), F.when(F.col("often"), 1).otherwise(2).cast("long").alias("place")), F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("drop")), "left")
+        lines = found.select(F.col("host").alias("of"), F.col("line").alias("drop"), F.when(F.col("often"), 1).otherwise(2).cast("long").alias("place"))
+        gone = each.join(F.broadcast(lines) if n_found <= most_broadcast else lines, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("drop")), "left")
         again = gone.groupBy("nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("place", F.lit(0)).alias("place")))), lambda x: x["place"]).alias("places"))
         marked = numbered.join(again, "nth", "left").withColumn("n_often", F.lit(1))
     of = lambda test: F.filter("lines", lambda x, i: test(F.get("places", i)))
