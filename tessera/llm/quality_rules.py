@@ -12,6 +12,7 @@ is exact, found among the trusted scores by ever narrower histograms.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, materialise, text_bytes, word_hashes
+from .common import frugal, materialise, text_bytes
 
 NGRAM, BUCKETS = 4, 1 << 14
 # The symbols of the rule, and what is no code point of a word (white space and UTF-8 continuation bytes).
@@ -28,22 +29,32 @@ NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def repeated(words: list[bytes]) -> int:
+    """Words in 3-word windows that stand in the text twice or more."""
+    if len(words) < 4:
+        return 0
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    at, n = np.array(list(map(numbers.__getitem__, words)), dtype=np.int64), len(numbers)
+    pairs = at[:-2] * n + at[1:-1]
+    if n >= 1 << 20:  # else a window's number would not fit
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs * n + at[2:]
+    order = np.argsort(windows, kind="stable")
+    equal = windows[order[1:]] == windows[order[:-1]]
+    if not equal.any():
+        return 0
+    twice = np.zeros(len(windows), dtype=bool)
+    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+    covered = np.zeros(len(words), dtype=bool)
+    for j in range(3):
+        covered[j : j + len(windows)] |= twice
+    return int(covered.sum())
+
+
 def rule_counts(raw: bytes) -> tuple[int, int, int, int, int]:
-    words, _, _ = word_hashes(raw)
+    words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeat = 0
-    if len(words) >= 3:
-        windows = words[:-2] * np.uint64(3) ^ np.roll(words, -1)[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ np.roll(words, -2)[:-2]
-        order = np.argsort(windows, kind="stable")
-        equal = windows[order[1:]] == windows[order[:-1]]
-        if equal.any():
-            twice = np.zeros(len(windows), dtype=bool)
-            twice[order[1:][equal]] = twice[order[:-1][equal]] = True
-            covered = np.zeros(len(words), dtype=bool)
-            for j in range(3):
-                covered[j : j + len(windows)] |= twice
-            repeat = int(covered.sum())
-    return len(words), len(raw.translate(None, NOT_COUNTED)), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat
+    return len(words), len(raw.translate(None, NOT_COUNTED)), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(words)
 
 
 def grams(raw: bytes, buckets: int = BUCKETS) -> np.ndarray:
@@ -56,6 +67,19 @@ def grams(raw: bytes, buckets: int = BUCKETS) -> np.ndarray:
     return (code >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
 
 
+def stretches(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of a long text that have its n-grams between them, each once."""
+    if len(raw) <= size:
+        yield raw
+        return
+    for at in range(0, len(raw) - NGRAM + 1, size):
+        yield raw[at : at + size + NGRAM - 1]
+
+
+def gram_counts(raw: bytes, buckets: int) -> np.ndarray:
+    return sum((np.bincount(grams(x, buckets), minlength=buckets) for x in stretches(raw)), np.zeros(buckets, dtype=np.int64))
+
+
 def trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """doc_id: ids whose every label is 1."""
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col(label_col), F.lit(0))).alias("q"))
@@ -111,7 +135,7 @@ def fit(docs: DataFrame, ids: DataFrame, buckets: int, trusted_loss: float, slac
         for batch in batches:
             good = batch.column(0).to_pylist()
             for i, raw in enumerate(text_bytes(batch.column(1))):
-                n = np.bincount(grams(raw, buckets), minlength=buckets)
+                n = gram_counts(raw, buckets)
                 raw_count += n
                 if good[i]:
                     good_count += n
@@ -138,17 +162,21 @@ def fit(docs: DataFrame, ids: DataFrame, buckets: int, trusted_loss: float, slac
 
 
 def mean_ratio(raw: bytes, ratio: np.ndarray) -> float:
-    at = grams(raw, len(ratio))
-    return float(ratio[at].mean()) if len(at) else 0.0
+    total = count = 0
+    for part in stretches(raw):
+        at = grams(part, len(ratio))
+        total, count = total + float(ratio[at].sum()), count + len(at)
+    return total / count if count else 0.0
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", trusted_loss: float = 0.005, slack: float = 0.02, buckets: int = BUCKETS) -> DataFrame:
     """Columns ``row`` (the document's, as a struct), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score, kept.
 
-    A null or empty text has no words and fails. Repeated rows count and are judged each on its own. Labels of null id
-    or value are no trust; an id labelled both ways is not trusted. Without trusted documents every score is 0 and only
-    the rules decide. An empty table gives no rows.
+    A null or empty text has no words and fails. Repeated rows count and are judged each on its own. A null id is never
+    trusted. Labels of null id or value are no trust; an id labelled both ways is not trusted. Without trusted documents
+    every score is 0 and only the rules decide. A score equal to the threshold is kept. An empty table gives no rows. The
+    struct keeps columns of any name apart from the new ones. A long text is counted in stretches.
     """
     ids = materialise(trusted_ids(labels, label_id_col, label_col), "trusted")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -90,11 +90,12 @@ def automaton(path: str) -> tuple[Automaton, dict[bytes, int]]:
     return Automaton(byte_vocabulary(path)), {}
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 1_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 1_000_000, longest: int = 64) -> DataFrame:
     """doc_id, n_words, n_punctuation, n_tokens (pieces of the words, and one for each punctuation character).
 
     A-Z become a-z; words are token words. A null or empty text has 0 of each. Null ids stay, repeated rows are counted
-    each, other columns are ignored, an empty table gives no rows. Counts of words are kept up to ``cache_words``.
+    each, other columns are ignored, an empty table gives no rows. A worker keeps the counts of ``cache_words`` words at
+    most, none above ``longest`` bytes. Ids are whole numbers, or strings of such.
     """
 
     def count(batches):
@@ -105,12 +106,13 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 words = token_words(raw)
                 if len(known) > cache_words:
                     known.clear()
+                long = {}
                 for w in set(words).difference(known):
-                    known[w] = machine.count(w)
+                    (known if len(w) <= longest else long)[w] = machine.count(w)
                 marks = len(raw.translate(LOWER_TABLE, _NOT_PUNCTUATION))
                 n_words.append(len(words))
                 n_marks.append(marks)
-                n_tokens.append(sum(map(known.__getitem__, words)) + marks)
+                n_tokens.append((sum(long[w] if w in long else known[w] for w in words) if long else sum(map(known.__getitem__, words))) + marks)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_marks, n_tokens))], names=["doc_id", "n_words", "n_punctuation", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(count), "doc_id long, n_words long, n_punctuation long, n_tokens long")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -53,6 +54,45 @@ def test_rule_counts_match_plain(spark):
     assert all(r["kept"] != r["base_failed"] for r in bare)
 
 
+def test_words_made_to_collide_are_no_repeats():
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    word, other = ("".join(x[b] for b in bits).encode() for x in ("ab", "ba"))
+    assert quality_rules.rule_counts(b" ".join([word, b"x", b"y", other, b"x", b"y"]))[4] == 0
+    assert quality_rules.rule_counts(b" ".join([word, b"x", b"y", word, b"x", b"y"]))[4] == 6
+    raw = DRAW.randbytes(3_000_000)
+    counts = quality_rules.gram_counts(raw, 1 << 14)
+    assert counts.sum() == len(raw) - 3 and (counts == np.bincount(quality_rules.grams(raw), minlength=1 << 14)).all()
+
+
+def test_null_ids_are_never_trusted(spark):
+    docs = spark.createDataFrame([(-1, "good words here " * 30), (None, "&&& *** $$$ " * 30), (None, "&&& " * 90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(-1, 1), (None, 1)], "doc_id long, quality int")
+    got = {r["row"]["text"][:4]: r["score"] for r in quality_rules.quality_rules(docs, labels).collect()}
+    assert got["good"] > 0 > got["&&& "]
+
+
+def test_long_words_are_counted_and_not_kept(spark):
+    long = "ab" * 500_000
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, f"{long} a {long}"), (None, None), (1, "a")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_words"]): r["n_tokens"] for r in token_counts.token_counts(docs, path).collect()}
+    one = token_counts.Automaton(token_counts.byte_vocabulary(path)).count
+    assert got == {(1, 3): 2 * one(long.encode()) + one(b"a"), (None, 0): 0, (1, 1): one(b"a")}
+    assert token_counts.token_counts(docs.limit(0), path).collect() == []
+
+
+def test_long_texts_are_pooled_in_little_memory():
+    raw = b"some words of a text and then more " * 600_000  # 21 MB
+    vectors = quality_model.Vectors.of(np.ones((quality_model.BUCKETS, quality_model.DIM)), np.arange(quality_model.BUCKETS))
+    tracemalloc.start()
+    got = vectors.pooled(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    assert np.allclose(got[:-2], vectors.pooled(raw[: 35 * 5000])[:-2], atol=1e-4)
+    assert len(quality_model._rows(b"x" * (3 << 20))) >= 3 and len(quality_model._rows(b"")) == 0
+
+
 def test_likelihood_ratio_matches_plain(spark):
     texts = ["the cat sat on the mat " * 20 + str(i) for i in range(5)] + ["### $$$ %%% &&& " * 20 + str(i) for i in range(5)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
