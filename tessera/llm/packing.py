@@ -2,8 +2,10 @@
 
 A document's ids, with the end id, are cut into full sequences and a rest. Full sequences stand alone. The rests of one
 group, longest first, go each to the first sequence with room: leaves of the tree hold the room left in sequences, inner
-nodes the most below them, so a place is found in a logarithm of steps. Groups are drawn by a hash, hold about
-``group_docs`` documents at any size of input, and never meet, so each is packed in memory by one task.
+nodes the most below them, so a place is found in a logarithm of steps. Groups are drawn by a hash of each row's id and
+place, hold about ``group_docs`` documents at any size of input and however often an id or a text repeats, and never meet,
+so each is packed in memory by one task. The rows' lengths are written down before they are drawn, so that a lost executor
+can't move a row to another group.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import frugal, materialise
 from .encode import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -68,13 +70,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed each on its own. A null id is kept as null. Ties
-    in length go by id, then by the checksums of the ids, so the same rows always give the same sequences. Other columns
-    are ignored. An empty table gives no pieces. A worker keeps the ids of ``cached_pieces`` pieces of text at most.
+    in length go by id, then by the checksums of the ids; the same table, read in the same parts, always gives the same
+    sequences. Other columns are ignored. An empty table gives no pieces. A long text is cut like any other. A worker
+    keeps the ids of ``cached_pieces`` pieces of text at most. Ids are whole numbers, or strings of such.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_groups = max(1, -(-rows.count() // group_docs))
-    cut = cut_documents(rows, tokenizer_path, end_id, capacity, cached_pieces)
-    drawn = F.pmod(F.xxhash64("doc_id", "doc_tokens", F.element_at("sums", -1)), F.lit(n_groups))
+    cut = materialise(cut_documents(rows, tokenizer_path, end_id, capacity, cached_pieces).withColumn("row", F.monotonically_increasing_id()), "cut")
+    n_groups = max(1, -(-cut.count() // group_docs))
+    drawn = F.pmod(F.xxhash64("doc_id", "row"), F.lit(n_groups))
 
     def place(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
@@ -91,4 +94,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                 out.append((doc_id, i * capacity, length, crc, n, (group << 32) + where, offset))
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_PIECES)
 
-    return cut.withColumn("group", drawn).groupBy("group").applyInArrow(place, PIECES)
+    return cut.withColumn("group", drawn).drop("row").groupBy("group").applyInArrow(place, PIECES)
