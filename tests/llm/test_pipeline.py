@@ -101,3 +101,29 @@ def test_stages_match_brute_force(spark, tables):
 def test_run_gives_the_last_stage(spark, tables):
     *_, (_, _, last) = stage_by_stage(spark, tables)
     assert sorted(map(tuple, corpus_pipeline.run(spark, tables).collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, a very long text, and columns named like those of the stages."""
+    text = f"{prose(70)}.\n{prose(60)}."
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "a"), (None, None, None), (2, "", "a"), (3, prose(100), None), (3, prose(100), "b"), (4, f"{prose(3000)}\n{prose(5)}", "b"), (5, f"{prose(80)} {ITEM}", "b")]
+    columns = "doc_id long, text string, source string"
+    docs = spark.createDataFrame(rows, columns).selectExpr("*", "CAST(NULL AS STRING) AS lang", "1L AS n_chars", "2 AS row", "3 AS kept", "4 AS key", "5 AS spans", "6 AS host", "7 AS `component`", "8 AS length")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (3, 1), (4, 1), (5, 1), (None, 1), (6, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {}
+    for name, before, after in stage_by_stage(spark, str(tmp_path)):
+        if name != "packing":
+            assert after.columns == docs.columns
+            left[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in after.collect())
+    rest = [(False, 1), (False, 3), (False, 3), (False, 4), (True, 0)]
+    assert left["quality_rules"] == left["line_dedup"] == sorted([*rest, (False, 1), (False, 5)])
+    assert left["ngram_jaccard_join"] == sorted([*rest, (False, 5)]) and left["decontamination"] == rest
+    assert {r["doc_id"] for r in after.collect()} == {1, 3, 4, None}
+
+
+def test_an_empty_table_passes_every_stage(spark, tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
