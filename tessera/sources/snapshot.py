@@ -18,31 +18,55 @@ def cache_key(workspace: str) -> str:
     return hashlib.sha256(workspace.encode()).hexdigest()[:24]
 
 
+def _manifests(spark: SparkSession, path: str) -> list[dict]:
+    """Manifests of all whole snapshots, the last one last."""
+    try:
+        rows = spark.read.schema("n long, version int, generation string, updated_at string, width int").parquet(f"{path}/manifest*").collect()
+    except Exception as x:  # nothing was saved yet
+        if "PATH_NOT_FOUND" not in str(x):
+            raise
+        return []
+    return sorted((r.asDict() for r in rows), key=lambda r: r["n"])
+
+
 def save(path: str, chunks: DataFrame, files: DataFrame, vectors: DataFrame | None = None, width: int = 0, generation: str = "", updated_at: str = "") -> bool:
-    """Write chunks, files and, if every chunk has a usable vector, vectors by width; other widths stay. Whether vectors were written."""
+    """Write chunks, files and, if every chunk has a usable vector, vectors by width. Whether vectors were written.
+
+    A snapshot is a numbered folder; its manifest, a file of a new name, is written last. So a failure leaves the one
+    before as it was, and vectors of other widths stay with the snapshots that had them.
+    """
     spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    files.write.mode("overwrite").parquet(f"{path}/files")
+    n = max((m["n"] for m in _manifests(spark, path)), default=-1) + 1
+    folder = f"{path}/s{n}"
+    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
+    files.write.mode("overwrite").parquet(f"{folder}/files")
     ready = False
     if vectors is not None:
         usable = vectors.where(is_usable(F.col("vector"), width)).select("id", "vector").join(chunks.select("id", "hash"), "id")
         ready = usable.count() == chunks.count() > 0
         if ready:
-            usable.write.mode("overwrite").parquet(f"{path}/vectors/width={width}")
-    spark.createDataFrame([(VERSION, generation, updated_at, width if ready else 0)], "version int, generation string, updated_at string, width int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+            usable.write.mode("overwrite").parquet(f"{folder}/vectors")
+    spark.createDataFrame([(n, VERSION, generation, updated_at, width if ready else 0)], "n long, version int, generation string, updated_at string, width int").coalesce(1).write.parquet(f"{path}/manifest{n}")
     return ready
 
 
 def load(spark: SparkSession, path: str, generation: str = "", width: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None] | None:
-    """chunks, files and vectors of a snapshot; nothing if it breaks a rule. Vectors whose chunk has changed are left out."""
-    manifest = spark.read.parquet(f"{path}/manifest")
-    chunks, files = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/files")
+    """chunks, files and vectors of the last snapshot; nothing if there is none or it breaks a rule.
+
+    Vectors are of the last snapshot that had them in that width; those whose chunk has changed since are left out.
+    """
+    found = _manifests(spark, path)
+    if not found:
+        return None
+    last = found[-1]
+    manifest = spark.createDataFrame([(last["version"], last["generation"])], "version int, generation string")
+    chunks, files = spark.read.parquet(f"{path}/s{last['n']}/chunks"), spark.read.parquet(f"{path}/s{last['n']}/files")
     if not violations(chunks, files, manifest, generation=generation).where("n > 0").isEmpty():
         return None
-    held = manifest.first()["width"]
-    if not width or held != width:
+    held = [m["n"] for m in found if width and m["width"] == width]
+    if not held:
         return chunks, files, None
-    stored = spark.read.parquet(f"{path}/vectors/width={width}").where(is_usable(F.col("vector"), width))
+    stored = spark.read.parquet(f"{path}/s{held[-1]}/vectors").where(is_usable(F.col("vector"), width))
     return chunks, files, still_valid(stored, stored.select("id", "hash"), chunks)
 
 

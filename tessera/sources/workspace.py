@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EXTENSIONS, content_hash, extension, forward_slashes
 
-# Folders that are never entered.
+# Folders that are never entered. Folders of particular tools are the caller's to add (``more_dirs``).
 HARD_DIRS = (".git", "node_modules", ".venv", "venv", "__pycache__", ".pytest_cache", "dist", "build", "coverage", ".next", ".turbo", ".cache", "target", "vendor")
 ALLOWED_HIDDEN = (".github",)
 MOST_FILES = 500
@@ -51,6 +51,29 @@ def hidden_entries(spark: SparkSession, root: str, names: Sequence[str], dirs: S
     return sorted(files), sorted(folders)
 
 
+def outer_ignore_files(spark: SparkSession, root: str, name: str = ".gitignore", mark: str = ".git") -> list[tuple[str, str]]:
+    """Ignore files of the folders above ``root``, up to the one that holds ``mark``, outermost first; none without it.
+
+    Each is (``//`` and the way from its folder down to the root, text), which ``rules_of`` and ``ignored`` understand.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, way = [], []
+    while not fs.exists(jvm.org.apache.hadoop.fs.Path(where, mark)):
+        way, where = [where.getName(), *way], where.getParent()
+        if where is None:
+            return []
+        file = jvm.org.apache.hadoop.fs.Path(where, name)
+        if fs.exists(file):
+            stream = fs.open(file)
+            try:
+                out.append((f"//{'/'.join(way)}", jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return out[::-1]
+
+
 def listed(spark: SparkSession, root: str, with_content: bool = True, most_bytes: int | None = None, more_roots: Sequence[str] = ()) -> DataFrame:
     """path (relative, forward slashes), length, mtime and, if asked, content as text."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *more_roots])
@@ -106,7 +129,7 @@ def rules_of(files: Sequence[tuple[str, str]]) -> list[tuple[str, int, int, str,
     """(folder, depth, seq, regular expression, negated) of ignore files given as (folder, text), outermost first."""
     out = []
     for folder, text in files:
-        depth = folder.count("/") + 1 if folder else 0
+        depth = 1 - folder.count("/") if folder.startswith("//") else folder.count("/") + 1 if folder else 0
         for seq, line in enumerate(text.split("\n")):
             if p := pattern(line):
                 out.append((folder, depth, seq, *p))
@@ -120,7 +143,8 @@ def ignored(files: DataFrame, rules: Sequence[tuple[str, int, int, str, bool]],
     """
     spark = files.sparkSession
     table = spark.createDataFrame(list(rules), "folder string, depth int, seq int, pattern string, negated boolean")
-    below = F.when(F.col("folder") == "", F.col("path")).when(F.startswith("path", F.concat("folder", F.lit("/"))), F.substr("path", F.length("folder") + 2))
+    outer = F.startswith("folder", F.lit("//"))
+    below = F.when(F.col("folder") == "", F.col("path")).when(outer, F.concat(F.substr("folder", F.lit(3)), F.lit("/"), F.col("path"))).when(F.startswith("path", F.concat("folder", F.lit("/"))), F.substr("path", F.length("folder") + 2))
     hits = files.select("path").crossJoin(F.broadcast(table)).withColumn("below", below).where(F.col("below").isNotNull() & F.regexp_like("below", F.col("pattern")))
     if additive:
         return hits.where("NOT negated").select("path").distinct()
@@ -131,7 +155,7 @@ def ignored(files: DataFrame, rules: Sequence[tuple[str, int, int, str, bool]],
 def scanned(spark: SparkSession, root: str, extensions: Sequence[str] | None = EXTENSIONS, most_files: int | None = MOST_FILES, ignore_name: str = ".gitignore", extra_name: str = ".indexignore", parents: Sequence[tuple[str, str]] = (), more_dirs: Sequence[str] = (), include_hidden: bool = True) -> DataFrame:
     """Files to index, by path, the first ``most_files``: path, length, mtime, content.
 
-    ``parents`` has ignore files above the root, as (folder, text) of the outer repository.
+    ``parents`` has ignore files above the root, as ``outer_ignore_files`` finds them, or ("", text) for rules of the root.
     """
     hidden = ALLOWED_HIDDEN if include_hidden else ()
     found, folders = hidden_entries(spark, root, (ignore_name, extra_name), hidden)
@@ -145,6 +169,13 @@ def scanned(spark: SparkSession, root: str, extensions: Sequence[str] | None = E
     return d.orderBy("path").limit(most_files) if most_files is not None else d
 
 
+def bad_ignore_hashes(hashes: DataFrame, names: Sequence[str] = (".gitignore", ".indexignore")) -> DataFrame:
+    """Rows (path, hash) of a stored list that can't be hashes of ignore files: another name, named twice, or no 16 hex digits."""
+    twice = F.count("*").over(Window.partitionBy("path")) > 1
+    d = hashes.withColumn("bad", F.coalesce(~F.col("path").isin(*names) | ~F.col("hash").rlike("^[0-9a-f]{16}$"), F.lit(True)) | twice)
+    return d.where("bad").drop("bad")
+
+
 def ignore_hashes(spark: SparkSession, root: str, names: Sequence[str] = (".gitignore", ".indexignore")) -> DataFrame:
     """path, hash of the root's ignore files."""
     found = [(p, text) for p, text in hidden_entries(spark, root, names)[0] if p in names]

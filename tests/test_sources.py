@@ -139,6 +139,59 @@ def test_stream_equals_batch(spark, tmp_path):
     assert job.cancel() == []
 
 
+def test_late_batches_of_old_generations_change_nothing(spark, tmp_path):
+    chunker = lambda files: files.select("path", content_hash("content").alias("hash"))
+    change = lambda *rows: spark.createDataFrame(list(rows), upsert.CHANGE)
+    store = upsert.ChunkStore(spark, f"file://{tmp_path}/index", "path string, hash string", compact_every=3)
+    assert store.generation() == -1 and store.current().collect() == []
+    batches = [change(("a", 5, "new"), ("b", 4, None), ("c", 1, "c1")), change(("a", 3, "stale"), ("b", 2, "gone"), ("c", 1, "c2")), change(("d", 1, "d1"), ("a", 5, "same again")), change(("a", 4, "stale"), ("b", 5, "back")), change(("d", 2, None))]
+    for n, batch in enumerate(batches):
+        upsert.apply_changes(store, batch, chunker, n)
+        upsert.apply_changes(store, change(("z", 9, "twice")), chunker, n)  # a batch that is there already
+    want = chunker(spark.createDataFrame([("a", "same again"), ("b", "back"), ("c", "c2")], "path string, content string"))
+    assert sorted(map(tuple, store.current().collect())) == sorted(map(tuple, want.collect()))
+    assert store.commits() == [(0, False), (1, False), (2, False), (2, True), (3, False), (4, False)]
+    assert {r["path"]: r["gone"] for r in store.heads().collect()} == {"a": False, "b": False, "c": False, "d": True}
+
+
+def test_a_stale_index_is_brought_up_to_date_before_a_search(spark):
+    old, new = (spark.createDataFrame([("a", x)], "path string, hash string") for x in ("1", "2"))
+    state, asked = [old], []
+    result = upsert.searched(lambda: asked.append(state[0]) or state[0], lambda: state[0], lambda: new, lambda: state.__setitem__(0, new))
+    assert asked == [new] and result is new
+    with pytest.raises(RuntimeError):
+        upsert.searched(lambda: old, lambda: old, lambda: new, lambda: None)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tessera.sources.tables import shared_folder
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("local[4]")).startswith("file:///")
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(session(master))
+
+
+def test_outer_ignore_files(spark, tmp_path):
+    root = tmp_path / "repo" / "a" / "b"
+    root.mkdir(parents=True)
+    assert workspace.outer_ignore_files(spark, f"file://{root}") == [] or not (tmp_path / ".git").exists()
+    (tmp_path / "repo" / ".git").mkdir()
+    (tmp_path / "repo" / ".gitignore").write_text("/a/b/x.py\n*.log\ny.py\n")
+    (tmp_path / "repo" / "a" / ".gitignore").write_text("!y.py\nb/w.py\n")
+    for name in ("x.py", "y.py", "w.py", "z.py", "c.log"):
+        (root / name).write_text("1")
+    found = workspace.outer_ignore_files(spark, f"file://{root}")
+    assert [w for w, _ in found] == ["//a/b", "//b"]
+    got = workspace.scanned(spark, f"file://{root}", extensions=(".py", ".log"), parents=found)
+    assert [r["path"] for r in got.collect()] == ["y.py", "z.py"]
+    stored = spark.createDataFrame([(".gitignore", "0" * 16), ("x", "0" * 16), (".indexignore", "0"), (None, None)], "path string, hash string")
+    assert sorted(str(r["path"]) for r in workspace.bad_ignore_hashes(stored).collect()) == [".indexignore", "None", "x"]
+
+
 def test_stream_debounce(spark, tmp_path):
     from datetime import datetime, timedelta
 
