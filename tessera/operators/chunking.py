@@ -20,39 +20,40 @@ from .symbols import extracted
 SMALL_LINES, FILE_BYTES = 40, 2 * 1024 * 1024
 
 
-def indent_of(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, r"(?U)^(\s*)", 1))
+# Characters of white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def indent_end(lines: Column, line: Column) -> Column:
-    """Last line (from 1) of a block that begins at ``line``: up to the next line that isn't indented more.
+def ends_of_indents(lines: list[str]) -> list[int]:
+    """Last line (from 1) of a block that begins at each line: up to the next line that isn't indented more.
 
-    Blank lines and comments neither end a block nor make it longer at the end of the file.
+    Blank lines and comments neither end a block nor make it longer at the end of the file. One pass, from the last line on.
     """
-    n = F.size(lines)
-    base = indent_of(F.element_at(lines, line))
-    later = F.when(line < n, F.sequence(line + 1, n)).otherwise(F.array().cast("array<int>"))
-    solid = F.filter(later, lambda j: F.element_at(lines, j).rlike(r"(?U)^\s*[^\s#]"))
-    ends = F.filter(solid, lambda j: indent_of(F.element_at(lines, j)) <= base)
-    return F.when(F.size(ends) > 0, F.element_at(ends, 1) - 1).when(F.size(solid) > 0, F.element_at(solid, -1)).otherwise(n)
-
-
-def brace_end(lines: Column, line: Column) -> Column:
-    """Line on which the braces that open from ``line`` on are closed again; the last line where they never are."""
-    n = F.size(lines)
-    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(None).cast("int").alias("end"))
-
-    def step(a: Column, j: Column) -> Column:
-        x = F.element_at(lines, j)
-        depth, opened = a["depth"] + count(x, "{") - count(x, "}"), a["open"] | F.contains(x, F.lit("{"))
-        return F.struct(depth.alias("depth"), opened.alias("open"), F.coalesce(a["end"], F.when(opened & (depth <= 0), j)).alias("end"))
-
-    return F.coalesce(F.aggregate(F.sequence(line, n), start, step, lambda a: a["end"]), n)
+    n = len(lines)
+    ends, last_solid = [n] * n, 0
+    depths, at = [], []  # of solid lines below, each less indented than those between, the nearest last
+    for j in range(n, 0, -1):
+        body = lines[j - 1].lstrip(SPACE)
+        depth = len(lines[j - 1]) - len(body)
+        if k := bisect_right(depths, depth):
+            ends[j - 1] = at[k - 1] - 1
+        elif last_solid:
+            ends[j - 1] = last_solid
+        if body and body[0] != "#":
+            last_solid = last_solid or j
+            while depths and depths[-1] >= depth:
+                depths.pop()
+                at.pop()
+            depths.append(depth)
+            at.append(j)
+    return ends
 
 
 def ends_of_braces(lines: list[str]) -> list[int]:
-    """``brace_end`` of every line (from 1), in one pass from the last line on."""
+    """Line on which the braces that open from each line (from 1) on are closed again; the last line where they never are.
+
+    One pass, from the last line on.
+    """
     depth = [0]
     for x in lines:
         depth.append(depth[-1] + x.count("{") - x.count("}"))
@@ -71,14 +72,17 @@ def ends_of_braces(lines: list[str]) -> list[int]:
     return ends
 
 
-def _ends(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in it:
-        yield pd.Series([None if t is None else ends_of_braces(t.split("\n")) for t in texts], dtype=object)
+def _ends(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, indented in it:
+        yield pd.Series([None if t is None else (ends_of_indents if by else ends_of_braces)(t.split("\n")) for t, by in zip(texts, indented, strict=True)], dtype=object)
 
 
-def brace_ends(text: Column | str) -> Column:
-    """``brace_end`` of each of a text's lines, in order; null for a null text."""
-    return F.pandas_udf(_ends, "array<int>")(text)
+def block_ends(text: Column | str, by_indent: Column) -> Column:
+    """Where a block that begins on each of a text's lines ends, by indentation or by braces; null for a null text.
+
+    A line's end depends on all that follow, so a text is one pass of Python, in Arrow batches, not a fold for each line.
+    """
+    return F.pandas_udf(_ends, "array<int>")(text, by_indent)
 
 
 def chunked(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -96,12 +100,11 @@ def chunked(files: DataFrame, path: str = "path", content: str = "content") -> D
         chunk_id(F.col("path"), F.lit(1), stop).alias("id"), "path", F.lit(1).alias("start"), stop.alias("stop"), F.regexp_extract("path", r"([^/]*)$", 1).alias("symbol"), F.lit("file").alias("kind"),
         F.concat(F.lit("File: "), F.col("path")).alias("signature"), crumb.alias("breadcrumb"), "content", embedded_text(crumb, F.col("content")).alias("embedded"),
     )
-    python = F.lower(extension("path")) == ".py"
     n = F.size("lines")
-    d = f.where(~small)
+    d = f.where(~small).withColumn("ends", block_ends("content", F.lower(extension("path")) == ".py"))
 
     def span(x: Column, i: Column) -> Column:
-        own = F.when(x["end_line"] >= x["line"], F.least(n, x["end_line"])).when(python, indent_end(F.col("lines"), x["line"])).otherwise(brace_end(F.col("lines"), x["line"]))
+        own = F.when(x["end_line"] >= x["line"], F.least(n, x["end_line"])).otherwise(F.element_at("ends", x["line"]))
         following = F.try_element_at("defs", i + 2)["line"]
         cut = F.when(following.isNotNull() & (own >= following) & ~x["kind"].isin("class", "test"), F.least(own, following - 1)).otherwise(own)
         return F.struct(x["name"].alias("name"), x["kind"].alias("kind"), x["signature"].alias("signature"), x["line"].alias("start"), F.greatest(x["line"], F.least(n, cut)).alias("stop"))

@@ -52,10 +52,24 @@ def union(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame
     return merged.join(state, list(keys))
 
 
+def _in_one(targets: DataFrame, ranges: DataFrame, keys: Sequence[str], start: str, stop: str) -> DataFrame:
+    """``targets`` with in: whether a merged range holds the target. A null key is in none.
+
+    Merged ranges lie apart, so only the last that begins at or before the target can hold it: both sides are put in one
+    order, and a running last value finds it. No target meets more than one range.
+    """
+    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    row = F.struct(*(F.col(f"`{c}`") for c in targets.columns))
+    t = targets.select(*keys, F.col(start).cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("long").alias("_end"), row.alias("_row"))
+    r = merge(ranges, keys).where(known).select(*keys, F.col("start").cast("long").alias("_at"), F.lit(0).alias("_turn"), F.col("stop").cast("long").alias("_end"), F.lit(None).cast(t.schema["_row"].dataType).alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = r.unionByName(t).withColumn("_end", F.last("_end", ignorenulls=True).over(w)).where("_turn = 1")
+    return both.select("_row.*", F.coalesce(F.col("_end") >= F.col(f"_row.{stop}"), F.lit(False)).alias("in"))
+
+
 def covered(targets: DataFrame, ranges: DataFrame, keys: Sequence[str], complete: DataFrame | None = None) -> DataFrame:
     """keys, n_targets, n_covered, ok: every target of a key lies in one merged range, or the key is complete."""
-    t = merge(targets, keys).withColumnsRenamed({"start": "a", "stop": "b"})
-    hit = t.join(merge(ranges, keys), list(keys), "left").groupBy(*keys, "a", "b").agg(F.coalesce(F.max((F.col("start") <= F.col("a")) & (F.col("stop") >= F.col("b"))), F.lit(False)).alias("in"))
+    hit = _in_one(merge(targets, keys), ranges, keys, "start", "stop")
     out = hit.groupBy(*keys).agg(F.count("*").alias("n_targets"), F.count_if("in").alias("n_covered"))
     if complete is None:
         return out.withColumn("ok", F.col("n_targets") == F.col("n_covered"))
@@ -64,8 +78,7 @@ def covered(targets: DataFrame, ranges: DataFrame, keys: Sequence[str], complete
 
 def uncovered(targets: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Targets (keys, start, stop) that lie in no range."""
-    r = merge(ranges, keys).withColumnsRenamed({"start": "s", "stop": "e"})
-    return targets.join(r, [*(targets[k] == r[k] for k in keys), r["s"] <= targets["start"], r["e"] >= targets["stop"]], "left_anti")
+    return _in_one(targets, ranges, keys, "start", "stop").where(~F.col("in")).drop("in")
 
 
 def overlaps(spans: DataFrame, keys: Sequence[str], id_col: str = "i") -> DataFrame:

@@ -28,6 +28,22 @@ def test_ends_of_braces_match_brute_force():
         assert chunking.ends_of_braces(lines) == brute(lines)
 
 
+def brute_indent(lines):
+    """Ends by a scan from each line on."""
+    depth = lambda x: len(x) - len(x.lstrip())
+    out = []
+    for i, x in enumerate(lines):
+        solid = [j for j in range(i + 1, len(lines)) if lines[j].strip() and not lines[j].strip().startswith("#")]
+        out.append(next((j for j in solid if depth(lines[j]) <= depth(x)), (solid[-1] if solid else len(lines) - 1) + 1))
+    return out
+
+
+def test_ends_of_indents_match_brute_force():
+    for _ in range(500):
+        lines = [DRAW.choice(["", " ", "  ", "   "]) + DRAW.choice(["", "a", "b c", "# no", "\t", "d"]) for _ in range(DRAW.randrange(1, 40))]
+        assert chunking.ends_of_indents(lines) == brute_indent(lines)
+
+
 def test_brace_span_goes_beyond_sixty_lines(spark, tmp_path):
     html = ["<a" + "\nx}" * 3 + "<b\n" * n + "}\n" * (n + 5) for n in (1, 30, 100)] + ["", "plain\n" * 70, "<p" + "\nx" * 90 + "}\nend"]
     rows = [(i, h) for i, h in enumerate(html)] + [(10, None)]
