@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import line_hashes, lines_of, parse_anchor
 from ..functions.text import compact_message
-from .intervals import overlapping_pairs
+from .intervals import overlaps
 
 # Fixed values.
 MOST_FINDINGS = 5
@@ -46,7 +46,7 @@ def apply_anchors(edits: DataFrame, files: DataFrame) -> DataFrame:
     """
     checked = checked_anchors(edits, files)
     good = checked.where("error IS NULL")
-    clash = overlapping_pairs(good.select("path", "i", "start", "stop"), ["path"]).select("path").distinct().withColumn("clash", F.lit("edits overlap"))
+    clash = overlaps(good.select("path", "i", "start", "stop"), ["path"]).select("path").distinct().withColumn("clash", F.lit("edits overlap"))
     spans = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("start", "stop", "lines"))))
     g = checked.groupBy("path").agg(F.min("error").alias("error"), F.first("content").alias("content"), spans.alias("spans")).join(clash, "path", "left")
     lines = F.transform(lines_of("content"), lambda x, i: F.struct((i + 1).cast("long").alias("at"), F.array(x).alias("text")))
@@ -125,18 +125,38 @@ def heal_json(text: str) -> str | None:
         return None
 
 
+# Words after which a slash begins a pattern, as after an operator; after a value it divides.
+_BEFORE_PATTERN = frozenset("return typeof case in of delete void throw new else do await yield instanceof".split())
+_OPERATORS = frozenset("(,=:[!&|?{};+-*%<>~^")
+_PIECE = re.compile(r"""(?s)(?P<note>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>'(?:\\.|[^'\\])*(?:'|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))|(?P<slash>/)|(?P<word>[\w$]+)|(?P<mark>\S)""")
+_PATTERN = re.compile(r"/(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+
+
+def code_delimiters(text: str) -> Iterator[tuple[str, int]]:
+    """Delimiters of code with their offsets; those in strings, comments and regular-expression literals aren't code."""
+    at, before = 0, ""
+    while m := _PIECE.search(text, at):
+        at, kind = m.end(), m.lastgroup
+        if kind == "note":
+            continue
+        if kind == "slash" and (not before or before in _BEFORE_PATTERN or before in _OPERATORS) and (literal := _PATTERN.match(text, m.start())):
+            at, before = literal.end(), "//"
+            continue
+        if kind == "mark" and m[0] in "{}()[]":
+            yield m[0], m.start()
+        before = '""' if kind == "text" else m[0]
+
+
 def structure_error(text: str) -> str | None:
     """What is out of balance in code: a closing delimiter without its opening one, or an opening one that stays open."""
     stack: list[tuple[str, int]] = []
-    for m in _CODE.finditer(text):
-        c = m[1]
-        if not c:
-            continue
-        line = text.count("\n", 0, m.start()) + 1
+    line = seen = 0
+    for c, at in code_delimiters(text):
+        line, seen = line + text.count("\n", seen, at), at
         if c in _CLOSER:
-            stack.append((c, line))
+            stack.append((c, line + 1))
         elif not stack or _CLOSER[stack[-1][0]] != c:
-            return f"line {line}: unexpected {c}"
+            return f"line {line + 1}: unexpected {c}"
         else:
             stack.pop()
     return f"line {stack[-1][1]}: {stack[-1][0]} is not closed" if stack else None

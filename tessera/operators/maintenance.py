@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_hash, is_known_kind, is_safe_path
 
@@ -85,19 +87,27 @@ def invalidated(hashed: DataFrame, paths: DataFrame) -> DataFrame:
 def admitted(items: DataFrame, keys: Sequence[str], order: str, size: str, budget: int, count: str | None = None, most: int | None = None) -> DataFrame:
     """``items`` with ``kept``: in order, each is kept if it still fits; one that doesn't is skipped and later ones may.
 
-    It is a fold over each key's items in order, as what fits depends on all choices before. Only order, size and count
-    of a key's items meet in one row, not the items.
+    What fits depends on all choices before, so a key's items are read in order, one at a time, holding two sums: they are
+    sorted, not gathered. Items of equal order go by size and count. A null order comes first, a null size or count never fits.
     """
-    small = items.select(*keys, F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"), (F.col(count) if count else F.lit(1)).cast("long").alias("c")).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<{dict(items.dtypes)[order]}>").alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["used"] + x["s"] <= budget) & (F.lit(True) if most is None else a["n"] + x["c"] <= most)
-        return F.struct((a["used"] + F.when(fits, x["s"]).otherwise(F.lit(0))).alias("used"), (a["n"] + F.when(fits, x["c"]).otherwise(F.lit(0))).alias("n"), F.when(fits, F.concat(a["kept"], F.array(x["o"]))).otherwise(a["kept"]).alias("kept"))
-
-    kept = small.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("x")), start, step, lambda a: a["kept"]).alias("kept"))
-    chosen = kept.select(*keys, F.explode("kept").alias(order), F.lit(True).alias("kept"))
-    return items.join(chosen, [*keys, order], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    n = (F.col(count) if count else F.lit(1)).cast("long")
+    row = items.select(F.struct(*(F.col(f"`{c}`") for c in items.columns)).alias("row"), F.struct(*(F.col(k) for k in keys)).alias("k"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"), n.alias("c"))
+    schema = T.StructType([T.StructField("row", items.schema), T.StructField("kept", T.BooleanType())])
+
+    def walk(batches):
+        key, used, taken = None, 0, 0
+        for batch in batches:
+            kept = []
+            for now, s, c in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+                if now != key:
+                    key, used, taken = now, 0, 0
+                fits = s is not None and c is not None and used + s <= budget and (most is None or taken + c <= most)
+                if fits:
+                    used, taken = used + s, taken + c
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.bool_())], names=["row", "kept"])
+
+    return row.repartition("k").sortWithinPartitions("k", "o", "s", "c").mapInArrow(walk, schema).select("row.*", "kept")
 
 
 def retained(files: DataFrame, keys: Sequence[str], mtime: str = "mtime", size: str = "size", most_files: int = 20, most_bytes: int = 50 * 1024 * 1024, tie: str = "name") -> DataFrame:

@@ -86,6 +86,26 @@ def locate_normalised(exact: DataFrame) -> DataFrame:
     return d.withColumn("n_normal", F.size("places")).withColumn("line", F.when(open_, _nearest(F.col("places"), F.col("line_hint"), lambda p: p + 1))).drop("places")
 
 
+def blocks_in(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """id, block, line (from 0): every place of a file (id, content) where a block (block, search) stands, by trimmed lines.
+
+    A block's longest line (the first of several) is its anchor, as a long line is held by few files: files' lines are joined
+    with anchors by equality, and the lines round a hit are compared with the whole block. Blank blocks, and null texts, are
+    found nowhere; overlapping places all count.
+    """
+    b = blocks.where(F.length(trim_space("search")) > 0).select("block", _trimmed(_lf(F.col("search"))).alias("w"))
+    longest = F.array_max(F.transform("w", lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("o"))))
+    b = b.withColumn("o", -longest["o"]).withColumn("anchor", F.element_at("w", F.col("o") + 1))
+    keyed = b.select("block", "o", F.size("w").alias("k"), F.sha2(F.array_join("w", "\n").cast("binary"), 256).alias("whole"), F.xxhash64("anchor").alias("anchor"))
+    f = files.where("content IS NOT NULL").select("id", _trimmed(_lf(F.col("content"))).alias("ls"))
+    lines = f.select("id", "ls", F.posexplode("ls").alias("at", "x")).where(F.length("x") > 0).select("id", "at", F.xxhash64("x").alias("anchor"))
+    met = lines.join(keyed, "anchor").select("id", "block", "k", "whole", (F.col("at") - F.col("o")).alias("line")).where("line >= 0")
+    asked = met.groupBy("id").agg(F.collect_set(F.struct("block", "k", "whole", "line")).alias("asked"))
+    told = f.join(asked, "id").select("id", "ls", F.explode("asked").alias("a"))
+    same = F.sha2(F.array_join(F.slice("ls", F.col("a.line") + 1, F.col("a.k")), "\n").cast("binary"), 256) == F.col("a.whole")
+    return told.where((F.col("a.line") + F.col("a.k") <= F.size("ls")) & same).select("id", "a.block", "a.line")
+
+
 def _same_start(a: str, b: str) -> int:
     """Characters that both begin with, by halving."""
     lo, hi = 0, min(len(a), len(b))

@@ -15,6 +15,7 @@ from ..functions.text import clamp_width, is_diagnostic, is_discovery_command, i
 MAX_LINES, MAX_WIDTH, MAX_BYTES = 100, 300, 20 * 1024
 READ_LINES, READ_MOST_LINES, READ_BYTES = 250, 2000, 50 * 1024
 BATCH_FILES, BATCH_LINES, BATCH_BYTES, FILE_BYTES = 20, 150, 24 * 1024, 5 * 1024 * 1024
+LEAST_CENTRED, HEAD_SHARE, MOST_HEAD, TAIL_SHARE, MOST_TAIL, LEAST_ENDS = 8, 0.12, 4, 0.15, 5, 2
 HOST_FOOTER = r"(?:\r?\n){1,2}\[(?:Showing (?:lines \d+-\d+ of \d+(?: \([^)]+\))?|last [^)]+\))\.[ \t]*Full output:|Truncated by host harness\.[ \t]*Full:)[ \t]*([^\]\r\n]+?)(?:[ \t]+\(use offset/limit with read if needed\))?\][ \t\r\n]*$"
 OWN_FOOTER = r"(?:\r?\n){2}\[Truncated[^\r\n\]]*?(?:\.[ \t]*(?:Full|Spillover):[ \t]*([^\]\r\n]+?)(?:[ \t]+\(use offset/limit[^)]*\)|[ \t]+\(received fragment only\))?)?\][ \t\r\n]*$"
 
@@ -48,8 +49,8 @@ def window_plan(outputs: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     d = d.withColumn("over", F.col("total") > max_lines)
     diag = F.when(F.col("over") & scans, F.when(flagged, first(True)).otherwise(first(False)))
     d = d.withColumn("first_diag", F.when(diag >= 0, diag).cast("int"))
-    centred = F.col("over") & looks & (flagged | F.col("first_diag").isNotNull()) & F.lit(m >= 8)
-    head, tail = min(4, max(2, int(0.12 * m))), min(5, max(2, int(0.15 * m)))
+    centred = F.col("over") & looks & (flagged | F.col("first_diag").isNotNull()) & F.lit(m >= LEAST_CENTRED)
+    head, tail = min(MOST_HEAD, max(LEAST_ENDS, int(HEAD_SHARE * m))), min(MOST_TAIL, max(LEAST_ENDS, int(TAIL_SHARE * m)))
     room = m - head - tail
     end = F.col("total") - tail
     start = F.greatest(F.lit(head), F.col("first_diag") - room // 2)
@@ -82,16 +83,16 @@ def _marker(first: int, last: int) -> Entry:
     return Entry(f"\n[... {last - first + 1:,} lines omitted (lines {first}–{last}) ...]\n", True)
 
 
-def compose(lines: list[str], plan: tuple, budget: int, width: int, full: str | None, prior: str | None) -> tuple[str, int]:
-    """Text and number of shown lines, within ``budget`` bytes: markers go first, then entries from the middle."""
+def compose(lines: list[str], plan: tuple, budget: int, full: str | None, prior: str | None) -> tuple[str, int]:
+    """Text and number of shown lines, within ``budget`` bytes: markers go first, then entries from the middle.
+
+    ``lines`` are those that the plan shows, in order, already cut to their width.
+    """
     total, head, tail, win_start, win_end = plan
-    gaps, entries = [], []
+    gaps, entries, rest = [], [], iter(lines)
 
     def take(a: int, b: int) -> None:
-        for i in range(a, b):
-            x = lines[i]
-            kept = max(10, width - 60)
-            entries.append(Entry(x if len(x) <= width else f"{x[:kept]}... <line {i + 1} truncated: {len(x) - kept:,} chars omitted>"))
+        entries.extend(Entry(x) for _, x in zip(range(a, b), rest))
 
     def skip(a: int, b: int) -> None:
         if b > a:
@@ -139,11 +140,20 @@ def compose(lines: list[str], plan: tuple, budget: int, width: int, full: str |
     return (text if len(text.encode()) <= budget else "[Truncated]"[:budget]), shown
 
 
+def _planned(max_width: int) -> Column:
+    """The lines that a plan shows, cut to their width: at most so many as the plan allows, whatever the output's length."""
+    lines, win = output_lines("text"), F.coalesce(F.col("win_end") - F.col("win_start"), F.lit(0))
+    parts = F.concat(F.slice(lines, 1, F.col("head")), F.slice(lines, F.coalesce("win_start", F.lit(0)) + 1, win), F.slice(lines, F.col("total") - F.col("tail") + 1, F.col("tail")))
+    number = lambda i: F.when(i < F.col("head"), i).when(i < F.col("head") + win, F.col("win_start") + i - F.col("head")).otherwise(F.col("total") - F.col("tail") + i - F.col("head") - win) + 1
+    return F.transform(parts, lambda x, i: clamp_width(x, number(i), max_width))
+
+
 def clamp_outputs(outputs: DataFrame, max_lines: int = MAX_LINES, max_width: int = MAX_WIDTH, max_bytes: int = MAX_BYTES, spill_prefix: str | None = "spill") -> DataFrame:
     """One row an output (id, text, command, is_error): text, truncated, spill_path, original_bytes, returned_bytes, total, shown.
 
     Where lines are plenty or wide, or bytes too many, a window is composed; its footer names where the whole text is kept
-    (``spilled`` gives those rows to write). The plan is column expressions; only composing to a byte budget is a loop.
+    (``spilled`` gives those rows to write). The plan and its lines are column expressions, in one pass over the outputs;
+    only those lines reach Python, where composing to a byte budget is a loop.
     """
     if max_bytes < 0:
         raise ValueError("max_bytes must not be negative")
@@ -152,21 +162,26 @@ def clamp_outputs(outputs: DataFrame, max_lines: int = MAX_LINES, max_width: int
     wide = F.exists(output_lines("text"), lambda x: F.length(x) > max_width)
     needs = F.col("kind").isNotNull() | (F.col("total") > max_lines) | (F.octet_length("text") > max_bytes) | wide
     path = F.coalesce("prior_path", F.concat(F.lit(f"{spill_prefix}/"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 24), F.lit(".log")) if spill_prefix else F.lit(None).cast("string"))
-    d = plan.withColumn("needs", F.coalesce(needs, F.lit(False))).withColumn("spill_path", F.when(F.col("needs"), path))
+    d = plan.withColumn("needs", F.coalesce(needs, F.lit(False))).withColumns({"spill_path": F.when(F.col("needs"), path), "planned": F.when(F.col("needs"), _planned(max_width))})
 
     @F.pandas_udf("text string, shown long")
     def composed(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in it:
             out = []
-            for text, total, head, tail, a, b, full, kind in zip(*cols, strict=True):
-                lines = text.replace("\r\n", "\n").split("\n")
-                out.append(compose(lines, (int(total), int(head), int(tail), None if pd.isna(a) else int(a), None if pd.isna(b) else int(b)), max_bytes, max_width, full or None, kind or None))
+            for lines, total, head, tail, a, b, full, kind in zip(*cols, strict=True):
+                if lines is None:
+                    out.append((None, None))
+                    continue
+                out.append(compose(list(lines), (int(total), int(head), int(tail), None if pd.isna(a) else int(a), None if pd.isna(b) else int(b)), max_bytes, full or None, kind or None))
             yield pd.DataFrame(out, columns=["text", "shown"])
 
-    cut = d.where("needs").withColumn("c", composed("text", "total", "head", "tail", "win_start", "win_end", "spill_path", "kind"))
-    done = cut.select("id", F.col("c.text").alias("text"), F.lit(True).alias("truncated"), "spill_path", F.octet_length("raw").cast("long").alias("original_bytes"), F.octet_length("c.text").cast("long").alias("returned_bytes"), F.col("total").cast("long").alias("total"), F.col("c.shown").alias("shown"))
-    left = d.where("NOT needs").select("id", "text", F.lit(False).alias("truncated"), "spill_path", F.octet_length("raw").cast("long").alias("original_bytes"), F.octet_length("text").cast("long").alias("returned_bytes"), F.col("total").cast("long").alias("total"), F.col("total").cast("long").alias("shown"))
-    return done.unionByName(left)
+    d = d.withColumn("c", composed("planned", "total", "head", "tail", "win_start", "win_end", "spill_path", "kind"))
+    text = F.when(F.col("needs"), F.col("c.text")).otherwise(F.col("text"))
+    total = F.col("total").cast("long")
+    return d.select(
+        "id", text.alias("text"), F.col("needs").alias("truncated"), "spill_path", F.octet_length("raw").cast("long").alias("original_bytes"), F.octet_length(text).cast("long").alias("returned_bytes"),
+        total.alias("total"), F.when(F.col("needs"), F.col("c.shown")).otherwise(total).alias("shown"),
+    )
 
 
 def spilled(outputs: DataFrame, clamped: DataFrame) -> DataFrame:

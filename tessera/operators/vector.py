@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,14 @@ def search(vectors: DataFrame, query: DataFrame, threshold: float = THRESHOLD, d
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, most_queries: int = 1000) -> DataFrame:
-    """qid, id, sim, rank for a stated set of queries (qid, q), ``most_queries`` in a broadcast block at a time."""
-    keys = [r["qid"] for r in queries.select("qid").orderBy("qid").toLocalIterator()]
-    out = None
-    for at in range(0, len(keys), most_queries):
-        part = queries.where(F.col("qid").isin(keys[at : at + most_queries]))
-        scored = vectors.crossJoin(F.broadcast(part)).select("qid", "id", dot(F.col("vector"), F.col("q")).alias("sim")).where(F.round("sim", 9) >= threshold)
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        out = vectors.crossJoin(F.broadcast(queries)).select("qid", "id", F.lit(0.0).alias("sim"))
+    """qid, id, sim, rank for a stated set of queries (qid, q), dealt by a hash in blocks of about ``most_queries``.
+
+    A block is broadcast, so its size has a bound; each block is one pass over the vectors. Ranks are cut to ``depth`` in
+    each task before they are shuffled.
+    """
+    blocks = max(1, -(-queries.count() // most_queries))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    part = lambda n: vectors.crossJoin(F.broadcast(queries.where(block == n))).select("qid", "id", dot(F.col("vector"), F.col("q")).alias("sim")).where(F.round("sim", 9) >= threshold)
     order = Window.partitionBy("qid").orderBy(F.round("sim", 6).desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+    best = lambda d: d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
+    return reduce(DataFrame.unionByName, (best(part(n)) for n in range(blocks)))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import intervals, maintenance, matching, output_window, sessions
+from tessera.operators import edits, intervals, maintenance, matching, output_window, sessions, vector
 
 
 def rows(df):
@@ -235,3 +235,25 @@ def test_several_blocks(spark):
     s = spark.createDataFrame([("p", 1, 2, 3, 5), ("p", 2, 8, 8, 0)], "path string, seq int, first long, last long, n_new long")
     assert [r["now_first"] for r in matching.shifted_lines(s, ["path"]).orderBy("seq").collect()] == [2, 11]
     assert matching.unified_diff("a\nb", "a\nc").split("\n")[-2:] == ["-b", "+c"]
+
+
+def test_structure_knows_patterns():
+    for good in ("const x = /[{]/;", "a = b / c; d = (e) / f", "return /\\)/.test(x)", "f(/[/)]{2}/g, '{')", "// {\nlet a = 1 /* ( */", "x = `{`"):
+        assert edits.structure_error(good) is None, good
+    assert edits.structure_error("a = b / (c\n") == "line 1: ( is not closed"
+    assert edits.structure_error("let x = /a/;\n}") == "line 2: unexpected }"
+
+
+def test_blocks_are_found_in_files(spark):
+    files = [(1, "a\n  long line here \nb\nlong line here\nb"), (2, "long line here\nc"), (3, None), (4, "x\r\nlong line here\r\nb")]
+    blocks = [(10, "long line here\n b"), (11, "  \n"), (12, "long line here\nb\nlong line here\nb"), (13, "nowhere"), (14, "long line here\nb\n")]
+    got = matching.blocks_in(spark.createDataFrame(files, "id int, content string"), spark.createDataFrame(blocks, "block int, search string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 1), (1, 10, 3), (1, 12, 1), (4, 10, 1)]
+
+
+def test_many_vector_queries_in_blocks(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7 == j) for j in range(7)]) for i in range(70)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(f"q{j}", [float(k == j) for k in range(7)]) for j in range(7)], "qid string, q array<double>")
+    one, many = (sorted(map(tuple, vector.search_many(vectors, queries, 0.5, 3, most).collect())) for most in (100, 2))
+    assert one == many and len(one) == 21 and {r[1] % 7 for r in one if r[0] == "q3"} == {3}
+    assert vector.search_many(vectors, queries.limit(0)).collect() == []
