@@ -6,12 +6,12 @@ provenance, query, hits (array of line and text).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lines import lines_of
 from ..functions.text import is_safe_path, strip_ansi, trim_space
-from .intervals import merge
+from .intervals import from_points, merge
 
 # Fixed values.
 READERS = ("cat", "head", "tail", "sed", "awk", "grep", "rg", "less", "more")
@@ -26,7 +26,9 @@ CONTEXT_LINE = r"^((?:[a-zA-Z]:[\\/])?[^:\r\n]+?\.[a-zA-Z0-9_]+)-(\d+)-(.*)$"
 CONTEXT_BARE = r"^((?:[a-zA-Z]:[\\/])?[^:\r\n]+?)-(\d+)-(.*)$"
 TRACE_NAMED = r"""(?i)(?:-->|\s+at|\s+❯|File\s+["']?)\s*([^\s"(),]+\.[a-zA-Z0-9]+)(?:["']?)(?:[:(]|\s*,?\s*line\s+)(\d+)"""
 TRACE_BARE = r"(?:^|[\s(])([^\s()]+\.[a-zA-Z0-9]+)[:(](\d+)(?:[:,\s)]|$)"
+PAGED_HEAD, PAGED_TAIL, PAGED_SED = r"(?i)\bhead\b.*?-n\s*(\d+)", r"(?i)\btail\b.*?-n\s*(\d+)", r"(?i)\bsed\b.*?-n\s*['\"]?(\d+),(\d+)p['\"]?"
 MOST_RECORDS, MOST_STATE_BYTES = 1000, 2 * 1024 * 1024
+EVIDENCE = "path string, kind string, fingerprint string, complete boolean, ranges array<struct<start: bigint, stop: bigint>>, total bigint, provenance string, query string, hits array<struct<line: bigint, text: string>>, session string"
 RANGES = "array<struct<start: bigint, stop: bigint>>"
 
 
@@ -84,7 +86,7 @@ def paged_lines(outputs: DataFrame, keys: list[str]) -> DataFrame:
     cut = lambda t: F.split(F.when(F.endswith(t, F.lit("\n")), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t), "\n", -1)
     d = outputs.withColumns({"src": cut(clean("source")), "out": cut(clean("text"))}).withColumn("n", F.size("src"))
     num = lambda p, i: F.try_to_number(F.regexp_extract("command", p, i), F.lit("9999999999")).cast("long")
-    head, tail, sed = r"(?i)\bhead\b.*?-n\s*(\d+)", r"(?i)\btail\b.*?-n\s*(\d+)", r"(?i)\bsed\b.*?-n\s*['\"]?(\d+),(\d+)p['\"]?"
+    head, tail, sed = PAGED_HEAD, PAGED_TAIL, PAGED_SED
     is_head, is_tail, is_sed = (F.col("command").rlike(p) for p in (head, tail, sed))
     start = F.when(is_head, F.lit(1)).when(is_tail, F.col("n") - F.least(num(tail, 1), F.col("n")) + 1).when(is_sed, num(sed, 1))
     stop = F.when(is_head, F.least(num(head, 1), F.col("n"))).when(is_tail, F.col("n")).when(is_sed, num(sed, 2))
@@ -92,6 +94,32 @@ def paged_lines(outputs: DataFrame, keys: list[str]) -> DataFrame:
     return d.where(F.slice("src", F.col("start").cast("int"), (F.col("stop") - F.col("start") + 1).cast("int")) == F.col("out")).select(*keys, "start", "stop")
 
 
+def shell_observations(outputs: DataFrame, files: DataFrame) -> DataFrame:
+    """What shell commands showed, as observations for ``recorded``. ``outputs``: session, seq, command, text.
+    ``files``: path, content, fingerprint, of the workspace as it is.
+
+    A command's words that name a file, or end one's path, are its candidates. Lines that its output places in one of them
+    are ranges and hits; where it names one file, lines that head, tail or sed printed are proved by the file's text.
+    """
+    keys = ["session", "seq"]
+    words = inspected_files(outputs, keys).withColumnRenamed("path", "word")
+    every = files.select("path", F.element_at(F.split("path", "/", -1), -1).alias("name"))
+    named = words.withColumn("name", F.element_at(F.split("word", "/", -1), -1)).join(every, "name").where((F.col("path") == F.col("word")) | F.endswith("path", F.concat(F.lit("/"), "word")))
+    candidates = named.groupBy(*keys).agg(F.sort_array(F.collect_set("path")).alias("candidates"))  # as few as a command's words
+    told = outputs.join(candidates, keys)
+    placed = parsed_log(told, keys)
+    ranges = from_points(placed, [*keys, "path"]).select(*keys, "path", F.struct("start", "stop").alias("r"))
+    one = told.where(F.size("candidates") == 1).withColumn("path", F.element_at("candidates", 1)).join(files.select("path", F.col("content").alias("source")), "path")
+    paged = paged_lines(one.select(*keys, "path", "command", "text", "source"), [*keys, "path"]).select(*keys, "path", F.struct("start", "stop").alias("r"))
+    seen = ranges.unionByName(paged).groupBy(*keys, "path").agg(F.array_sort(F.collect_set("r")).alias("ranges"))
+    hits = placed.where("hit").groupBy(*keys, "path").agg(F.array_sort(F.collect_set(F.struct("line", F.col("said").alias("text")))).alias("hits"))
+    d = seen.join(hits, [*keys, "path"], "left").join(files.select("path", "fingerprint", F.size(lines_of("content")).cast("long").alias("total")), "path")
+    return d.select(
+        "session", "path", F.when(F.coalesce(F.size("hits"), F.lit(0)) > 0, "search").otherwise("read").alias("kind"), "fingerprint", F.lit(False).alias("complete"), F.col("ranges").cast(RANGES).alias("ranges"), "total",
+        F.lit("shell").alias("provenance"), F.lit(None).cast("string").alias("query"), F.coalesce("hits", F.array().cast("array<struct<line: bigint, text: string>>")).alias("hits"), "seq",
+    )
+
+
 # --- recording -------------------------------------------------------------------------------------------------------
 def recorded(observations: DataFrame, order: str = "seq") -> DataFrame:
     """The ledger from observations (the columns of evidence and ``order``), one row for each session and path.
@@ -133,6 +161,25 @@ def restorable(stored: DataFrame, current: DataFrame, most: int = MOST_RECORDS)
     return d.withColumn("nth", F.row_number().over(Window.partitionBy("session").orderBy("path"))).where(F.col("nth") <= most).drop("nth").select(*stored.columns)
 
 
+def storable(ledger: DataFrame, most: int = MOST_RECORDS, most_bytes: int = MOST_STATE_BYTES) -> DataFrame:
+    """The evidence that a session's state keeps: well formed, the first ``most`` records by path, within ``most_bytes`` as JSON."""
+    current = ledger.select("path", "fingerprint").distinct()
+    d = restorable(ledger, current, most).withColumn("_bytes", F.octet_length(F.to_json(F.struct(*(F.col(c) for c in ledger.columns)))) + 1)
+    total = F.sum("_bytes").over(Window.partitionBy("session").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("_total", total).where(F.col("_total") <= most_bytes).select(*ledger.columns)
+
+
+def save_state(ledger: DataFrame, folder: str, n: int) -> None:
+    """State number ``n``: a folder of its own, so the one before stays until this one is whole."""
+    storable(ledger).write.mode("overwrite").partitionBy("session").parquet(f"{folder}/state{n}")
+
+
+def load_state(spark: SparkSession, folder: str, n: int, current: DataFrame, session: str | None = None) -> DataFrame:
+    """Evidence of state ``n`` that still holds; with ``session``, only that session's part is read."""
+    d = spark.read.option("basePath", f"{folder}/state{n}").schema(EVIDENCE).parquet(f"{folder}/state{n}")
+    return restorable(d if session is None else of_session(d, session), current)
+
+
 def of_session(ledger: DataFrame, session: str) -> DataFrame:
     return ledger.where(F.col("session") == session)
 

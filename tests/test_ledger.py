@@ -147,3 +147,31 @@ def test_delimiters(spark):
     assert edits.structure_error("f(a]\n") == "line 1: unexpected ]" and edits.structure_error("a\n{") == "line 2: { is not closed" and edits.structure_error("{}") is None
     d = spark.createDataFrame([("(", '{"a"'), (None, None)], "x string, j string")
     assert [tuple(r) for r in d.select(edits.unclosed("x"), edits.structure("x"), edits.healed_json("j")).collect()] == [([")"], "line 1: ( is not closed", None), (None, None, None)]
+
+
+def test_shell_output_becomes_evidence(spark):
+    body = "\n".join(f"line {i}" for i in range(1, 21))
+    files = spark.createDataFrame([("src/a.py", body, "f" * 64), ("src/b.py", body, "e" * 64)], "path string, content string, fingerprint string")
+    outputs = spark.createDataFrame(
+        [("s", 1, "grep -n line a.py b.py", "src/a.py:3:line 3\nsrc/a.py:4:line 4\nb.py-7-line 7"), ("s", 2, "sed -n '5,6p' src/a.py", "line 5\nline 6"), ("s", 3, "sed -n '5,6p' src/a.py", "not what stands there"), ("s", 4, "ls", "a.py:1:x")],
+        "session string, seq long, command string, text string",
+    )
+    seen = {(r["seq"], r["path"]): r for r in ledger.shell_observations(outputs, files).collect()}
+    assert set(seen) == {(1, "src/a.py"), (1, "src/b.py"), (2, "src/a.py")}
+    assert [tuple(x) for x in seen[1, "src/a.py"]["ranges"]] == [(3, 4)] and [tuple(x) for x in seen[1, "src/a.py"]["hits"]] == [(3, "line 3"), (4, "line 4")]
+    assert seen[1, "src/b.py"]["kind"] == "read" and [tuple(x) for x in seen[2, "src/a.py"]["ranges"]] == [(5, 6)]
+    got = {r["path"]: r for r in ledger.recorded(ledger.shell_observations(outputs, files)).collect()}
+    assert [tuple(x) for x in got["src/a.py"]["ranges"]] == [(3, 6)] and got["src/a.py"]["provenance"] == "shell" and got["src/a.py"]["total"] == 20
+
+
+def test_state_is_stored_and_restored(spark, tmp_path):
+    line = lambda path, print_, kind="read": ("s", path, kind, print_, False, [(1, 2)], 9, "read", None, [(1, "x")])
+    schema = "session string, path string, kind string, fingerprint string, complete boolean, ranges array<struct<start: bigint, stop: bigint>>, total bigint, provenance string, query string, hits array<struct<line: bigint, text: string>>"
+    rows = [line("a.py", "f" * 64), line("b.py", "e" * 64), line("../c.py", "f" * 64), line("d.py", "short"), line("e.py", "f" * 64, "odd")]
+    every = spark.createDataFrame(rows, schema)
+    ledger.save_state(every, f"file://{tmp_path}", 1)
+    current = spark.createDataFrame([("a.py", "f" * 64), ("b.py", "0" * 64)], "path string, fingerprint string")
+    got = ledger.load_state(spark, f"file://{tmp_path}", 1, current, "s").collect()
+    assert [r["path"] for r in got] == ["a.py"] and got[0]["session"] == "s" and tuple(got[0]["ranges"][0]) == (1, 2)
+    assert ledger.load_state(spark, f"file://{tmp_path}", 1, current, "t").collect() == []
+    assert ledger.storable(every, most=1).count() == 1 and ledger.storable(every, most_bytes=10).count() == 0
