@@ -92,12 +92,20 @@ def retention(spark, d):
     return maintenance.retained(e, ["user_id"], most_files=20, most_bytes=700).select("user_id", "event_id")
 
 
-@query("integrity_checks", f"""WITH c AS (SELECT doc_id, source, text, {_HASH} AS hash, doc_id % 50 = 7 AS bad FROM documents)
-SELECT 'hash' AS rule, count(*) FILTER (bad) AS n FROM c UNION ALL SELECT 'id_from_parts', 0 FROM c WHERE doc_id = (SELECT min(doc_id) FROM c) UNION ALL SELECT 'kind', 0 UNION ALL SELECT 'path', 0 UNION ALL SELECT 'lines', 0 UNION ALL SELECT 'hash_format', count(*) FILTER (bad) FROM c
-UNION ALL SELECT 'most_chunks', (count(*) > 10000)::INT FROM c UNION ALL SELECT 'unique_id', 0 UNION ALL SELECT 'known_file', count(*) FROM c WHERE source = 'src3' UNION ALL SELECT 'file_has_chunk', 1""")
+@query("integrity_checks", f"""WITH c AS (SELECT CASE WHEN i % 53 = 11 THEN 'x' ELSE path || ':' || start || '-' || stop END AS id, * FROM (SELECT doc_id AS i, CASE WHEN doc_id % 43 = 5 THEN '../' || source ELSE source END AS path, doc_id + 1 AS start, CASE WHEN doc_id % 47 = 9 THEN doc_id ELSE doc_id + 1 END AS stop,
+  CASE WHEN doc_id % 41 = 3 THEN 'odd' WHEN doc_id % 2 = 0 THEN 'class' ELSE 'file' END AS kind, {_HASH} AS own, CASE WHEN doc_id % 50 = 7 THEN 'wrong' ELSE {_HASH} END AS hash FROM documents)),
+f AS (SELECT DISTINCT source AS path FROM documents WHERE source <> 'src3' UNION ALL SELECT 'empty')
+SELECT 'hash' AS rule, count(*) AS n FROM c WHERE hash <> own UNION ALL SELECT 'id_from_parts', count(*) FROM c WHERE id <> path || ':' || start || '-' || stop
+UNION ALL SELECT 'kind', count(*) FROM c WHERE kind NOT IN ('class', 'file') UNION ALL SELECT 'path', count(*) FROM c WHERE regexp_matches(path, '(^|/)[.][.]?(/|$)') UNION ALL SELECT 'lines', count(*) FROM c WHERE start < 1 OR stop < start
+UNION ALL SELECT 'hash_format', count(*) FROM c WHERE NOT regexp_full_match(hash, '[0-9a-f]{{16}}') UNION ALL SELECT 'most_chunks', (count(*) > 10000)::INT FROM c UNION ALL SELECT 'unique_id', count(*) FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'known_file', count(*) FROM c WHERE path NOT IN (SELECT path FROM f) UNION ALL SELECT 'file_has_chunk', count(*) FROM f WHERE path NOT IN (SELECT path FROM c)""")
 def integrity_checks(spark, d):
+    """Documents as chunks, some of which break each of the rules."""
+    i, path, kind = F.col("doc_id"), F.when(F.col("doc_id") % 43 == 5, F.concat(F.lit("../"), "source")).otherwise(F.col("source")), F.when(F.col("doc_id") % 41 == 3, "odd").when(F.col("doc_id") % 2 == 0, "class").otherwise("file")
+    start, stop = i + 1, F.when(i % 47 == 9, i).otherwise(i + 1)
+    own = F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), stop.cast("string"))
     docs = table(spark, d, "documents")
-    chunks = docs.select(F.concat("source", F.lit(":"), (F.col("doc_id") + 1).cast("string"), F.lit("-"), (F.col("doc_id") + 1).cast("string")).alias("id"), F.col("source").alias("path"), (F.col("doc_id") + 1).alias("start"), (F.col("doc_id") + 1).alias("stop"), F.lit("").alias("symbol"), F.lit("file").alias("kind"), F.col("text").alias("content"), F.when(F.col("doc_id") % 50 == 7, F.lit("wrong")).otherwise(content_hash("text")).alias("hash"))
+    chunks = docs.select(F.when(i % 53 == 11, F.lit("x")).otherwise(own).alias("id"), path.alias("path"), start.alias("start"), stop.alias("stop"), F.lit("").alias("symbol"), kind.alias("kind"), F.col("text").alias("content"), F.when(i % 50 == 7, F.lit("wrong")).otherwise(content_hash("text")).alias("hash"))
     files = docs.select(F.col("source").alias("path")).distinct().where("path <> 'src3'").unionByName(spark.createDataFrame([("empty",)], "path string"))
     return maintenance.violations(chunks, files)
 
@@ -134,10 +142,15 @@ def diag_window(spark, d):
     return p.select("page_id", *(F.col(c).cast("long").alias(c) for c in ("total", "first_diag", "head", "tail", "win_start", "win_end")))
 
 
-@query("diagnostic_lines", "WITH l AS (SELECT page_id, unnest(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10))) AS x FROM pages) SELECT page_id, count(*) AS n FROM l WHERE regexp_matches(x, '-->\\s+\\S+:\\d+:\\d+') OR regexp_matches(x, '^\\s*(?:FAIL|✕|×)\\s+\\S+') OR regexp_matches(x, '^\\s*error\\[E\\d+\\]:\\s') GROUP BY page_id")
+@query("diagnostic_lines", """WITH l AS (SELECT page_id, CASE WHEN i % 5 = 0 THEN '  FAIL ' || x WHEN i % 7 = 0 THEN 'error[E' || i || ']: ' || x WHEN i % 11 = 0 THEN ' --> a.rs:' || i || ':2' ELSE x END AS x FROM (SELECT page_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)) AS ls FROM pages)))
+SELECT page_id, count(*) AS n FROM l WHERE regexp_matches(x, '-->\\s+\\S+:\\d+:\\d+') OR regexp_matches(x, '^\\s*(?:FAIL|✕|×)\\s+\\S+') OR regexp_matches(x, '^\\s*error\\[E\\d+\\]:\\s') GROUP BY page_id""")
 def diagnostic_lines(spark, d):
-    lines = table(spark, d, "pages").select("page_id", F.explode(lines_of(F.replace("html", F.lit("><"), F.lit(">\n<")))).alias("x"))
-    return lines.where(is_diagnostic("x", False)).groupBy("page_id").agg(F.count("*").alias("n"))
+    """Pages' lines, some of them dressed as a tool's complaints."""
+    i = (F.col("at") + 1).cast("string")
+    lines = table(spark, d, "pages").select("page_id", F.posexplode(lines_of(F.replace("html", F.lit("><"), F.lit(">\n<")))).alias("at", "x"))
+    nth = F.col("at") + 1
+    said = F.when(nth % 5 == 0, F.concat(F.lit("  FAIL "), "x")).when(nth % 7 == 0, F.concat(F.lit("error[E"), i, F.lit("]: "), "x")).when(nth % 11 == 0, F.concat(F.lit(" --> a.rs:"), i, F.lit(":2"))).otherwise(F.col("x"))
+    return lines.where(is_diagnostic(said, False)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query("clamp_outputs")
@@ -217,13 +230,19 @@ def debounce_sessions(spark, d):
     return sessions.debounced(table(spark, d, "events"), ["user_id"], gap_ms=3_600_000)
 
 
-@query("debounce_capped")
+@query("debounce_capped", """WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER w AS i, epoch_us(ts) - lag(epoch_us(ts)) OVER w < 3600000000 AS near FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id, ts, i, ts AS first FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.ts, o.i, CASE WHEN o.near AND epoch_us(o.ts) - epoch_us(r.first) < 7200000000 THEN r.first ELSE o.ts END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1),
+b AS (SELECT user_id, first, min(i) AS i0, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, first) SELECT user_id, first, last, n FROM b""")
 def debounce_capped(spark, d):
     return sessions.debounced(table(spark, d, "events"), ["user_id"], gap_ms=3_600_000, cap_ms=7_200_000)
 
 
 # --- lines, paths, matching ------------------------------------------------------------------------------------------
-@query("line_hash")
+@query("line_hash", """WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: rtrim(replace(x, chr(13), ''), ' ' || chr(9) || chr(11) || chr(12))) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM d),
+u AS (SELECT doc_id, i - 1 AS line, list_transform(string_split(coalesce(ls[i - 1], '') || chr(1) || ls[i] || chr(1) || coalesce(ls[i + 1], ''), ''), lambda c: CASE WHEN c = chr(1) THEN 0 ELSE unicode(c) END) AS cs FROM l),
+b AS (SELECT doc_id, line, list_prepend(197, flatten(list_transform(cs, lambda c: CASE WHEN c > 65535 THEN [((c - 65536) >> 10) & 255, c & 255] ELSE [c & 255] END))) AS bs FROM u)
+SELECT doc_id, line::INT AS line, printf('%02X', list_reduce(bs, lambda h, c: (xor(h, c) * 147) & 255)) AS hash FROM b""")
 def line_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(line_hashes("text")).alias("line", "hash"))
 
@@ -236,15 +255,17 @@ def exact_match_count(spark, d):
     return docs.select("id", n.cast("long").alias("n_exact"))
 
 
-@query("normalized_match", """WITH d AS (SELECT doc_id AS id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS ls FROM documents), s AS (SELECT doc_id % 40 AS k, list_transform(string_split(text, chr(10))[1:2], lambda x: trim(x)) AS w FROM documents WHERE doc_id < 40)
-SELECT id, len(list_filter(range(1, len(ls) - len(w) + 2), lambda i: ls[i:i + len(w) - 1] = w))::BIGINT AS n_normal FROM d JOIN s ON id % 40 = k""")
+@query("normalized_match", """WITH d AS (SELECT doc_id AS id, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS ls FROM documents WHERE text IS NOT NULL),
+q AS (SELECT id AS block, ls AS w, len(ls) AS k FROM d WHERE id % 20 = 0 AND array_to_string(ls, '') <> ''),
+p AS (SELECT id, k, unnest(range(1, len(ls) - k + 2)) AS i, ls FROM d, (SELECT DISTINCT k FROM q) WHERE len(ls) >= k),
+m AS (SELECT id, count(*) AS n FROM (SELECT id, k, md5(array_to_string(ls[i:i + k - 1], chr(10))) AS h FROM p) JOIN (SELECT k, md5(array_to_string(w, chr(10))) AS h FROM q) USING (k, h) GROUP BY id)
+SELECT doc_id AS id, coalesce(n, 0)::BIGINT AS n_normal FROM documents LEFT JOIN m ON doc_id = id""")
 def normalized_match(spark, d):
-    """The first two lines of one of forty blocks in every document, white space at line ends aside."""
-    docs = table(spark, d, "documents")
-    trimmed = lambda c: F.transform(lines_of(c), lambda x: F.trim(x))
-    block = docs.where("doc_id < 40").select(F.col("doc_id").alias("k"), F.slice(trimmed("text"), 1, 2).alias("w"))
-    both = docs.withColumn("k", F.col("doc_id") % 40).join(F.broadcast(block), "k")
-    return both.select(F.col("doc_id").alias("id"), F.size(matching.normalised_places(trimmed("text"), F.col("w"))).cast("long").alias("n_normal"))
+    """Every twentieth document as a block of lines, looked for in all documents, white space at line ends aside."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    blocks = docs.where("id % 20 = 0").select(F.col("id").alias("block"), F.col("content").alias("search"))
+    found = matching.blocks_in(docs, blocks).groupBy("id").agg(F.count("*").alias("n_normal"))
+    return docs.select("id").join(found, "id", "left").select("id", F.coalesce("n_normal", F.lit(0)).cast("long").alias("n_normal"))
 
 
 @query("fuzzy_match")

@@ -189,11 +189,13 @@ def layer_norm(spark, d):
 
 
 # --- shaping ---------------------------------------------------------------------------------------------------------
-def _hits(spark, d, found):
-    """Hits with their documents: texts are read for the hits only."""
+def _hits(spark, d, found, width: int | None = None):
+    """Hits with their documents, written down: the few that are shown are looked at several times. ``width`` cuts lines."""
     docs = chunks(spark, d).withColumnRenamed("path", "p")
+    if width:
+        docs = docs.withColumn("content", F.array_join(F.transform(lines_of("content"), lambda x: F.substring(x, 1, width)), "\n"))
     n = F.size(lines_of("content"))
-    return docs.join(F.broadcast(found), "id").select("id", F.col("bm25_rank").alias("rank"), F.concat("p", F.lit("/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), "kind", F.col("id").cast("string").alias("symbol"), F.element_at(lines_of("content"), 1).alias("signature"), F.lit("// crumb").alias("breadcrumb"), F.lit(1).alias("start_line"), n.alias("end_line"), "content", F.lit("lexical").alias("signal"), "matches")
+    return staged(docs.join(F.broadcast(found), "id").select("id", F.col("bm25_rank").alias("rank"), F.concat("p", F.lit("/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), "kind", F.col("id").cast("string").alias("symbol"), F.element_at(lines_of("content"), 1).alias("signature"), F.lit("// crumb").alias("breadcrumb"), F.lit(1).alias("start_line"), n.alias("end_line"), "content", F.lit("lexical").alias("signal"), "matches"), "hits")
 
 
 def _count(line: str) -> str:
@@ -201,7 +203,8 @@ def _count(line: str) -> str:
 
 
 _SIGNATURE = "CASE WHEN length(sig) > 220 THEN sig[1:217] || '...' ELSE sig END"
-_PREVIEWS = f"""hit AS (SELECT doc_id AS id, source || '/' || doc_id || '.md' AS path, lang AS kind, text, string_split(text, chr(10)) AS ls FROM documents),
+_LINES = "string_split(text, chr(10))"
+_PREVIEWS = f"""hit AS (SELECT doc_id AS id, source || '/' || doc_id || '.md' AS path, lang AS kind, {_LINES} AS ls FROM documents),
 scored AS (SELECT *, len(ls) AS n, list_transform(ls, lambda x: {_count('x')}) AS sc, trim(regexp_replace(ls[1], '\\s+', ' ', 'g')) AS sig FROM hit),
 best AS (SELECT *, list_position(sc, list_max(sc)) - 1 AS best FROM scored),
 win AS (SELECT *, CASE WHEN greatest(0, best - 2) + 12 > n THEN greatest(0, n - 12) ELSE greatest(0, best - 2) END AS a FROM best),
@@ -245,6 +248,13 @@ def shaped_results(spark, d):
     return shaping.shaped(_hits(spark, d, found), QUERY).select("mode", "text", "truncated")
 
 
+@query("visible_ranges", f"{_mixed(15).replace(_LINES, f'list_transform({_LINES}, lambda x: x[1:40])')} SELECT id, (a + 1)::BIGINT AS first, z::BIGINT AS last FROM fit WHERE fits AND r <= 3 AND NOT clipped")
+def visible_ranges(spark, d):
+    """Lines, forty characters of each, that an answer shows whole, which count as seen."""
+    found = bm25.search(bm25.tokenised(chunks(spark, d)), QUERY, 15)
+    return shaping.shaped(_hits(spark, d, found, 40), QUERY).select(F.explode("ranges").alias("r")).select("r.id", "r.first", "r.last")
+
+
 @query("auto_mode", "SELECT source AS of, count(*) AS n_hits, CASE WHEN count(*) = 1 AND length(arg_min(text, doc_id)) <= 6000 THEN 'full' WHEN count(*) <= 3 THEN 'preview' ELSE 'mixed' END AS mode FROM documents GROUP BY source")
 def auto_mode(spark, d):
     g = chunks(spark, d).groupBy(F.col("path").alias("of")).agg(F.count("*").alias("n_hits"), F.min_by(F.substring("content", 1, shaping.FULL_CHARS + 1), "id").alias("lead"))

@@ -34,17 +34,17 @@ def _indented(spark, d):
 SELECT a.doc_id, a.i AS line, coalesce(min(b.i) FILTER (b.ind <= a.ind) - 1, max(b.i), any_value(n))::BIGINT AS stop FROM s a JOIN (SELECT doc_id, max(i) AS n FROM s GROUP BY doc_id) t ON t.doc_id = a.doc_id LEFT JOIN s b ON b.doc_id = a.doc_id AND b.i > a.i AND b.solid GROUP BY a.doc_id, a.i""")
 def indent_span(spark, d):
     """Where a block that begins on each line would end by indentation."""
-    rows = _indented(spark, d).select("doc_id", "ls", F.explode(F.sequence(F.lit(1), F.size("ls"))).alias("at"))
-    return rows.select("doc_id", F.col("at").cast("long").alias("line"), chunking.indent_end(F.col("ls"), F.col("at")).cast("long").alias("stop"))
+    ends = F.posexplode(chunking.block_ends(F.array_join("ls", "\n"), F.lit(True))).alias("at", "stop")
+    return _indented(spark, d).select("doc_id", ends).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.col("stop").cast("long").alias("stop"))
 
 
-@query("brace_span", """WITH l AS (SELECT page_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n FROM (SELECT page_id, string_split(replace(html, '<', '{' || chr(10)), chr(10))[1:60] AS ls FROM pages)),
+@query("brace_span", """WITH l AS (SELECT page_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n FROM (SELECT page_id, string_split(replace(html, '<', '{' || chr(10)), chr(10)) AS ls FROM pages)),
 c AS (SELECT *, length(x) - length(replace(x, '{', '')) - (length(x) - length(replace(x, '}', ''))) AS net, contains(x, '{') AS o FROM l),
 r AS (SELECT a.page_id, a.i AS line, b.i AS j, a.n, sum(b.net) OVER w AS depth, max(b.o::INT) OVER w AS opened FROM c a JOIN c b ON a.page_id = b.page_id AND b.i >= a.i WINDOW w AS (PARTITION BY a.page_id, a.i ORDER BY b.i))
 SELECT page_id, line, coalesce(min(j) FILTER (opened = 1 AND depth <= 0), any_value(n))::BIGINT AS stop FROM r GROUP BY page_id, line""")
 def brace_span(spark, d):
     """Where the braces that open on each of a page's lines are closed."""
-    ends = F.posexplode(chunking.brace_ends(F.replace("html", F.lit("<"), F.lit("{\n")))).alias("at", "stop")
+    ends = F.posexplode(chunking.block_ends(F.replace("html", F.lit("<"), F.lit("{\n")), F.lit(False))).alias("at", "stop")
     rows = table(spark, d, "pages").select("page_id", ends)
     return rows.select("page_id", (F.col("at") + 1).cast("long").alias("line"), F.col("stop").cast("long").alias("stop"))
 
@@ -75,7 +75,7 @@ def distinct_identifiers(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(identifiers(plain)).cast("long").alias("n"))
 
 
-@query("extract_symbols")
+@query("extract_symbols", "SELECT doc_id, 'name_' || doc_id AS name, 'function' AS kind, 'def name_' || doc_id || '(a, b)' AS signature, 1 AS line, NULL::INT AS end_line, NULL::VARCHAR AS source_module, NULL::VARCHAR AS source_name FROM documents")
 def extract_symbols(spark, d):
     """Symbols of documents that are put into functions: one a document, named by its id."""
     code = F.concat(F.lit("def name_"), F.col("doc_id").cast("string"), F.lit("(a, b):\n    return '''"), F.col("text"), F.lit("'''\n"))
@@ -134,12 +134,19 @@ def log_lines(spark, d):
     return ledger.parsed_log(out, ["doc_id"]).select("doc_id", "path", "line", "hit")
 
 
-@query("paged_lines", "SELECT doc_id, 2::BIGINT AS start, 3::BIGINT AS stop FROM documents WHERE len(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[1:length(text) - 1] ELSE text END, chr(10))) >= 3 AND doc_id % 3 = 0")
+@query("paged_lines", """WITH x AS (SELECT doc_id, len(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[1:length(text) - 1] ELSE text END, chr(10))) AS n FROM documents WHERE doc_id % 5 <> 4)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE greatest(1, n - 1) END::BIGINT AS start, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN least(4, n) ELSE n END::BIGINT AS stop FROM x WHERE doc_id % 3 <> 0 OR n >= 3""")
 def paged_lines(spark, d):
-    """What sed printed of each document; only every third printed the truth."""
-    two = F.array_join(F.slice(lines_of("text"), 2, 2), "\n")
-    shown = table(spark, d, "documents").select("doc_id", F.lit("sed -n '2,3p' f").alias("command"), F.when(F.col("doc_id") % 3 == 0, two).otherwise(F.concat(two, F.lit("?"))).alias("text"), F.col("text").alias("source"))
-    return ledger.paged_lines(shown, ["doc_id"])
+    """What sed, head and tail printed of each document; every fifth printed something else."""
+    i = F.col("doc_id")
+    body = F.when(F.endswith("text", F.lit("\n")), F.substr("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
+    lines = lines_of(body)
+    n = F.size(lines)
+    part = F.when(i % 3 == 0, F.slice(lines, 2, 2)).when(i % 3 == 1, F.slice(lines, 1, 4)).otherwise(F.slice(lines, F.greatest(F.lit(1), n - 1), 2))
+    command = F.when(i % 3 == 0, "sed -n '2,3p' f").when(i % 3 == 1, "cat f | head -n 4").otherwise("tail -n 2 f")
+    shown = F.array_join(part, "\n")
+    out = table(spark, d, "documents").select("doc_id", command.alias("command"), F.when(i % 5 == 4, F.concat(shown, F.lit("?"))).otherwise(shown).alias("text"), F.col("text").alias("source"))
+    return ledger.paged_lines(out, ["doc_id"])
 
 
 @query("command_files", "SELECT conv_id, turn, 'f' || turn || '.py' AS path FROM conversations UNION ALL SELECT conv_id, turn, 'notes ' || conv_id || '.md' FROM conversations UNION ALL SELECT conv_id, turn, '3' FROM conversations")
@@ -180,11 +187,13 @@ def diagnostic_counts(spark, d):
 
 @query("stream_upsert", "SELECT user_id::VARCHAR AS path, arg_max(substr(sha256(props), 1, 16), event_id) AS hash FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def stream_upsert(spark, d):
-    """Events streamed as file changes, the last one of each path; an error deletes. One generation a micro-batch."""
+    """Events streamed as file changes in micro-batches that come out of order; the highest generation of a path holds, and an
+    error deletes."""
     folder = shared_folder(spark)
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("generation"), F.when(F.col("event_type") != "error", F.col("props")).alias("content"))
-    e.write.parquet(f"{folder}/in")
-    store = upsert.ChunkStore(spark, f"{folder}/index", "path string, hash string")
-    stream = spark.readStream.schema(upsert.CHANGE).parquet(f"{folder}/in")
-    upsert.upserts(stream, store, lambda files: files.select("path", content_hash("content").alias("hash")), f"{folder}/checkpoint").awaitTermination()
+    store = upsert.ChunkStore(spark, f"{folder}/index", "path string, hash string", compact_every=2)
+    for n in (2, 0, 1):  # later events come first
+        e.where(F.col("generation") % 3 == n).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(upsert.CHANGE).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        upsert.upserts(stream, store, lambda files: files.select("path", content_hash("content").alias("hash")), f"{folder}/checkpoint").awaitTermination()
     return store.current()
