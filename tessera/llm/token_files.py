@@ -1,7 +1,7 @@
 """Operator 5: token ids in binary shards with a minimal perfect hash index.
 
-Texts are encoded where they are read; their ids are written down and ranged by document id, in as many shards of about
-``shard_bytes`` as they need. A shard file holds, in order: the raw ids of its documents (little-endian, 2 bytes each if
+Documents are ranged by id in shards of about ``shard_bytes`` of text: the ranges come from keys and lengths alone, so texts
+are encoded once, where they are read, and only their ids are shuffled, each straight to its shard. A shard file holds, in order: the raw ids of its documents (little-endian, 2 bytes each if
 the vocabulary allows, else 4) in blocks, then one footer block. The footer has the documents' ids in order, a minimal
 perfect hash over the keys with the rank of each of its words of bits, and for each slot a fingerprint of the key, the
 byte offset of its ids and their number. A manifest beside the shards has a row for each: its range of ids and its size.
@@ -203,30 +203,67 @@ class Shard:
         return np.frombuffer(self.raw[offset : offset + count * self.width], dtype=f"<u{self.width}").astype("<u4")
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, width, ids (raw bytes, with the end id) and row (a number of its own), for each row; written down."""
+@dataclass
+class Ranges:
+    """Shards by their last keys, the last shard's aside: (id, tie, row) in order, those of null ids first."""
 
-    def encode(batches):
-        tool = encoder(tokenizer_path)
-        width = 2 if max(tool.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        end = np.array([end_id], dtype="<u4")
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                raw = [np.append(np.frombuffer(x, dtype="<u4"), end).astype(f"<u{width}").tobytes() for x in tool.encode([x or "" for x in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([width] * len(raw), pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "width", "ids"])
+    nulls: int
+    ids: np.ndarray
+    ties: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(keys: DataFrame, shard_bytes: int) -> Ranges:
+        """``keys``: doc_id, tie, row, bytes. Twice as many ranges as shards are needed are joined until they have their bytes."""
+        total = keys.agg(F.sum("bytes")).first()[0] or 0
+        fine = keys.repartitionByRange(max(1, 2 * -(-total // shard_bytes)), "doc_id", "tie", "row").groupBy(F.spark_partition_id().alias("p"))
+        found = fine.agg(F.max(F.struct("doc_id", "tie", "row")).alias("last"), F.sum("bytes").alias("bytes")).orderBy("p").select("last.*", "bytes").toArrow()
+        held, cuts = 0, []
+        for i, size in enumerate(found.column("bytes").to_pylist()[:-1]):
+            held += size
+            if held >= 0.75 * shard_bytes:
+                cuts.append(i)
+                held = 0
+        found = found.take(pa.array(cuts, pa.int64()))
+        ids = found.column("doc_id").to_pylist()
+        array = lambda xs: np.array(xs, dtype=np.int64)
+        return Ranges(ids.count(None), array([x for x in ids if x is not None]), array(found.column("tie").to_pylist()), array(found.column("row").to_pylist()))
+
+    def of_key(self, doc_id: int | None, tie: int, row: int) -> int:
+        if doc_id is None:
+            lo, hi = 0, self.nulls
+        else:
+            lo, hi = (self.nulls + int(np.searchsorted(self.ids, doc_id, side=x)) for x in ("left", "right"))
+        while lo < hi:  # shards that end within this id
+            mid = (lo + hi) // 2
+            if (self.ties[mid], self.rows[mid]) < (tie, row):
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(frugal(encode), "doc_id long, width int, ids binary").withColumn("row", F.monotonically_increasing_id()), "encoded")
+    def __len__(self) -> int:
+        return len(self.ties) + 1
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text and write the shards, in ascending order of the id.
 
-    Nulls come first; rows of equal id go by their ids' hashes, and may stand in several shards. A null text is the end
-    id alone. A document is in one shard, so one of more than ``shard_bytes`` makes its shard larger.
+    Nulls come first; rows of equal id go by their texts' hashes and then by their place in ``docs``, and may stand in several
+    shards. A null text is the end id alone. A document is in one shard, so a long one makes its shard larger.
     """
 
+    def encode(batches):
+        tool = encoder(tokenizer_path)
+        width = 2 if max(tool.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        end = np.array([end_id], dtype="<u4")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                raw = [np.append(np.frombuffer(x, dtype="<u4"), end).astype(f"<u{width}").tobytes() for x in tool.encode([x or "" for x in part.column(3).to_pylist()])]
+                shard = [ranges.value.of_key(*key) for key in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([width] * len(raw), pa.int32()), pa.array(raw, pa.binary()), pa.array(shard, pa.int32())], names=["doc_id", "tie", "row", "width", "ids", "shard"])
+
     def write(batches):
         block: list[bytes] = []
         held = at = width = 0
@@ -247,11 +284,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                 yield out(b"".join(block))
             yield out(footer(doc_ids, offsets, counts, width))
 
-    rows = encoded(docs, tokenizer_path, end_id, id_col, text_col)
-    total = rows.agg(F.sum(F.length("ids") + 28)).first()[0] or 0
-    order = ("doc_id", F.xxhash64("ids"), "row")
-    ranged = rows.repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "width", "ids")
-    ranged.mapInArrow(frugal(write), "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    text = F.col(text_col)
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    found = Ranges.of(keys.select("doc_id", "tie", "row", (F.coalesce(F.octet_length("text"), F.lit(0)) + 28).alias("bytes")), shard_bytes)
+    ranges = docs.sparkSession.sparkContext.broadcast(found)
+    rows = keys.mapInArrow(frugal(encode), "doc_id long, tie long, row long, width int, ids binary, shard int")
+    dealt = rows.repartitionById(len(found), "shard").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "width", "ids")
+    dealt.mapInArrow(frugal(write), "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -273,7 +312,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     same = lambda x, n=len(sums): pa.array([x]).take(pa.array(np.zeros(n, dtype=np.int32)))
                     yield pa.RecordBatch.from_arrays([same(where.rsplit("/", 1)[-1]), same(place), same(data.size), first[lo : lo + len(sums)], pa.array(before[part]), pa.array(counts[part]), pa.array(sums, pa.int64())], names=["shard", "place", "bytes", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     place = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")  # names stop sorting by range at 100,000 shards
     return files.select("path", place.alias("place"), "content").mapInArrow(frugal(read, 1), "shard string, place long, bytes long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
@@ -360,7 +399,7 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str
     """Write the shards and their manifest, read them back: doc_id, start, n_tokens, ids_crc32, one row for each of ``docs``.
 
     ``start`` counts the ids of all documents before. Null ids come first and stay null, repeated ids stay apart, other
-    columns are ignored, an empty table gives no shards and no rows, a null text is the end id alone. Ids are whole
+    columns are ignored, an empty table gives no rows, a null text is the end id alone. Ids are whole
     numbers, or strings of such. What meets in one task to find the starts is one row for each shard.
     """
     spark = docs.sparkSession
