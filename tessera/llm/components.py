@@ -23,7 +23,7 @@ def _least(pairs: DataFrame, n_pairs: int) -> DataFrame:
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its least node), for every node of ``links`` (a, b); links in any order, repeated or to itself.
 
-    An empty table gives no rows. Paths of 2 ** ``most_rounds`` links end the job with an error, none the result.
+    An empty table gives no rows. If they don't settle in ``most_rounds`` the job ends with an error, not with part of them.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen, n = None, edges.count()
