@@ -116,6 +116,23 @@ def is_safe_path(path: Column | str) -> Column:
     return (F.length(p) > 0) & ~p.rlike(r"[\x00:\\]") & F.forall(F.split(p, "/", -1), lambda x: ~x.isin("", ".", ".."))
 
 
+def normal_path(path: Column | str) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` parts."""
+    start = F.array().cast("array<string>")
+
+    def step(done: Column, x: Column) -> Column:
+        return F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(forward_slashes(path), "/", -1), start, step), "/"))
+
+
+def is_inside(path: Column | str, roots: Column | list[str]) -> Column:
+    """Whether an absolute path is one of the roots, the workspace or a temporary folder, or lies below one; by names alone."""
+    p = normal_path(path)
+    of = F.array(*(F.lit(r) for r in roots)) if isinstance(roots, list) else roots
+    return F.startswith(forward_slashes(path), F.lit("/")) & F.exists(of, lambda r: (p == normal_path(r)) | F.startswith(p, F.concat(F.regexp_replace(normal_path(r), "/$", ""), F.lit("/"))))
+
+
 def is_test_path(path: Column | str) -> Column:
     p = F.lower(forward_slashes(path))
     out = F.lit(False)

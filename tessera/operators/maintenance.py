@@ -49,6 +49,14 @@ def reused_vectors(new: DataFrame, old: DataFrame, order: str = "seq") -> DataFr
     return new.select("id", "hash").join(latest, "hash", "left")
 
 
+def missing_symbols(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """path, covered, missing: what an index lacks of a contract. ``wanted``: path, symbols. ``chunks``: path, symbol."""
+    held = chunks.join(wanted.select("path"), "path", "left_semi").groupBy("path").agg(F.collect_set("symbol").alias("held"))
+    none = F.array().cast("array<string>")
+    d = wanted.join(held, "path", "left")
+    return d.select("path", F.col("held").isNotNull().alias("covered"), F.array_sort(F.array_except("symbols", F.coalesce("held", none))).alias("missing"))
+
+
 def still_valid(vectors: DataFrame, stored: DataFrame, current: DataFrame) -> DataFrame:
     """Vectors (id, vector) whose chunk has the same hash as when they were stored and now."""
     ok = stored.select("id", F.col("hash").alias("was")).join(current.select("id", F.col("hash").alias("now")), "id").where(F.col("was") == F.col("now"))

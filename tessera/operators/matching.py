@@ -229,6 +229,15 @@ def applied(found: DataFrame) -> DataFrame:
     return found.withColumn("new_content", F.when(new.isNull(), F.col("content")).otherwise(with_line_ends(new, crlf)))
 
 
+def to_write(changed: DataFrame, current: DataFrame, key: str = "path") -> DataFrame:
+    """key, new_content, was: edits whose file is still what was read. ``changed``: key, content (as read), new_content.
+    ``current``: key, content (as it is now). Others have changed meanwhile and are left alone, as are edits that change nothing."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    now = current.select(key, digest("content").alias("now"))
+    d = changed.withColumn("was", digest("content")).join(now, key).where("was = now")
+    return d.where(F.col("new_content") != F.col("content")).select(key, "new_content", "was")
+
+
 def unified_diff(before: str, after: str, path: str = "file", context: int = 3) -> str:
     return "\n".join(difflib.unified_diff(before.split("\n"), after.split("\n"), f"a/{path}", f"b/{path}", n=context, lineterm=""))
 

@@ -156,7 +156,8 @@ def command_files(spark, d):
 
 
 # --- edits and mending -----------------------------------------------------------------------------------------------
-@query("anchor_edits")
+@query("anchor_edits", """SELECT doc_id::VARCHAR AS path, doc_id % 4 <> 0 AS ok, CASE WHEN doc_id % 4 = 0 THEN 'stale anchor at line 1: ' || array_to_string(ls[1:5], chr(10)) END AS error,
+  CASE WHEN doc_id % 4 = 0 THEN text ELSE array_to_string(list_concat(['new', 'lines'], ls[2:]), chr(10)) END AS new_content FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents)""")
 def anchor_edits(spark, d):
     """The first line of every document replaced by anchor; every fourth anchor is stale."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
@@ -167,7 +168,7 @@ def anchor_edits(spark, d):
     return edits.apply_anchors(e, docs)
 
 
-@query("json_heal")
+@query("json_heal", """SELECT event_id, CASE WHEN json_valid(x) THEN x END AS healed FROM (SELECT event_id, '{"a": [' || props || chr(10) || ']' || chr(10) || '}' AS x FROM events)""")
 def json_heal(spark, d):
     """Event payloads cut short, mended."""
     e = table(spark, d, "events").select("event_id", F.concat(F.lit('{"a": ['), F.col("props"), F.lit(",")).alias("cut"))

@@ -127,3 +127,21 @@ def profile(name: str = "auto", cpus: int | None = None) -> SearchProfile:
         raise ConfigError(f"no profile {name}")
     width, threshold, batch = {"full": (768, 0.55, 2), "hybrid": (256, 0.55, 1)}.get(effective, (0, 0.0, 1))
     return SearchProfile(name, effective, width, threshold, batch)
+
+
+def save_profile(folder: str | os.PathLike, name: str) -> None:
+    """Keep the choice of a profile; a new file takes the old one's place at once."""
+    profile(name)
+    part = os.path.join(folder, ".profile")
+    with open(part, "w", encoding="utf-8") as f:
+        f.write(name)
+    os.replace(part, os.path.join(folder, "profile"))
+
+
+def saved_profile(folder: str | os.PathLike) -> str:
+    """The choice that was kept; ``auto`` where there is none, or none that is known."""
+    try:
+        with open(os.path.join(folder, "profile"), encoding="utf-8") as f:
+            return profile(f.read().strip()).asked
+    except (OSError, ConfigError):
+        return "auto"

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_usable
-from ..operators.maintenance import still_valid, violations
+from ..operators.maintenance import MOST_CHUNKS, still_valid, violations
 
 # Fixed values.
 VERSION, WIDTHS = 4, (256, 768)
+VECTOR_FILE, MOST_ID_CHARS = "vectors.bin", 4096
 
 
 def cache_key(workspace: str) -> str:
@@ -70,7 +71,14 @@ def load(spark: SparkSession, path: str, generation: str = "", width: int = 0) -
     return chunks, files, still_valid(stored, stored.select("id", "hash"), chunks)
 
 
-def vector_metadata(rows: DataFrame) -> DataFrame:
-    """Entries of a vector list that are sound: known width, ids once, as many hashes as ids, a plain file name."""
-    ids = F.col("ids")
-    return rows.where(F.col("width").isin(*WIDTHS) & (F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size("hashes") == F.size(ids)) & F.col("file_name").rlike(r"^[\w.-]+$") & ~F.col("file_name").contains(".."))
+def vector_metadata(rows: DataFrame, version: int = VERSION) -> DataFrame:
+    """Entries of a vector list that are sound: width, ids, hashes (null if none were kept), hash (of the vectors), file_name.
+
+    A known width; ids that are short, told once, and no more than a snapshot may hold; as many hashes as ids; hashes that
+    look like hashes; a file of a known name. Before version 4 there was one list, without a name.
+    """
+    d = rows if version >= 4 else rows.withColumn("file_name", F.lit(VECTOR_FILE))
+    ids, named = F.col("ids"), F.col("file_name").isin(VECTOR_FILE) | (F.col("file_name") == F.concat(F.lit("vectors-"), F.col("width").cast("string"), F.lit("d.bin")))
+    known = F.size(ids).between(0, MOST_CHUNKS) & F.forall(ids, lambda x: F.length(x).between(1, MOST_ID_CHARS)) & (F.size(F.array_distinct(ids)) == F.size(ids))
+    hashed = F.col("hashes").isNull() | ((F.size("hashes") == F.size(ids)) & F.forall("hashes", lambda x: x.rlike("^[0-9a-fA-F]{16}$")))
+    return d.where(F.col("width").isin(*WIDTHS) & known & hashed & F.col("hash").rlike("^[0-9a-fA-F]{64}$") & named)

@@ -257,3 +257,16 @@ def test_many_vector_queries_in_blocks(spark):
     one, many = (sorted(map(tuple, vector.search_many(vectors, queries, 0.5, 3, most).collect())) for most in (100, 2))
     assert one == many and len(one) == 21 and {r[1] % 7 for r in one if r[0] == "q3"} == {3}
     assert vector.search_many(vectors, queries.limit(0)).collect() == []
+
+
+def test_symbols_that_an_index_lacks(spark):
+    wanted = spark.createDataFrame([("a.py", ["x", "y"]), ("b.py", ["z"]), ("c.py", [])], "path string, symbols array<string>")
+    chunks = spark.createDataFrame([("a.py", "y"), ("a.py", "other"), ("c.py", "q"), ("d.py", "z")], "path string, symbol string")
+    got = {r["path"]: (r["covered"], r["missing"]) for r in maintenance.missing_symbols(wanted, chunks).collect()}
+    assert got == {"a.py": (True, ["x"]), "b.py": (False, ["z"]), "c.py": (True, [])}
+
+
+def test_only_files_that_are_still_what_was_read_are_written(spark):
+    changed = spark.createDataFrame([("a", "1", "2"), ("b", "1", "2"), ("c", "1", "1"), ("gone", "1", "2")], "path string, content string, new_content string")
+    current = spark.createDataFrame([("a", "1"), ("b", "changed"), ("c", "1")], "path string, content string")
+    assert [(r["path"], r["new_content"]) for r in matching.to_write(changed, current).collect()] == [("a", "2")]

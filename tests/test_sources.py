@@ -104,8 +104,26 @@ def test_snapshot(spark, tmp_path):
     bad = chunks.withColumn("hash", F.lit("0" * 16))
     snapshot.save(path, bad, files, generation="g")
     assert snapshot.load(spark, path, "g") is None
-    m = spark.createDataFrame([(256, ["a", "b"], ["1", "2"], "v.bin"), (3, ["a"], ["1"], "v"), (256, ["a", "a"], ["1", "2"], "v"), (768, ["a"], ["1"], "../v")], "width int, ids array<string>, hashes array<string>, file_name string")
-    assert snapshot.vector_metadata(m).count() == 1
+
+
+def test_vector_metadata(spark):
+    h, whole = ["0" * 16, "A" * 16], "f" * 64
+    good = (256, ["a", "b"], h, whole, "vectors-256d.bin")
+    bad = [(3, ["a"], h[:1], whole, "vectors.bin"), (256, ["a", "a"], h, whole, "vectors.bin"), (768, ["a"], h[:1], whole, "../v"), (768, ["a"], h[:1], whole, "vectors-256d.bin"), (256, ["a"], h, whole, "vectors.bin"), (256, ["a"], ["x"], whole, "vectors.bin"), (256, [""], h[:1], whole, "vectors.bin"), (256, ["a"], h[:1], "f", "vectors.bin")]
+    schema = "width int, ids array<string>, hashes array<string>, hash string, file_name string"
+    rows = spark.createDataFrame([good, (768, ["a"], None, whole, "vectors.bin"), *bad], schema)
+    assert [tuple(r) for r in snapshot.vector_metadata(rows).orderBy("width").collect()] == [good, (768, ["a"], None, whole, "vectors.bin")]
+    assert {r["file_name"] for r in snapshot.vector_metadata(rows.drop("file_name"), 3).collect()} == {"vectors.bin"}
+
+
+def test_saved_profile(tmp_path):
+    assert config.saved_profile(tmp_path) == "auto"
+    config.save_profile(tmp_path, "hybrid")
+    assert config.saved_profile(tmp_path) == "hybrid" and config.profile(config.saved_profile(tmp_path)).width == 256
+    (tmp_path / "profile").write_text("odd")
+    assert config.saved_profile(tmp_path) == "auto"
+    with pytest.raises(config.ConfigError):
+        config.save_profile(tmp_path, "odd")
 
 
 def test_settings():

@@ -109,3 +109,11 @@ def test_hash_is_of_utf8(spark):
 
     assert values(spark, T.content_hash("x"), [("é",)]) == [hashlib.sha256("é".encode()).hexdigest()[:16]]
     assert re.fullmatch("[0-9a-f]{16}", values(spark, T.content_hash("x"), [("",)])[0])
+
+
+def test_containment(spark):
+    from tessera.functions.text import is_inside
+
+    paths = {"/w/a": True, "/w": True, "/w/../x": False, "/w/./a/../b": True, "/wx/a": False, "w/a": False, "/tmp/x": True, "/w/a/../../w/b": True, "\\w\\a": True}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", is_inside("p", ["/w/", "/tmp"]).alias("ok")).collect()
+    assert {r["p"]: r["ok"] for r in got} == paths
