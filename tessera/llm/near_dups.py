@@ -10,9 +10,10 @@ them instead. Groups tied by pairs that passed, or so, are a cluster.
 
 Groups are then expanded to their classes and verified, cluster by cluster, on whole shingle sets: from each class the
 unreached ones within its bounds of size are counted against, until nothing more is reached. That finds the cluster's
-components exactly, as a row a class, never all pairs. A cluster whose sets exceed ``block_shingles`` is dealt by bands of
-size, each a similarity wide, and those in blocks; only blocks of one band or of neighbouring ones can hold a link, and
-each such pair of blocks is verified in a task of its own.
+components exactly, as a row a class, never all pairs. In a cluster whose sets exceed ``block_shingles`` each class is first
+compared with a few pivots, in many tasks. What they tie together is known to be one part; only the rest is verified
+further, against itself and that part, in pairs of blocks: classes are dealt by bands of size, each a similarity wide, and
+those in blocks, as only classes of one band or of neighbouring ones can be linked. Each pair of blocks is a task.
 
 Shingles are told apart by 128 bits, made of two hashes of each word; sets are counted, compared and verified by them. The
 first 64 bits alone order, group and filter, where equal ones cost work and lose nothing.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HOT_KEYS, LOWER_TABLE, digest, frugal, materialise, shingle_hashes, shingle_pairs, text_bytes, with_one_a_key, word_hashes
@@ -147,9 +148,10 @@ def described(docs: DataFrame, k: int, similarity: int, frequent) -> DataFrame:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row for each shingle set: c (a number), h, copies (rows that have it), least (smallest doc_id), n, p, prefix, rare, bits."""
+    """One row for each shingle set: c (a number), h, copies (rows that have it), least (smallest doc_id), of (the key of one
+    of its texts), n, p, prefix, rare, bits."""
     first = [F.first(x).alias(x) for x in ("n", "p", "prefix", "rare", "bits")]
-    one = rows.where("n > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), *first)
+    one = rows.where("n > 0").groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("key").alias("of"), *first)
     return materialise(one.withColumn("c", F.monotonically_increasing_id()), "classes")
 
 
@@ -305,51 +307,36 @@ def band(n: Column, similarity: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / similarity * (1 + 1e-9)) if similarity < 100 else 1.0)).cast("int")
 
 
-def dealt_out(members: DataFrame, n_members: int, similarity: int, block_shingles: int) -> DataFrame:
-    """c, cluster, of, h and meets (pairs i, j of blocks to verify it in) for each class of a cluster of several."""
-    banded = members.withColumn("band", band(F.col("n"), similarity))
-    parts = banded.groupBy("cluster", "band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
-    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("shingles") / F.lit(block_shingles)).cast("int"))))  # bands are as few as a logarithm of sizes
-    total = parts.groupBy("cluster").agg(F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), blocks.alias("blocks")).where("size > 1")
-    told = with_one_a_key(banded, total, "cluster", "size", n_members)
-    small = F.col("shingles") <= block_shingles
-    in_band = lambda d: F.coalesce(F.element_at("blocks", F.col("band") + d), F.lit(0))
-    name = lambda b, i: F.concat_ws(".", b, i)
-    mine = F.pmod(F.xxhash64("c"), in_band(0)).cast("int")
-    every = lambda d: F.transform(F.when(in_band(d) > 0, F.sequence(F.lit(0), in_band(d) - 1)).otherwise(F.array().cast("array<int>")), lambda i: name(F.col("band") + d, i))
-    me = name(F.col("band"), mine)
-    pairs = F.concat(
-        F.transform(every(-1), lambda x: F.struct(x.alias("i"), me.alias("j"))),
-        F.transform(every(0), lambda x: F.struct(F.least(x, me).alias("i"), F.greatest(x, me).alias("j"))),
-        F.transform(every(1), lambda x: F.struct(me.alias("i"), x.alias("j"))),
-    )
-    whole = F.array(F.struct(F.lit("").alias("i"), F.lit("").alias("j")))
-    return told.select("c", "cluster", F.col("least").alias("of"), "h", F.when(small, whole).otherwise(pairs).alias("meets"))
-
-
-def verified(members: DataFrame, n_members: int, docs: DataFrame, k: int, similarity: int, block_shingles: int, most_broadcast: int) -> DataFrame:
-    """Links a, b between classes of one cluster. ``members``: cluster, c, least, h, n."""
-    dealt = materialise(dealt_out(members, n_members, similarity, block_shingles), "members")
+def dealt_out(members: DataFrame, n_members: int, block_shingles: int) -> DataFrame:
+    """c, cluster, of, h, n, copies, small (whether the cluster is verified in one task), for classes of clusters of several."""
+    total = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    told = with_one_a_key(members, total, "cluster", "size", n_members)
+    return told.select("c", "cluster", "of", "h", "n", "copies", (F.col("shingles") <= block_shingles).alias("small"))
+
+
+def cut_sets(dealt: DataFrame, docs: DataFrame, k: int, most_broadcast: int) -> DataFrame:
+    """c, cluster, n, copies, small, s (the set's bytes). A class's set is cut from one of its texts, found by the text's
+    digest, so it doesn't matter how often an id, or none, or the text is repeated: copies are dropped where they are found."""
     side = F.broadcast(dealt) if dealt.count() <= most_broadcast else dealt
-    texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("of"))).select("c", "h", "text", "cluster", "meets")
-    meets = dealt.schema["meets"].dataType.simpleString()
+    texts = docs.join(side, F.col("key") == F.col("of")).select("c", "cluster", "n", "copies", "small", "h", "text").dropDuplicates(["c"])
 
     def cut(batches):
         for batch in batches:
-            sets = [shingle_set(raw, k).tobytes() for raw in text_bytes(batch.column(2))]
-            same = pa.array([digest(s) == h for s, h in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            part = [batch.column(i).filter(same) for i in (0, 3, 4)]
-            yield pa.RecordBatch.from_arrays([*part, pa.array(sets, pa.binary()).filter(same)], names=["c", "cluster", "meets", "s"])
+            sets = [shingle_set(raw, k).tobytes() for raw in text_bytes(batch.column(6))]
+            same = pa.array([digest(s) == h for s, h in zip(sets, batch.column(5).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(same) for i in range(5)), pa.array(sets, pa.binary()).filter(same)], names=["c", "cluster", "n", "copies", "small", "s"])
+
+    return texts.mapInArrow(frugal(cut), "c long, cluster long, n long, copies long, small boolean, s binary")
 
-    cuts = texts.mapInArrow(frugal(cut), f"c long, cluster long, meets {meets}, s binary")
-    keyed = cuts.select("cluster", F.explode("meets").alias("at"), "c", "s").select("cluster", "at.i", "at.j", "c", "s")
+
+def links_within(keyed: DataFrame, similarity: int) -> DataFrame:
+    """Links a, b of all classes that share cluster, i and j. ``keyed``: cluster, i, j, c, s."""
 
     def verify(batches):
         key, names, sets = None, [], []
 
         def done():
-            once = dict(zip(names, sets, strict=True))  # a repeated id brings a text twice
-            links = list(forest(list(once), list(once.values()), similarity)) if len(once) > 1 else []
+            links = list(forest(names, sets, similarity)) if len(names) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -363,7 +350,80 @@ def verified(members: DataFrame, n_members: int, docs: DataFrame, k: int, simila
         if names:
             yield done()
 
-    return keyed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
+    return keyed.select("cluster", "i", "j", "c", "s").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
+
+
+def links_to_pivots(sets: DataFrame, similarity: int, pivots: int, salts: int = 32) -> DataFrame:
+    """Links a, b of classes with their cluster's pivots: those of most copies, as what others were copied from has many.
+
+    A cluster's classes are spread over ``salts`` tasks; its pivots go to each of them.
+    """
+    order = Window.partitionBy("cluster").orderBy(F.col("copies").desc(), F.xxhash64("c"), "c")
+    first = sets.select("cluster", "copies", "c").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots).select("c")
+    to = sets.join(first, "c", "left_semi").select("cluster", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("turn"), "c", "s")
+    every = sets.select("cluster", F.pmod(F.xxhash64("c"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("turn"), "c", "s")
+
+    def compare(batches):
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for cluster, salt, turn, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (cluster, salt) != key:
+                    key, held = (cluster, salt), []
+                mine = np.frombuffer(s, dtype=np.uint64).reshape(-1, 2)
+                if not turn:
+                    held.append((c, mine))
+                    continue
+                for other, its in held:
+                    n, m = len(mine), len(its)
+                    if other != c and 100 * min(n, m) >= similarity * max(n, m) and linked(n + m - 1 - int(numbered(np.concatenate([mine, its])).max()), n, m, similarity):
+                        out.append((other, c))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return to.unionByName(every).repartition("cluster", "salt").sortWithinPartitions("cluster", "salt", "turn").mapInArrow(compare, "a long, b long")
+
+
+def block_pairs(sets: DataFrame, links: DataFrame, n_sets: int, similarity: int, block_shingles: int) -> DataFrame:
+    """cluster, i, j, c, s: in which pairs of blocks each class of a big cluster is verified, given the ``links`` found so far.
+
+    Classes that these links tie to the largest part of their cluster are known to belong together, so only pairs with a class
+    of the rest are looked at. Blocks are of a band of size; a link joins classes of one band or of neighbouring ones.
+    """
+    parts = connected_components(links).withColumnRenamed("node", "c")
+    told = sets.select("c", "cluster", "n").join(parts, "c", "left").select("c", "cluster", "n", F.coalesce("component", "c").alias("part"), band(F.col("n"), similarity).alias("band"))
+    told = materialise(told, "told")
+    largest = told.groupBy("cluster", "part").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("size"))
+    told = with_one_a_key(told, largest, "cluster", "size", n_sets).withColumn("rest", F.col("part") != F.col("main"))
+    told = materialise(told.select("c", "cluster", "n", "band", "rest"), "rest")
+    blocks = told.groupBy("cluster", "rest", "band").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("blocks"))
+    as_map = lambda rest: F.map_from_entries(F.collect_list(F.when(F.col("rest") == rest, F.struct("band", "blocks"))))  # noqa: E731  bands are as few as a logarithm of sizes
+    maps = blocks.groupBy("cluster").agg(F.sum("m").alias("size"), as_map(True).alias("rest_blocks"), as_map(False).alias("main_blocks"))
+    d = with_one_a_key(told, maps, "cluster", "size", n_sets)
+    count = lambda of, x: F.coalesce(F.element_at(of, F.col("band") + x), F.lit(0))
+    every = lambda of, mark, x: F.transform(F.when(count(of, x) > 0, F.sequence(F.lit(0), count(of, x) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(".", F.lit(mark), F.col("band") + x, i))
+    own = F.when(F.col("rest"), count("rest_blocks", 0)).otherwise(count("main_blocks", 0))
+    me = F.concat_ws(".", F.when(F.col("rest"), "r").otherwise("m"), "band", F.pmod(F.xxhash64("c"), own).cast("int"))
+    with_rest = F.concat(*(every("rest_blocks", "r", x) for x in (-1, 0, 1)))
+    with_main = F.concat(*(every("main_blocks", "m", x) for x in (-1, 0, 1)))
+    others = F.when(F.col("rest"), F.concat(with_rest, with_main)).otherwise(with_rest)
+    met = d.select("c", "cluster", me.alias("me"), F.explode(others).alias("other"))
+    return met.select("c", "cluster", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j")).join(sets.select("c", "s"), "c")
+
+
+def verified(members: DataFrame, n_members: int, docs: DataFrame, k: int, similarity: int, block_shingles: int, most_broadcast: int, pivots: int = 16) -> DataFrame:
+    """Links a, b that tie the classes of each cluster as all of their links would. ``members``: cluster, c, of, h, n, copies.
+    ``docs``: text, key."""
+    dealt = materialise(dealt_out(members, n_members, block_shingles), "members")
+    cuts = cut_sets(dealt, docs, k, most_broadcast)
+    whole = [F.lit("").alias("i"), F.lit("").alias("j")]
+    n_big = dealt.where("NOT small").count()
+    if not n_big:
+        return links_within(cuts.select("cluster", *whole, "c", "s"), similarity)
+    cuts = materialise(cuts, "sets")
+    big = cuts.where("NOT small")
+    known = materialise(links_to_pivots(big, similarity, pivots), "known")
+    rest = links_within(block_pairs(big, known, n_big, similarity, block_shingles), similarity)
+    return links_within(cuts.where("small").select("cluster", *whole, "c", "s"), similarity).union(known).union(rest)
 
 
 def grouped(docs: DataFrame, k: int, similarity: int, run: int, block_shingles: int, most_broadcast: int) -> DataFrame:
@@ -377,8 +437,8 @@ def grouped(docs: DataFrame, k: int, similarity: int, run: int, block_shingles:
     pairs = materialise(candidates(groups, similarity, run), "pairs")
     clusters = connected_components(passing(pairs, groups, similarity)).withColumnRenamed("node", "g")
     placed = groups.select("p", "members", "g").join(clusters, "g", "left").select("p", "members", F.coalesce("component", "g").alias("cluster"))
-    members = with_one_a_key(classes.select("c", "least", "h", "n", "p"), placed, "p", "members", n_classes)
-    links = verified(members, n_classes, docs.select("doc_id", "text"), k, similarity, block_shingles, most_broadcast)
+    members = with_one_a_key(classes.select("c", "of", "h", "n", "p", "copies"), placed, "p", "members", n_classes)
+    links = verified(members, n_classes, docs.select("text", "key"), k, similarity, block_shingles, most_broadcast)
     parts = connected_components(links).withColumnRenamed("node", "c")
     of = materialise(classes.select("c", "h", "copies", "least").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c")), "parts")
     named = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
@@ -394,7 +454,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: s
     rows and ids are rows of their own. A component's id is the smallest id in it that isn't null. Other columns are
     ignored; an empty table gives no rows. Ids are whole numbers, or strings of such. A long text is one row of a task.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("key"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.col(text_col).cast("binary")).alias("key"))
     found = grouped(plain, k, similarity, run, block_shingles, most_broadcast)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

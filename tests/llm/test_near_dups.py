@@ -79,6 +79,15 @@ def test_texts_that_share_an_id_stay_apart(spark):
     assert sorted(tuple(r) for r in got) == sorted([(1, one), (1, other), (3, "alone")])
 
 
+def test_rows_of_one_id_meet_their_own_texts_only(spark):
+    """600 rows of one id and 600 of none, in 200 families each: a join on ids would make 720,000 rows of them."""
+    rows = [(i, " ".join(f"w{i}x{n}x{j}" for j in range(60)) + (" end" if copy else "")) for i in (7, None) for n in range(200) for copy in (0, 0, 1)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == sorted((i or 0, len(t.split()) - 2, i or 0) for i, t in rows)
+    kept = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sum(r["doc_id"] == 7 for r in kept) == 200 and sum(r["doc_id"] is None for r in kept) == 600
+
+
 def test_words_made_to_collide_are_told_apart(spark):
     """Thue-Morse words and their complements are equal under any polynomial modulo a power of two."""
     bits = [bin(i).count("1") % 2 for i in range(2048)]
