@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,7 +144,12 @@ def merged(hits: DataFrame) -> DataFrame:
     return hits.repartition("key").sortWithinPartitions("key", "start").mapInArrow(merge, T.StructType([T.StructField("key", T.BinaryType()), T.StructField("spans", SPANS)]))
 
 
-def occurrences(texts: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, most_broadcast: int) -> DataFrame:
+def _side(df: DataFrame, size: Column, most_bytes: int) -> DataFrame:
+    """``df`` to join with, broadcast if its rows' sizes add up to ``most_bytes`` at most."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most_bytes else df
+
+
+def occurrences(texts: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, most_bytes: int) -> DataFrame:
     """key, spans, items of each text that holds a window, equal texts once. ``texts``: text."""
     every = materialise(windows(benchmark, item_col, text_col, window), "windows")
     lengths = sorted(r["n"] for r in every.select("n").distinct().collect())  # 1 to ``window``
@@ -159,18 +164,18 @@ def occurrences(texts: DataFrame, benchmark: DataFrame, item_col: str, text_col:
     # a shingle that no stretch has rules its window out
     whole = known.groupBy("x", "n").agg(F.count("*").alias("held"), F.min(F.struct("df", "token", "o")).alias("first")).where(F.col("held") == F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1)
     prefixes = materialise(whole.select(F.col("n").alias("of"), "x", F.split("x", " ").alias("w"), F.col("first.token").alias("token"), F.col("first.o").alias("o")), "prefixes")
-    side = F.broadcast(prefixes) if prefixes.count() <= most_broadcast else prefixes
+    side = _side(prefixes, 2 * F.octet_length("x") + 20 * F.col("of") + 64, most_bytes)
     start = (F.col("p") - F.col("o")).cast("int")
     inside = (F.col("n") == F.col("of")) & (start >= 0) & (start < STARTS) & (start + F.col("of") <= F.size("words"))
     met = postings.join(side, "token").where(inside).where(F.slice("words", start + 1, F.col("of")) == F.col("w"))
     hits = materialise(met.select("key", "x", "of", (F.col("at") + start).alias("start")), "hits")
     spans = merged(hits.select("key", "start", (F.col("start") + F.col("of")).alias("stop")).distinct())
-    owners = every.select("x", "item")
-    items = hits.select("key", "x").distinct().join(F.broadcast(owners) if owners.count() <= most_broadcast else owners, "x").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    owners = _side(every.select("x", "item"), F.octet_length("x") + F.octet_length("item") + 64, most_bytes)
+    items = hits.select("key", "x").distinct().join(owners, "x").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     return materialise(spans.join(items, "key"), "occurrences")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_broadcast: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_bytes: int = 64 << 20) -> DataFrame:
     """Columns ``row`` (the document's, as a struct), ``n_words``, ``spans`` (merged, of words, end exclusive), ``items``
     (ids as strings, sorted, distinct).
 
@@ -181,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     items are one row of the result, as the caller asked for them.
     """
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text") != "")
-    found = occurrences(texts, benchmark, item_col, item_text_col, window, most_broadcast)
+    found = occurrences(texts, benchmark, item_col, item_text_col, window, most_bytes)
     at = docs.columns.index(text_col)
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("key", T.BinaryType()), T.StructField("n_words", T.LongType())])
 
@@ -191,8 +196,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(x) for x in raw], pa.binary()), pa.array([len(token_words(x)) for x in raw], pa.int64())], names=schema.names)
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).mapInArrow(frugal(count), schema)
-    side = F.broadcast(found) if found.count() <= most_broadcast else found
-    told = rows.join(side, "key", "left")
+    size = 64 + 16 * F.size("spans") + F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    told = rows.join(_side(found, size, most_bytes), "key", "left")
     return told.select("row", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

@@ -79,7 +79,7 @@ def brute(text, items, window=10):
     return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_decontamination_matches_brute_force(spark, broadcast):
     item = "a b c d e f g h i j k l"
     items = [(1, item), (2, "Short One"), (10, "x " * 15), (3, None), (4, ""), (None, "q r s"), (1, item), (5, "c d e f g h i j k l")]
@@ -87,7 +87,7 @@ def test_decontamination_matches_brute_force(spark, broadcast):
     rows = [(i, t, "old") for i, t in enumerate(texts)] + [(0, texts[0], "old")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.digest(decontaminate.decontaminate(docs, bench, most_broadcast=broadcast)).collect()
+    got = decontaminate.digest(decontaminate.decontaminate(docs, bench, most_bytes=broadcast)).collect()
     assert len(got) == len(rows)
     known = [(i, t) for i, t in items if i is not None]
     for r in got:
