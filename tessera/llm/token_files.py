@@ -1,10 +1,11 @@
 """Operator 5: token ids in binary shards with a minimal perfect hash index.
 
-Documents are ranged by id in shards of about ``shard_bytes`` of text: the ranges come from keys and lengths alone, so texts
-are encoded once, where they are read, and only their ids are shuffled, each straight to its shard. A shard file holds, in order: the raw ids of its documents (little-endian, 2 bytes each if
-the vocabulary allows, else 4) in blocks, then one footer block. The footer has the documents' ids in order, a minimal
-perfect hash over the keys with the rank of each of its words of bits, and for each slot a fingerprint of the key, the
-byte offset of its ids and their number. A manifest beside the shards has a row for each: its range of ids and its size.
+Documents are ranged by id in shards of about ``shard_bytes`` of text, of more if there would be over MOST_SHARDS. The ranges
+come from keys and lengths alone, so texts are encoded once, where they are read, and only their ids are shuffled, each
+straight to its shard. A shard file holds, in order: the raw ids of its documents (little-endian, 2 bytes each if the
+vocabulary allows, else 4) in blocks, then one footer block. The footer has the documents' ids in order, a minimal perfect
+hash over the keys with the rank of each of its words of bits, and for each slot a fingerprint of the key, the byte offset of
+its ids and their number. A manifest beside the shards has a row for each: its range of ids and its size.
 
 A lookup finds the shard by a binary search of the manifest. In the shard it hashes the key, reads one word of bits and its
 rank for each level it passes (1.6 on average), then one slot: the same few reads whatever the number of documents. A key
@@ -33,7 +34,7 @@ _HEAD = struct.Struct("<8sIIQQQ")  # magic, width, levels, documents, ids, left
 _TAIL = struct.Struct("<Q8s")  # bytes of the footer before this, magic
 _SLOT = np.dtype([("print", "<u4"), ("offset", "<u8"), ("count", "<u8")])
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 500_000
 _NULL = 1 << 40  # what is added to the occurrence of a null id
 
 
@@ -216,6 +217,7 @@ class Ranges:
     def of(keys: DataFrame, shard_bytes: int) -> Ranges:
         """``keys``: doc_id, tie, row, bytes. Twice as many ranges as shards are needed are joined until they have their bytes."""
         total = keys.agg(F.sum("bytes")).first()[0] or 0
+        shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
         fine = keys.repartitionByRange(max(1, 2 * -(-total // shard_bytes)), "doc_id", "tie", "row").groupBy(F.spark_partition_id().alias("p"))
         found = fine.agg(F.max(F.struct("doc_id", "tie", "row")).alias("last"), F.sum("bytes").alias("bytes")).orderBy("p").select("last.*", "bytes").toArrow()
         held, cuts = 0, []
@@ -254,7 +256,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """
 
     def encode(batches):
-        tool = encoder(tokenizer_path)
+        tool = encoder(tokenizer_path, 300_000)
         width = 2 if max(tool.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
