@@ -5,8 +5,10 @@ be frequent by hash, then the frequent ones from rare to common. Two sets of Jac
 the first n - ceil(t n) + 1 shingles, the prefix. Classes of identical prefix and size are one group, and groups, not
 classes, are joined on prefix shingles. Pairs of groups are filtered by size, by the places of the shared shingle, and
 by parity bitmaps: bits in which two bitmaps differ are no more than shingles in which the sets differ, so no link is
-lost. Where more than ``run`` groups share a shingle, their pairs are not written out: the groups are tied to one of
-them instead. Groups tied by pairs that passed, or so, are a cluster.
+lost. Where more than ``run`` groups share a shingle, their pairs are not written out: the bitmaps are brought to the
+groups, and those whose bitmaps allow a link are connected where they are, by a forest. A group's bitmap has the bits that all of its
+classes agree on. Groups that are connected are a
+cluster. A shingle alone never makes one: shingles that many texts share grow with the input, and would tie all texts.
 
 Groups are then expanded to their classes and verified, cluster by cluster, on whole shingle sets: from each class the
 unreached ones within its bounds of size are counted against, until nothing more is reached. That finds the cluster's
@@ -47,21 +49,34 @@ def linked(overlap, n, m, similarity: int):
     return 100 * overlap >= similarity * (n + m - overlap)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit; about as many bits as shingles, a power of two."""
-    bits = 1 << max(6, (len(shingles) - 1).bit_length())
+def map_bits(n: int, similarity: int) -> int:
+    """Bits of the bitmap of a set of n, a power of two: half of them is what unlike sets differ in, well above what similar
+    ones may. A larger set never has a smaller map."""
+    differ = 2 * n * (100 - similarity) // (100 + similarity)
+    return 1 << max(6, min(n - 1, (5 * differ) // 2 + 63).bit_length())
+
+
+def bitmap(shingles: np.ndarray, similarity: int) -> bytes:
+    """Parity of the shingles that fall on each bit."""
+    bits = map_bits(len(shingles), similarity)
     parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """Bits in which two bitmaps differ, the longer folded to the shorter."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    if len(x) > len(y):
-        x, y = y, x
-    if len(y) > len(x):
-        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+def folded(bits: np.ndarray, loose: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bitmaps, and of their bits that aren't known (0 in the bitmap), made ``width`` words wide."""
+    shape = (len(bits), bits.shape[1] // width, width)
+    loose = np.bitwise_or.reduce(loose.reshape(shape), axis=1)
+    return np.bitwise_xor.reduce(bits.reshape(shape), axis=1) & ~loose, loose
+
+
+def differing(a: bytes, b: bytes, loose_a: bytes | None = None, loose_b: bytes | None = None) -> int:
+    """Bits in which two bitmaps are known to differ, the longer folded to the shorter."""
+    maps = [np.frombuffer(x, dtype=np.uint64).reshape(1, -1) for x in (a, b)]
+    loose = [np.frombuffer(x, dtype=np.uint64).reshape(1, -1) if x else np.zeros_like(m) for x, m in zip((loose_a, loose_b), maps, strict=True)]
+    width = min(m.shape[1] for m in maps)
+    (x, u), (y, v) = (folded(m, l, width) if m.shape[1] > width else (m, l) for m, l in zip(maps, loose, strict=True))
+    return int(np.bitwise_count((x ^ y) & ~(u | v)).sum())
 
 
 # --- frequent shingles -----------------------------------------------------------------------------------------------
@@ -137,7 +152,7 @@ def described(docs: DataFrame, k: int, similarity: int, frequent) -> DataFrame:
             return 0, b"", b"", [], 0, b""
         half = np.ascontiguousarray(s[:, 0])
         first, rare = prefix(half, shared.value, similarity)
-        return len(s), digest(s.tobytes()), digest(len(s).to_bytes(8, "little") + first.tobytes()), first.view(np.int64), rare, bitmap(half)
+        return len(s), digest(s.tobytes()), digest(len(s).to_bytes(8, "little") + first.tobytes()), first.view(np.int64), rare, bitmap(half, similarity)
 
     def describe(batches):
         for batch in batches:
@@ -155,6 +170,43 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return materialise(one.withColumn("c", F.monotonically_increasing_id()), "classes")
 
 
+def groups_of(classes: DataFrame, n_classes: int) -> DataFrame:
+    """One row for each prefix and size: g (a number), p, members, n, prefix, rare, bits and loose: bits on which its classes
+    don't agree, null if it has one."""
+    first = [F.first(x).alias(x) for x in ("n", "prefix", "rare")]
+    named = classes.groupBy("p").agg(F.count("*").alias("members"), F.min("c").alias("g"), *first, F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    named = materialise(named, "named")
+    several = named.where("members > 1").drop("bits")
+
+    def combine(batches):
+        """Bits that are set in all, and in any, row of g: whole where rows are sorted by it, else of parts."""
+        held: dict[int, tuple[int, int, int]] = {}
+        out = lambda xs: pa.RecordBatch.from_arrays([pa.array([g for g, _ in xs], pa.int64()), *(pa.array([x[i].to_bytes(x[2], "little") for _, x in xs], pa.binary()) for i in (0, 1))], names=["g", "every", "some"])
+        g = None
+        for batch in batches:
+            for g, every, some in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x, y = int.from_bytes(every, "little"), int.from_bytes(some, "little")
+                a, b, size = held.get(g, (x, y, len(every)))
+                held[g] = (a & x, b | y, size)
+            if held:
+                last = held.pop(g)
+                yield out(list(held.items()))
+                held = {g: last}
+        if held:
+            yield out(list(held.items()))
+
+    def loosened(batches):
+        for batch in batches:
+            bits = [(int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x)) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([(x ^ y).to_bytes(size, "little") for x, y, size in bits], pa.binary())], names=["g", "bits", "loose"])
+
+    kind = "g long, every binary, some binary"
+    told = with_one_a_key(classes.select("p", "bits"), several.select("p", "g", "members"), "p", "members", n_classes).select("g", F.col("bits").alias("every"), F.col("bits").alias("some"))
+    maps = told.mapInArrow(combine, kind).repartition("g").sortWithinPartitions("g").mapInArrow(lambda batches: loosened(combine(batches)), "g long, bits binary, loose binary")
+    alone = named.where("members = 1").withColumn("loose", F.lit(None).cast("binary"))
+    return materialise(alone.unionByName(several.join(maps, "g")), "groups")
+
+
 def pairs_in_runs(tokens: np.ndarray, sizes: np.ndarray, groups: np.ndarray, places: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of groups in each run of equal tokens, rows being by token and size, that size and places allow."""
     out_a, out_b = [], []
@@ -175,49 +227,46 @@ def pairs_in_runs(tokens: np.ndarray, sizes: np.ndarray, groups: np.ndarray, pla
 
 
 def candidates(groups: DataFrame, similarity: int, run: int) -> DataFrame:
-    """a, b, tied: pairs of groups that share a prefix shingle; tied ones stand for a run that is too long for pairs.
+    """a, b, held: pairs of groups that share a prefix shingle (held 0); where more than ``run`` share one, each of these
+    groups and the shingle (held 1, or 2 for a hub).
 
-    Frequent shingles are counted first. Those that more groups hold than a task should see are fewer than HOT_KEYS: they
-    are broadcast with one of their groups, and the others are tied to it where they are.
+    Frequent shingles are counted first. Those that more groups hold than a task should see are hubs, fewer than HOT_KEYS:
+    they are broadcast, so that their groups stay where they are.
     """
     postings = groups.select("g", "n", "rare", F.posexplode("prefix").alias("place", "token"))
     often = groups.agg(F.sum(F.size("prefix") - F.col("rare")).alias("n")).first()["n"] or 0
-    counted = postings.where("place >= rare").groupBy("token").agg(F.count("*").alias("c"), F.min("g").alias("first"))
-    hot = F.broadcast(materialise(counted.where(F.col("c") > max(4 * run, often // HOT_KEYS)).select("token", "first"), "hot"))
-    hubs = postings.join(hot, "token").where("g <> first").select(F.least("g", "first").alias("a"), F.greatest("g", "first").alias("b"), F.lit(True).alias("tied"))
+    counted = postings.where("place >= rare").groupBy("token").agg(F.count("*").alias("c"))
+    hot = F.broadcast(materialise(counted.where(F.col("c") > max(4 * run, often // HOT_KEYS)).select("token"), "hot"))
+    hubs = postings.join(hot, "token", "left_semi").select(F.col("g").alias("a"), F.col("token").alias("b"), F.lit(2).alias("held"))
     postings = postings.join(hot, "token", "left_anti")
 
     def meet(batches):
         tail: list[np.ndarray] | None = None
-        hub: tuple[int, int] | None = None  # token and first group of a long run that still goes on
+        going: int | None = None  # token of a long run that still goes on
 
-        def batch_of(a, b, tied):
+        def batch_of(a, b, held):
             pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), tied))], names=["a", "b", "tied"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), held, dtype=np.int32))], names=["a", "b", "held"])
 
         def work(cols, last):
             """Pairs of all runs that are complete; what is left of the last one stays."""
-            nonlocal tail, hub
+            nonlocal tail, going
             tokens, sizes, names, places = cols
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             lengths = np.diff(np.append(starts, len(tokens)))
             long = lengths > run
-            if hub is not None and hub[0] == tokens[0]:
+            if going == tokens[0]:
                 long[0] = True
             keep = 0 if last or long[-1] else int(lengths[-1])
             end = len(tokens) - keep
             of_long = np.repeat(long, lengths)
-            first = names[np.repeat(starts, lengths)]
-            if hub is not None and hub[0] == tokens[0]:
-                first[: lengths[0]] = hub[1]
-            ties = of_long & (names != first)
-            if ties.any():
-                yield batch_of(np.minimum(names[ties], first[ties]), np.maximum(names[ties], first[ties]), True)
-            hub = (int(tokens[-1]), int(first[-1])) if long[-1] and not last else None
+            if of_long.any():
+                yield batch_of(names[of_long], tokens[of_long], 1)
+            going = int(tokens[-1]) if long[-1] and not last else None
             short = ~of_long
             short[end:] = False
             if short.any():
-                yield batch_of(*pairs_in_runs(tokens[short], sizes[short], names[short], places[short], similarity), False)
+                yield batch_of(*pairs_in_runs(tokens[short], sizes[short], names[short], places[short], similarity), 0)
             tail = [x[end:] for x in cols] if keep else None
 
         for batch in batches:
@@ -231,23 +280,115 @@ def candidates(groups: DataFrame, similarity: int, run: int) -> DataFrame:
             yield from work(tail, True)
 
     dealt = postings.select("token", "n", "g", F.col("place").cast("long").alias("place")).repartition("token").sortWithinPartitions("token", "n", "g")
-    return dealt.mapInArrow(meet, "a long, b long, tied boolean").union(hubs).groupBy("a", "b").agg(F.max("tied").alias("tied"))
+    return dealt.mapInArrow(meet, "a long, b long, held int").union(hubs).distinct()
 
 
 def passing(pairs: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
-    """a, b of the pairs whose bitmaps allow the similarity; tied ones, and those of groups of several classes, pass."""
-    side = lambda x: groups.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    both = pairs.where(~F.col("tied")).join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    """a, b of the pairs whose bitmaps allow the similarity, and links that connect the groups of each long run as all such
+    pairs would."""
+    side = lambda x: groups.select(F.col("g").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "bits", "loose")))
+    both = pairs.where("held = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb", "loosea", "looseb")
 
     def test(batches):
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            least = -(-similarity * (n + m) // (100 + similarity))
-            differ = np.array([differing(x, y) if x and y else 0 for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], dtype=np.int64)
-            ok = pa.array(differ <= n + m - 2 * least)
+            differ = np.array([differing(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(4, 8)), strict=True)], dtype=np.int64)
+            ok = pa.array(differ <= may_differ(n, m, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return both.mapInArrow(test, "a long, b long").union(pairs.where("tied").select("a", "b"))
+    return both.mapInArrow(test, "a long, b long").union(links_in_runs(pairs.where("held > 0"), groups, similarity))
+
+
+def may_differ(n, m, similarity: int):
+    """The most shingles in which sets of n and m may differ if they are similar."""
+    return n + m - 2 * -(-similarity * (n + m) // (100 + similarity))
+
+
+def run_forest(names: np.ndarray, sizes: np.ndarray, maps: list[bytes], loose: list[bytes | None], similarity: int) -> list[tuple[int, int]]:
+    """Links that connect a run's groups as all pairs that sizes and bitmaps allow would. Rows are by size."""
+    lo, hi = np.searchsorted(sizes, -(-similarity * sizes // 100)), np.searchsorted(sizes, 100 * sizes // similarity, side="right")
+    if (hi - lo == 1).all():
+        return []
+    widths = np.array([len(m) // 8 for m in maps])
+    tables: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # first row, end of the rows of just this width, bits of all rows from the first on
+    end = len(maps)
+    for width in np.unique(widths)[::-1].tolist():
+        first = int(np.searchsorted(widths, width))
+        bits, unknown = (np.frombuffer(b"".join(x), dtype=np.uint64).reshape(-1, width) for x in (maps[first:end], [u or bytes(8 * width) for u in loose[first:end]]))
+        if tables:
+            bits, unknown = (np.concatenate(x) for x in zip((bits, unknown), folded(*tables[-1][2:], width), strict=True))
+        tables.append((first, end, bits, unknown))
+        end = first
+    left, out = np.ones(len(maps), dtype=bool), []
+    for seed in np.flatnonzero(hi - lo > 1).tolist():
+        if not left[seed]:
+            continue
+        left[seed] = False
+        queue = [seed]
+        while queue:
+            x = queue.pop()
+            near = lo[x] + np.flatnonzero(left[lo[x] : hi[x]])
+            if not len(near):
+                continue
+            differ = np.zeros(len(near), dtype=np.int64)
+            for first, end, bits, unknown in tables:  # bitmaps are compared in the smaller one's width
+                if first <= x:
+                    here = near >= first if x < end else (near >= first) & (near < end)
+                    if here.any():
+                        y = near[here] - first
+                        differ[here] = np.bitwise_count((bits[y] ^ bits[x - first]) & ~(unknown[y] | unknown[x - first])).sum(axis=1)
+            near = near[differ <= may_differ(sizes[x], sizes[near], similarity)]
+            left[near] = False
+            for y in near.tolist():
+                out.append((int(names[x]), int(names[y])))
+                queue.append(y)
+    return out
+
+
+def links_in_runs(runs: DataFrame, groups: DataFrame, similarity: int, most: int = 20_000) -> DataFrame:
+    """Links a, b within the groups a that share a shingle b. Of a run of more than ``most`` in a task all are tied to one.
+
+    A hub's groups are dealt by size, in ranges fourfold each: those that may be similar to a larger one in the next range go
+    there too.
+    """
+    size_range = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(4))).cast("int")
+    n = F.col("n")
+    ranges = F.when(F.col("held") == 2, F.sequence(size_range(n), size_range(F.floor(100 * n / similarity)))).otherwise(F.array(F.lit(-1)))
+    rows = runs.join(groups.select(F.col("g").alias("a"), "n", "bits", "loose"), "a")
+    dealt = rows.select("b", F.explode(ranges).alias("range"), "n", "a", "bits", "loose").repartition("b", "range").sortWithinPartitions("b", "range", "n", "a")
+
+    def connect(batches):
+        key, held, count, first = None, [], 0, 0
+
+        def of(links):
+            links = np.array(links, dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(links.min(axis=1)), pa.array(links.max(axis=1))], names=["a", "b"])
+
+        def done():
+            if count > 1 and held:
+                return run_forest(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), *([m for x in held for m in x[i]] for i in (2, 3)), similarity)
+            return []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, places, sizes, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            maps, loose = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            edges = [0, *(1 + np.flatnonzero((tokens[1:] != tokens[:-1]) | (places[1:] != places[:-1]))).tolist(), len(tokens)]
+            out = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if (now := (int(tokens[lo]), int(places[lo]))) != key:
+                    out += done()
+                    key, held, count, first = now, [], 0, int(names[lo])
+                count += hi - lo
+                held.append((names[lo:hi], sizes[lo:hi], maps[lo:hi], loose[lo:hi]))
+                if count > most:
+                    out += [(first, y) for x in held for y in x[0].tolist() if y != first]
+                    held = []
+            yield of(out)
+        yield of(done())
+
+    return dealt.mapInArrow(connect, "a long, b long")
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
@@ -432,8 +573,7 @@ def grouped(docs: DataFrame, k: int, similarity: int, run: int, block_shingles:
     rows = materialise(described(docs, k, similarity, frequent_shingles(docs, k)), "described")
     classes = classes_of(rows)
     n_classes = classes.count()
-    groups = classes.groupBy("p").agg(F.count("*").alias("members"), F.min("c").alias("g"), *(F.first(x).alias(x) for x in ("n", "prefix", "rare")), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
-    groups = materialise(groups, "groups")
+    groups = groups_of(classes, n_classes)
     pairs = materialise(candidates(groups, similarity, run), "pairs")
     clusters = connected_components(passing(pairs, groups, similarity)).withColumnRenamed("node", "g")
     placed = groups.select("p", "members", "g").join(clusters, "g", "left").select("p", "members", F.coalesce("component", "g").alias("cluster"))

@@ -101,3 +101,45 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(200, 200), (7, 3), (101, 100)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_shingles_that_many_share_make_no_cluster(spark, monkeypatch):
+    """400 texts without links, of phrases that many of them share: a hundred and more hold the same prefix shingle."""
+    draw = random.Random(5)
+    phrases = [f"p{i} q{i} r{i}" for i in range(40)]
+    rows = [(i, " ".join(f"{draw.choice(phrases)} u{i}x{j}" for j in range(draw.choice([20, 30, 60])))) for i in range(400)]
+    rows += [(1000 + i, text + " more") for i, text in rows[:9]]
+    seen = []
+    plain = near_dups.dealt_out
+    monkeypatch.setattr(near_dups, "dealt_out", lambda members, *rest: seen.append(plain(members, *rest).count()) or plain(members, *rest))
+    monkeypatch.setattr(near_dups, "frequent_shingles", lambda *_: (near_dups.np.zeros(0, dtype="uint64"), near_dups.np.zeros(0, dtype="int64")))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, run=8).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 90)
+    assert seen[0] < 40, seen
+
+
+def test_run_forest_connects_what_pairs_of_bitmaps_would():
+    np, draw = near_dups.np, near_dups.np.random.default_rng(3)
+    for similarity in (90, 80, 50):
+        rows = []
+        for _ in range(60):
+            base = draw.integers(0, 1 << 62, int(draw.choice([1, 5, 60, 130, 700, 2000])), dtype=np.uint64)
+            for _ in range(draw.integers(1, 4)):
+                kept = base[draw.random(len(base)) < 0.97]
+                if len(kept):
+                    bits = np.frombuffer(near_dups.bitmap(kept, similarity), dtype=np.uint64)
+                    loose = draw.integers(0, 1 << 62, len(bits), dtype=np.uint64) & draw.integers(0, 1 << 62, len(bits), dtype=np.uint64) if draw.random() < 0.3 else None
+                    rows.append((len(kept), len(rows), bits.tobytes() if loose is None else (bits & ~loose).tobytes(), None if loose is None else loose.tobytes()))
+        rows.sort(key=lambda r: r[:2])
+        sizes = np.array([r[0] for r in rows])
+        part = list(range(len(rows)))
+        for i, (n, _, x, u) in enumerate(rows):
+            for j, (m, _, y, v) in enumerate(rows[:i]):
+                if 100 * m >= similarity * n and near_dups.differing(x, y, u, v) <= near_dups.may_differ(n, m, similarity):
+                    part = [part[j] if z == part[i] else z for z in part]
+        mine = list(range(len(rows)))
+        links = near_dups.run_forest(np.arange(len(rows)), sizes, [r[2] for r in rows], [r[3] for r in rows], similarity)
+        assert len(links) == len(rows) - len(set(part))
+        for i, j in links:
+            mine = [mine[j] if z == mine[i] else z for z in mine]
+        assert all((part[i] == part[j]) == (mine[i] == mine[j]) for i in range(len(rows)) for j in range(i))
