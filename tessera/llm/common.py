@@ -17,8 +17,9 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,6 +98,30 @@ def frugal(work, rows: int = 1000):
     return run
 
 
+# --- maps of keys ----------------------------------------------------------------------------------------------------
+def key_map(keys: DataFrame, most_bits: int = 26) -> np.ndarray:
+    """Bits of the hashes of ``key``, 32 for each row if so many are allowed. What reaches the driver are the map's words."""
+    bits = min(most_bits, max(16, (32 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64("key"), 64 - bits).alias("slot")
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = keys.select(slot).groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(key: str, bits: np.ndarray) -> Column:
+    """Whether a key may be among those of ``bits``; false for no such key. Only hashes of keys go to Python."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(bits)
+    shift = np.uint64(64 - (len(bits) * 64 - 1).bit_length())
+
+    def test(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy().view(np.uint64) >> shift
+        return pd.Series((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return F.pandas_udf(test, "boolean")(F.xxhash64(key))
+
+
 # --- vectorised hashing of words -----------------------------------------------------------------------------------
 LONG_WORD = 64
 _KEY = b"tessera words"

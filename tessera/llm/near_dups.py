@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, LOWER_TABLE, digest, frugal, materialise, shingle_hashes, shingle_pairs, text_bytes, with_one_a_key, word_hashes
+from .common import HOT_KEYS, LOWER_TABLE, digest, frugal, key_map, materialise, may_hold, shingle_hashes, shingle_pairs, text_bytes, with_one_a_key, word_hashes
 from .components import connected_components
 
 
@@ -457,9 +457,14 @@ def dealt_out(members: DataFrame, n_members: int, block_shingles: int) -> DataFr
 
 def cut_sets(dealt: DataFrame, docs: DataFrame, k: int, most_broadcast: int) -> DataFrame:
     """c, cluster, n, copies, small, s (the set's bytes). A class's set is cut from one of its texts, found by the text's
-    digest, so it doesn't matter how often an id, or none, or the text is repeated: copies are dropped where they are found."""
-    side = F.broadcast(dealt) if dealt.count() <= most_broadcast else dealt
-    texts = docs.join(side, F.col("key") == F.col("of")).select("c", "cluster", "n", "copies", "small", "h", "text").dropDuplicates(["c"])
+    digest, so it doesn't matter how often an id, or none, or the text is repeated: copies are dropped where they are found.
+    Beyond ``most_broadcast`` classes a map of their digests tells which texts are shuffled."""
+    if dealt.count() <= most_broadcast:
+        found = docs.join(F.broadcast(dealt), F.col("key") == F.col("of")).dropDuplicates(["c"])
+    else:
+        maybe = may_hold("key", key_map(dealt.select(F.col("of").alias("key"))))
+        found = docs.where(maybe).dropDuplicates(["key"]).join(dealt, F.col("key") == F.col("of"))
+    texts = found.select("c", "cluster", "n", "copies", "small", "h", "text")
 
     def cut(batches):
         for batch in batches:
@@ -587,7 +592,7 @@ def grouped(docs: DataFrame, k: int, similarity: int, run: int, block_shingles:
     return told.select("doc_id", "key", "n", "component", "component_id").unionByName(rows.where("n = 0").select("doc_id", "key", "n"), allowMissingColumns=True)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", run: int = 64, block_shingles: int = 1_000_000, most_broadcast: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", run: int = 64, block_shingles: int = 1_000_000, most_broadcast: int = 50_000) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of ``docs``; ``similarity`` is in hundredths, 1 to 100.
 
     A text without words, or null, has no shingles and is linked with nothing: its component is its own id. Repeated
@@ -602,13 +607,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: s
 _ID, _KEY, _NAMED_ID, _NAMED_KEY = "__id", "__key", "__named_id", "__named_key"
 
 
-def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 50_000) -> DataFrame:
     """The rows of ``docs`` but for those near to a row of smaller id; of rows of equal id the text of least digest stays,
     of equal rows one.
 
     Rows are told apart by id and text, so texts that share an id and nothing else all stay. Rows of null id can't be
     named and stay, as do rows without words. All columns are kept; an empty table stays empty. Rows to drop are
-    broadcast up to ``most_broadcast``; beyond it they are joined.
+    broadcast up to ``most_broadcast``; beyond it a map of them tells which rows of ``docs`` are shuffled to be joined.
     """
     key = F.md5(F.col(text_col).cast("binary"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
@@ -616,14 +621,21 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: int = 80, id_col: str = "d
     heads = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.count("*").alias("size"))
     told = with_one_a_key(found.select("component", F.struct("doc_id", "key").alias("me")), heads, "component", "size", found.count())
     counted = materialise(told.groupBy("me", "head").agg(F.count("*").alias("c")), "told")
-    drop = counted.where("me <> head").select("me.*").distinct()
+    drop = materialise(counted.where("me <> head").select("me.*").distinct(), "drop")
     again = materialise(counted.where("me = head AND c > 1").select("me.*"), "again")
     left = docs.withColumns({_ID: F.col(id_col).cast("long"), _KEY: key})
     on = (F.col(_ID) == F.col(_NAMED_ID)) & (F.col(_KEY) == F.col(_NAMED_KEY))
     named = lambda x: x.select(F.col("doc_id").alias(_NAMED_ID), F.col("key").alias(_NAMED_KEY))
-    side = lambda x: F.broadcast(named(x)) if x.count() <= most_broadcast else named(x)
+    n_drop, n_again = drop.count(), again.count()
+    small = n_drop + n_again <= most_broadcast
+    side = lambda x: F.broadcast(named(x)) if small else named(x)
+    rest = None
+    if not small:
+        maybe = may_hold(_KEY, key_map(drop.unionByName(again).select("key")))
+        left, rest = left.where(maybe), left.where(~maybe)
     left = left.join(side(drop), on, "left_anti")
-    if not again.isEmpty():
+    if n_again:
         twice = side(again)
         left = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates([_ID, _KEY]))
+    left = left if rest is None else left.unionByName(rest)
     return left.drop(_ID, _KEY)

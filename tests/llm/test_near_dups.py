@@ -1,10 +1,11 @@
 """Operator 4 against all pairs."""
 
+import inspect
 import random
 
 import pytest
 
-from tessera.llm import near_dups
+from tessera.llm import common, near_dups
 from tessera.llm.components import connected_components
 
 
@@ -143,3 +144,22 @@ def test_run_forest_connects_what_pairs_of_bitmaps_would():
         for i, j in links:
             mine = [mine[j] if z == mine[i] else z for z in mine]
         assert all((part[i] == part[j]) == (mine[i] == mine[j]) for i in range(len(rows)) for j in range(i))
+
+
+def test_little_is_broadcast_and_little_is_shuffled(spark):
+    """Rows that may be broadcast stay far below the driver's memory; beyond them a map of keys passes few texts but theirs."""
+    for f in (near_dups.near_duplicates, near_dups.keep_one):
+        assert inspect.signature(f).parameters["most_broadcast"].default <= 100_000
+    keys = spark.range(40_000).selectExpr("md5(cast(id as string)) AS key")
+    bits = common.key_map(keys.limit(2000))
+    wanted = keys.limit(2000).collect()
+    passed = keys.unionByName(spark.sql("SELECT cast(NULL AS string) AS key")).where(common.may_hold("key", bits)).collect()
+    assert {r["key"] for r in wanted} <= {r["key"] for r in passed} and len(passed) < 2000 + 38_000 // 20
+    assert not common.key_map(keys.limit(0)).any()
+
+
+def test_keep_one_is_the_same_without_broadcasts(spark):
+    rows = [(i, t, n) for n, (i, t) in enumerate(corpus(7))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    one, other = (sorted(map(str, near_dups.keep_one(docs, 3, 90, most_broadcast=most).drop("n").collect())) for most in (0, 1000))
+    assert one == other and len(one) < len(rows)
