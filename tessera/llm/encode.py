@@ -6,6 +6,10 @@ them, and the ids of the pieces joined are the ids of the whole. A full stop or
 piece, is a token of its own. Where a tokenizer drops white space, pieces are words; where it lowers case too, Latin-1
 texts are lowered first, so that fewer words are new. New pieces go to the library many at a time, parted by a mark that is one token and stands
 in none of them. Any other text, and any that may hold a special token, is encoded whole.
+
+Most new words of lowered texts are letters and then marks (``word&&&``). Letters and marks never share a token, so each is
+looked up for itself. If the vocabulary tells ends of words, letters need no mark between them and none of the tokenizer's
+steps that lower, compose and split: its model gets them parted by spaces, and each ends with the token that ends a word.
 """
 
 from __future__ import annotations
@@ -13,11 +17,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 _LETTER_AND_STOP = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ][.,]\\Z")
 _MARKS = ("\n", "\n~\n", "\n|\n", "\n§\n")
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the apostrophe may begin a token of letters
+_LETTERS = "aàáâãäåæçbèéêëcìíîïdðñeòóôõöøfùúûüýþgÿßhªµºijklmnopqrstuvwxyz"
 
 
 def may_be_cut(text: str) -> bool:
@@ -28,41 +35,99 @@ def may_be_cut(text: str) -> bool:
 
 
 class PieceEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
+    """``encode(texts)`` gives each text's ids as little-endian unsigned bytes: 32 bits an id, or 16 if ``narrow`` and all
+    of the vocabulary's ids fit (``width`` bytes).
 
-    The cache holds ``limit`` pieces at most, none above ``longest`` characters. Once full it is used as it is, and it
-    starts anew when as many pieces again were not found in it; so memory has a bound and results don't depend on it.
+    The cache holds ``limit`` pieces at most, none above ``longest`` characters. Once full it is used as it is, and its
+    younger half starts anew when as many pieces again were not found in it; so memory has a bound and results don't
+    depend on it.
     """
 
-    def __init__(self, path: str, limit: int = 700_000, longest: int = 64) -> None:
+    def __init__(self, path: str, limit: int = 700_000, longest: int = 64, narrow: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.longest, self.strange = limit, longest, 0
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        most = max(vocabulary.values(), default=0)
+        self.width = 2 if narrow and most < 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.stops = dict(zip(".,", self.whole([".", ","]), strict=True))
         joined = b"".join(self.whole(["Ab", "cd"]))
         self.drops_space = all(x == joined for x in self.whole(["Ab cd", "Ab\ncd", " Ab \n cd\n"])) and self.whole([" \n"]) == [b""]
         self.lowers = self.drops_space and len(set(self.whole(["ABC ÀÉ Þ", "abc àé þ"]))) == 1
-        self.mark, self.mark_id = next(((m, int.from_bytes(x, "little")) for m, x in zip(_MARKS, self.whole(list(_MARKS)), strict=True) if len(x) == 4), ("", -1))
+        self.mark, self.mark_id = next(((m, int.from_bytes(x, "little")) for m, x in zip(_MARKS, self.whole(list(_MARKS)), strict=True) if len(x) == self.width), ("", -1))
+        self.model = None
+        if self.lowers and (suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None)):
+            self._take_model(Tokenizer(self.tokenizer.model), suffix, vocabulary, most)
+
+    def _take_model(self, model, suffix: str, vocabulary: dict[str, int], most: int) -> None:
+        """Use ``model`` for words of letters, if it and the tokenizer agree on all letters, and on marks behind them."""
+        from tokenizers import pre_tokenizers
+
+        model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(most + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.model = model
+        words = [*_LETTERS, *(_LETTERS[i : i + n] for n in (2, 3, 5, len(_LETTERS)) for i in range(len(_LETTERS)))]
+        marks = [*_TAIL, *(_TAIL[i : i + 2] for i in range(len(_TAIL) - 1)), _TAIL]
+        behind = [x + y for x, y in zip(self.whole(["ab"] * len(marks)), self.whole(marks), strict=True)]
+        if self._of_letters(words) != self.whole(words) or self.whole([f"ab{x}" for x in marks]) != behind:
+            self.model = None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 512):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
+            out += [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
         return out
 
     def _parted(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without the mark, from texts of many."""
         out: list[bytes] = []
         for i in range(0, len(pieces), 1000):
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces[i : i + 1000])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces[i : i + 1000])], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.flatnonzero(ids == self.mark_id).tolist()
+            raw, w = ids.tobytes(), self.width
+            out += [raw[w * a : w * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+        return out
+
+    def _of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case Latin-1 letters, from the model alone."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
             raw = ids.tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(part) else self.whole(part)  # noqa: B905
         return out
 
+    def _learn_lowered(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces of lowered Latin-1 texts that the cache lacks."""
+        cache, words, rest, marked = self.cache, set(), set(), []
+        for p in pieces:
+            stem = p.rstrip(_TAIL)
+            if not stem.isalpha():
+                rest.add(p)
+            elif len(stem) == len(p):
+                words.add(p)
+            else:
+                tail = p[len(stem) :]
+                marked.append((p, stem, tail))
+                if stem not in cache:
+                    words.add(stem)
+                if tail not in cache:
+                    rest.add(tail)
+        words = list(words)
+        got = dict(zip(words, self._of_letters(words), strict=True))
+        if rest:
+            got.update(self._learn(rest))
+        for p, stem, tail in marked:
+            got[p] = (got[stem] if stem in got else cache[stem]) + (got[tail] if tail in got else cache[tail])
+        return got
+
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache lacks. Those that end in a stop come from what stands before it."""
         stems = {p: p[:-1] for p in pieces if _LETTER_AND_STOP.search(p)}
@@ -76,27 +141,28 @@ class PieceEncoder:
             got[p] = (got[stem] if stem in got else self.cache[stem]) + self.stops[p[-1]]
         return got
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids, joined, are the text's; none if it can't be cut."""
+    def _pieces(self, text: str) -> tuple[list[str] | None, bool]:
+        """Pieces whose ids, joined, are the text's, or none if it can't be cut; and whether they were lowered."""
         if not self.drops_space:
-            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if may_be_cut(text) else None
+            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if may_be_cut(text) else None, False
         if "<|" in text or not text.replace("\n", "").isprintable():
-            return None
+            return None, False
         if self.lowers:
             try:  # beyond Latin-1 lowering may depend on what stands beside a character, or on its composed form
                 text.encode("latin-1")
-                text = text.lower()
+                return text.lower().split(), True
             except UnicodeEncodeError:
                 pass
-        return text.split()
+        return text.split(), False
 
     def encode(self, texts: list[str]) -> list[bytes]:
         find = self.cache.get
         out: list = []
         gaps: list[tuple[int, list[int], list[str]]] = []
         missing: set[str] = set()
+        lowered: set[str] = set()
         for n, text in enumerate(texts):
-            pieces = self._pieces(text) if text else []
+            pieces, lower = self._pieces(text) if text else ([], False)
             if pieces is None:
                 out.append(None)
                 continue
@@ -105,9 +171,11 @@ class PieceEncoder:
             if None in known:
                 at = [i for i, x in enumerate(known) if x is None]
                 new = [pieces[i] for i in at]
-                missing.update(new)
+                (lowered if lower and self.model else missing).update(new)
                 gaps.append((n, at, new))
         learnt = self._learn(missing) if missing else {}
+        if lowered:
+            learnt.update(self._learn_lowered(lowered))
         for n, at, new in gaps:
             known = out[n]
             for i, p in zip(at, new, strict=True):
@@ -119,13 +187,13 @@ class PieceEncoder:
         if len(self.cache) < self.limit:
             self.cache.update((p, x) for p, x in learnt.items() if len(p) <= self.longest)
         elif (strange := self.strange + len(learnt)) > self.limit:
-            self.cache, self.strange = {}, 0
+            self.cache, self.strange = dict(islice(self.cache.items(), self.limit // 2)), 0
         else:
             self.strange = strange
         return out
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, limit: int = 700_000) -> PieceEncoder:
-    """One for a worker process; it is built anew for another vocabulary or size of cache."""
-    return PieceEncoder(path, limit)
+def encoder(path: str, limit: int = 700_000, narrow: bool = False) -> PieceEncoder:
+    """One for a worker process; it is built anew for another vocabulary, size of cache or width of ids."""
+    return PieceEncoder(path, limit, narrow=narrow)

@@ -231,18 +231,23 @@ class Ranges:
         array = lambda xs: np.array(xs, dtype=np.int64)
         return Ranges(ids.count(None), array([x for x in ids if x is not None]), array(found.column("tie").to_pylist()), array(found.column("row").to_pylist()))
 
-    def of_key(self, doc_id: int | None, tie: int, row: int) -> int:
-        if doc_id is None:
-            lo, hi = 0, self.nulls
-        else:
-            lo, hi = (self.nulls + int(np.searchsorted(self.ids, doc_id, side=x)) for x in ("left", "right"))
-        while lo < hi:  # shards that end within this id
-            mid = (lo + hi) // 2
-            if (self.ties[mid], self.rows[mid]) < (tie, row):
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+    def of_keys(self, doc_ids: list[int | None], ties: list[int], rows: list[int]) -> list[int]:
+        """The shard of each key."""
+        null = np.array([x is None for x in doc_ids], dtype=bool)
+        ids = np.array([x or 0 for x in doc_ids], dtype=np.int64)
+        first = np.where(null, 0, self.nulls + np.searchsorted(self.ids, ids, side="left"))
+        last = np.where(null, self.nulls, self.nulls + np.searchsorted(self.ids, ids, side="right"))
+        out = first.tolist()
+        for i in np.flatnonzero(first < last).tolist():  # shards that end within this id
+            lo, hi = out[i], int(last[i])
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if (self.ties[mid], self.rows[mid]) < (ties[i], rows[i]):
+                    lo = mid + 1
+                else:
+                    hi = mid
+            out[i] = lo
+        return out
 
     def __len__(self) -> int:
         return len(self.ties) + 1
@@ -256,14 +261,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """
 
     def encode(batches):
-        tool = encoder(tokenizer_path, 300_000)
-        width = 2 if max(tool.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        end = np.array([end_id], dtype="<u4")
+        tool = encoder(tokenizer_path, 300_000, end_id < 1 << 16)
+        width, end = tool.width, end_id.to_bytes(tool.width, "little")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                raw = [np.append(np.frombuffer(x, dtype="<u4"), end).astype(f"<u{width}").tobytes() for x in tool.encode([x or "" for x in part.column(3).to_pylist()])]
-                shard = [ranges.value.of_key(*key) for key in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
+                raw = [x + end for x in tool.encode([x or "" for x in part.column(3).to_pylist()])]
+                shard = ranges.value.of_keys(*(part.column(i).to_pylist() for i in range(3)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([width] * len(raw), pa.int32()), pa.array(raw, pa.binary()), pa.array(shard, pa.int32())], names=["doc_id", "tie", "row", "width", "ids", "shard"])
 
     def write(batches):
