@@ -7,9 +7,10 @@ piece, is a token of its own. Where a tokenizer drops white space, pieces are wo
 texts are lowered first, so that fewer words are new. New pieces go to the library many at a time, parted by a mark that is one token and stands
 in none of them. Any other text, and any that may hold a special token, is encoded whole.
 
-Most new words of lowered texts are letters and then marks (``word&&&``). Letters and marks never share a token, so each is
-looked up for itself. If the vocabulary tells ends of words, letters need no mark between them and none of the tokenizer's
-steps that lower, compose and split: its model gets them parted by spaces, and each ends with the token that ends a word.
+Where a vocabulary also tells ends of words, lowered texts are split, and their words numbered and replaced by ids, as Arrow
+arrays of many texts; Python sees each distinct one once. Marks behind a letter or digit (``word&&&``) share no token with
+it, so they are looked up apart. New words of letters need no mark between them and none of the tokenizer's steps that lower,
+compose and split: its model gets them parted by spaces, and each ends with the token that ends a word.
 """
 
 from __future__ import annotations
@@ -20,10 +21,15 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LETTER_AND_STOP = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ][.,]\\Z")
 _MARKS = ("\n", "\n~\n", "\n|\n", "\n§\n")
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # the apostrophe may begin a token of letters
+_MOST, _GROUP = 1 << 27, 1 << 24  # characters of one text in an array (its ids stay below 2 GB), and of several together
+_ENDS = np.zeros(256, dtype=bool)
+_ENDS[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _LETTERS = "aàáâãäåæçbèéêëcìíîïdðñeòóôõöøfùúûüýþgÿßhªµºijklmnopqrstuvwxyz"
 
 
@@ -34,6 +40,26 @@ def may_be_cut(text: str) -> bool:
     return text.replace("\n", "").isprintable()
 
 
+def without_tails(words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """Lower-case Latin-1 words up to the _TAIL marks that follow a letter or digit at their ends, and those marks."""
+    _, offsets, data = words.buffers()
+    raw = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+    if not len(raw):
+        return words, words
+    offsets = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    stems = pc.ascii_rtrim(words, _TAIL)
+    kept, size = pc.binary_length(stems).to_numpy(), np.diff(offsets)
+    last = np.maximum(offsets[:-1] + kept - 1, 0)
+    byte = raw[last]
+    letter = _ENDS[byte] | ((raw[np.maximum(last - 1, 0)] == 0xC3) & (byte >= 0x80) & (byte != 0x97) & (byte != 0xB7))  # no signs of times and division
+    cut = letter & (kept > 0) & (kept < size)
+    n = np.where(cut, size - kept, 0)
+    ends = np.cumsum(n)
+    at = np.repeat(offsets[1:] - ends, n) + np.arange(ends[-1])
+    tails = pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[at]))
+    return pc.if_else(pa.array(cut), stems, words), tails
+
+
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned bytes: 32 bits an id, or 16 if ``narrow`` and all
     of the vocabulary's ids fit (``width`` bytes).
@@ -73,8 +99,8 @@ class PieceEncoder:
         self.model = model
         words = [*_LETTERS, *(_LETTERS[i : i + n] for n in (2, 3, 5, len(_LETTERS)) for i in range(len(_LETTERS)))]
         marks = [*_TAIL, *(_TAIL[i : i + 2] for i in range(len(_TAIL) - 1)), _TAIL]
-        behind = [x + y for x, y in zip(self.whole(["ab"] * len(marks)), self.whole(marks), strict=True)]
-        if self._of_letters(words) != self.whole(words) or self.whole([f"ab{x}" for x in marks]) != behind:
+        behind = all(self.whole([stem + x for x in marks]) == [self.whole([stem])[0] + x for x in self.whole(marks)] for stem in ("ab", "é", "a1", "it's"))
+        if self._of_letters(words) != self.whole(words) or not behind:
             self.model = None
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -104,28 +130,13 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(part) else self.whole(part)  # noqa: B905
         return out
 
-    def _learn_lowered(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces of lowered Latin-1 texts that the cache lacks."""
-        cache, words, rest, marked = self.cache, set(), set(), []
-        for p in pieces:
-            stem = p.rstrip(_TAIL)
-            if not stem.isalpha():
-                rest.add(p)
-            elif len(stem) == len(p):
-                words.add(p)
-            else:
-                tail = p[len(stem) :]
-                marked.append((p, stem, tail))
-                if stem not in cache:
-                    words.add(stem)
-                if tail not in cache:
-                    rest.add(tail)
-        words = list(words)
+    def _learn_lowered(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces of lowered Latin-1 texts that the cache lacks."""
+        words = [p for p in pieces if p.isalpha()]
         got = dict(zip(words, self._of_letters(words), strict=True))
-        if rest:
-            got.update(self._learn(rest))
-        for p, stem, tail in marked:
-            got[p] = (got[stem] if stem in got else cache[stem]) + (got[tail] if tail in got else cache[tail])
+        if len(words) < len(pieces):
+            got.update(self._learn({p for p in pieces if p and not p.isalpha()}))
+            got[""] = b""
         return got
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
@@ -141,28 +152,106 @@ class PieceEncoder:
             got[p] = (got[stem] if stem in got else self.cache[stem]) + self.stops[p[-1]]
         return got
 
-    def _pieces(self, text: str) -> tuple[list[str] | None, bool]:
-        """Pieces whose ids, joined, are the text's, or none if it can't be cut; and whether they were lowered."""
+    def _keep(self, learnt: dict[str, bytes]) -> None:
+        if len(self.cache) < self.limit:
+            self.cache.update((p, x) for p, x in learnt.items() if len(p) <= self.longest)
+        elif (strange := self.strange + len(learnt)) > self.limit:
+            self.cache, self.strange = dict(islice(self.cache.items(), self.limit // 2)), 0
+        else:
+            self.strange = strange
+
+    def _lowered(self, text: str) -> str | None:
+        """The text in lower case if it is Latin-1 and its only white space are spaces and line ends.
+
+        Beyond Latin-1 lowering may depend on what stands beside a character, or on its composed form.
+        """
+        if len(text) > _MOST or "<|" in text or not text.replace("\n", "").isprintable():
+            return None
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return text.lower()
+
+    def _ids(self, pieces: pa.StringArray) -> pa.BinaryArray:
+        """Ids of each piece of lowered texts."""
+        found = pieces.dictionary_encode()
+        n = len(found.dictionary)
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), found.dictionary), "\n")[0].as_py().split("\n")
+        ids = list(map(self.cache.get, words))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            learnt = self._learn_lowered([words[i] for i in at])
+            for i in at:
+                ids[i] = learnt[words[i]]
+            self._keep(learnt)
+        return pa.array(ids, pa.binary()).take(found.indices)
+
+    def _of_lowered(self, texts: list[str]) -> list[bytes]:
+        """Ids of lowered texts."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        found = lists.values.dictionary_encode()
+        ids = pc.binary_join_element_wise(*map(self._ids, without_tails(found.dictionary)), b"")
+        _, offsets, data = ids.take(found.indices).buffers()
+        raw = data.to_pybytes() if data else b""
+        ends = np.frombuffer(offsets, dtype=np.int32)[lists.offsets.to_numpy()].tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.model is None:
+            return self._by_pieces(texts)
+        out, rest = [b""] * len(texts), []
+        places: list[int] = []
+        lowered: list[str] = []
+        held = 0
+
+        def flush() -> None:
+            for n, ids in zip(places, self._of_lowered(lowered) if lowered else [], strict=True):
+                out[n] = ids
+            places.clear()
+            lowered.clear()
+
+        for n, text in enumerate(texts):
+            if not text:
+                continue
+            low = self._lowered(text)
+            if low is None:
+                rest.append(n)
+                continue
+            if held + len(low) > _GROUP:
+                flush()
+                held = 0
+            held += len(low)
+            places.append(n)
+            lowered.append(low)
+        flush()
+        if rest:
+            for n, ids in zip(rest, self._by_pieces([texts[n] for n in rest]), strict=True):
+                out[n] = ids
+        return out
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Pieces whose ids, joined, are the text's; none if it can't be cut."""
         if not self.drops_space:
-            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if may_be_cut(text) else None, False
+            return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if may_be_cut(text) else None
         if "<|" in text or not text.replace("\n", "").isprintable():
-            return None, False
+            return None
         if self.lowers:
             try:  # beyond Latin-1 lowering may depend on what stands beside a character, or on its composed form
                 text.encode("latin-1")
-                return text.lower().split(), True
+                text = text.lower()
             except UnicodeEncodeError:
                 pass
-        return text.split(), False
+        return text.split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         find = self.cache.get
         out: list = []
         gaps: list[tuple[int, list[int], list[str]]] = []
         missing: set[str] = set()
-        lowered: set[str] = set()
         for n, text in enumerate(texts):
-            pieces, lower = self._pieces(text) if text else ([], False)
+            pieces = self._pieces(text) if text else []
             if pieces is None:
                 out.append(None)
                 continue
@@ -171,11 +260,9 @@ class PieceEncoder:
             if None in known:
                 at = [i for i, x in enumerate(known) if x is None]
                 new = [pieces[i] for i in at]
-                (lowered if lower and self.model else missing).update(new)
+                missing.update(new)
                 gaps.append((n, at, new))
         learnt = self._learn(missing) if missing else {}
-        if lowered:
-            learnt.update(self._learn_lowered(lowered))
         for n, at, new in gaps:
             known = out[n]
             for i, p in zip(at, new, strict=True):
@@ -184,12 +271,7 @@ class PieceEncoder:
         out = [None if x is None else b"".join(x) for x in out]
         for n, ids in zip(rest, self.whole([texts[n] for n in rest]), strict=True):
             out[n] = ids
-        if len(self.cache) < self.limit:
-            self.cache.update((p, x) for p, x in learnt.items() if len(p) <= self.longest)
-        elif (strange := self.strange + len(learnt)) > self.limit:
-            self.cache, self.strange = dict(islice(self.cache.items(), self.limit // 2)), 0
-        else:
-            self.strange = strange
+        self._keep(learnt)
         return out
 
 

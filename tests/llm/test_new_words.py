@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
+from tessera.llm import encode
 from tessera.llm.encode import PieceEncoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -52,8 +54,9 @@ def test_old_pieces_outlive_a_new_start_of_the_cache():
         assert given() == 0
 
 
-@pytest.mark.parametrize("narrow", [False, True])
-def test_lowered_words_have_the_ids_of_the_whole(narrow):
+@pytest.mark.parametrize(("narrow", "group"), [(False, 1 << 24), (True, 1 << 24), (True, 50)])
+def test_lowered_words_have_the_ids_of_the_whole(monkeypatch, narrow, group):
+    monkeypatch.setattr(encode, "_GROUP", group)
     draw, tool = random.Random(6), PieceEncoder(WORDS, limit=300, narrow=narrow)
     assert tool.width == (2 if narrow else 4)
     some = ["a", "ing", "É", "ß", "ÿ", "ª", "º", "µ", "×", "÷", "²", "¼", "¡", "§", "1", "_", "'", "'s", "'LL", "&", "|", "~", "</w>", ".", ",", "-", "Z", " ", " ", " ", "\n", "\xa0", "\xad", "Σ", "–", "ﬁ"]
@@ -61,3 +64,11 @@ def test_lowered_words_have_the_ids_of_the_whole(narrow):
     for i in range(0, len(texts), 100):
         assert tool.encode(texts[i : i + 100]) == tool.whole(texts[i : i + 100])
     assert np.frombuffer(tool.whole(["the end."])[0], dtype=tool.kind).max() > 255
+
+
+def test_tails_follow_letters_and_digits():
+    words = ["ab&&&", "é!", "1.", "it's,", "&&", "a'.", "x×,", "y÷.", "²,", "ab", "", "a.b."]
+    stems, tails = encode.without_tails(pa.array(words))
+    assert stems.to_pylist() == ["ab", "é", "1", "it's", "&&", "a'.", "x×,", "y÷.", "²,", "ab", "", "a.b"]
+    assert tails.to_pylist() == ["&&&", "!", ".", ",", "", "", "", "", "", "", "", "."]
+    assert [x.to_pylist() for x in encode.without_tails(pa.array(["", ""]))] == [["", ""], ["", ""]]
